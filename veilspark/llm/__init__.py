@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "line_dedup", "histogram_sort", "order_minhash", "simhash")
+MODULES = ("exact_dedup", "line_dedup", "histogram_sort", "order_minhash", "simhash", "bpe")
 
 
 def registry() -> tuple[dict, dict]:
