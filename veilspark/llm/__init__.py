@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "line_dedup", "histogram_sort", "order_minhash", "simhash", "bpe", "dac_output")
+MODULES = ("exact_dedup", "line_dedup", "histogram_sort", "order_minhash", "simhash", "bpe", "dac_output", "toxicity_mil")
 
 
 def registry() -> tuple[dict, dict]:

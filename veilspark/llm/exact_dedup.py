@@ -36,8 +36,11 @@ def normalised(text: Column) -> Column:
 
 def _blocks(text: Column, block: int) -> Column:
     """[text cut into pieces of block code points]; an empty text is one empty piece."""
-    count = F.greatest(F.ceil(F.length(text) / F.lit(block)), F.lit(1)).cast("int")
-    return F.when(F.length(text) <= block, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * block + 1, F.lit(block))))
+    def cut(t: Column) -> Column:  # t is bound: without that its expression would be computed at each mention
+        count = F.ceil(F.length(t) / F.lit(block)).cast("int")
+        return F.when(F.octet_length(t) <= block, F.array(t)).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(t, i * block + 1, F.lit(block))))
+
+    return base.let(text, cut)
 
 
 def _keys(seed: int) -> Callable[[Column], Column]:
