@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _base as base
@@ -96,6 +96,16 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each group of equal texts, the one that exact_duplicates() keeps."""
+    key, nth = base.fresh(df, "exact_key", "exact_nth")
+    mark = lambda i, sha: F.sha2(F.concat_ws(":", i.cast("string"), sha), 256)
+    stay = exact_duplicates(df, id_col, text_col).where("kept").select(mark(F.col(id_col), F.col("text_sha256")).alias(key))
+    kept = df.withColumn(key, mark(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256))).join(stay, key, "left_semi")
+    # Rows that repeat both id and text have one key: the window, on the join's own partitioning, leaves one of them.
+    return kept.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).select(*df.columns)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(base.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
