@@ -124,6 +124,7 @@ def session_ttl(events: DataFrame, key: str, at: str, minutes: int = 30) -> Data
     """key, started, ended, n: sessions that end when unused for the time to live; each use renews it."""
     order = Window.partitionBy(key).orderBy(at)
     last = F.lag(at).over(order)
-    new = F.when(last.isNull() | (F.unix_micros(at) - F.unix_micros(last) >= minutes * 60_000_000), 1).otherwise(0)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    new = F.when(last.isNull() | (micros(F.col(at)) - micros(last) >= minutes * 60_000_000), 1).otherwise(0)
     numbered = events.withColumn("new", new).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count(F.lit(1)).alias("n"))

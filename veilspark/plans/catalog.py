@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from veilspark.plans import detection, documents, relational
+
 FLAGSHIP = "merged_spans"
 
 
+def _build() -> tuple[dict, dict]:
+    queries, oracle = {}, {}
+    for part in (detection, relational, documents):
+        q, o = part.build()
+        queries |= q
+        oracle |= o
+    return queries, oracle
+
+
 def queries() -> dict[str, Callable]:
-    return {}
+    return _build()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _build()[1]

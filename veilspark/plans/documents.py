@@ -1,0 +1,5 @@
+"""Queries of JSON bodies and event streams."""
+
+
+def build() -> tuple[dict, dict]:
+    return {}, {}
