@@ -74,6 +74,10 @@ def _features(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
+def _all_features(text: str) -> set[str]:
+    return {f for x in set(_WORD.findall(text.lower())) for f in _features(x)}
+
+
 class _Weights(dict):
     """Words to weights, made when first asked for."""
 
@@ -128,16 +132,20 @@ class Model:
 
 def fit_texts(rows: list[tuple[str, int]], share: float | None = None) -> Model:
     """rows: (text, label). share: of label 1 in what the rows are a sample of; their own share if None."""
-    bags = [[{f for x in set(_WORD.findall(s.lower())) for f in _features(x)} for s in _SENTENCE.findall(t or "")] for t, _ in rows]
     y = np.array([label for _, label in rows], float)
     if not y.sum() or y.sum() == len(y):
         return Model()
     share = y.mean() if share is None else share
     weight = np.where(y > 0, share / y.sum(), (1 - share) / (1 - y).sum())
-    # Words that are no likelier in documents of label 1 can't be evidence; leaving them out bounds the first fit.
-    ones, zeros = (Counter(x for bag, label in zip(bags, y) if label == k for x in set().union(*bag)) for k in (1, 0))
-    odds = lambda x: (ones[x] + 0.5) / (y.sum() + 1) / ((zeros[x] + 2) / (len(y) - y.sum() + 1))
-    names = sorted(x for x, n in ones.items() if n >= LEAST_DOCS and odds(x) >= LEAST_ODDS)
+    # Words that are no likelier in documents of label 1 can't be evidence. Only the others are kept of the texts, so that
+    # the driver holds little beside the sample itself.
+    ones = Counter(f for t, label in rows if label for f in _all_features(t or ""))
+    ones = {f: n for f, n in ones.items() if n >= LEAST_DOCS}
+    zeros = Counter(f for t, label in rows if not label for f in _all_features(t or "") & ones.keys())
+    odds = lambda f: (ones[f] + 0.5) / (y.sum() + 1) / ((zeros[f] + 2) / (len(y) - y.sum() + 1))
+    names = sorted(f for f in ones if odds(f) >= LEAST_ODDS)
+    known = set(names)
+    bags = [[b for s in _SENTENCE.findall((t or "").lower()) if (b := [f for f in _all_features(s) if f in known])] for t, _ in rows]
     weights, bias = np.zeros(0), -3.0
     for last, penalty, rounds in ((False, PENALTY, 120), (True, PENALTY / 10, 200)):
         index = {x: k for k, x in enumerate(names)}
