@@ -83,6 +83,15 @@ def test_every_split_restores(form):
         assert [d["sequence_number"] for d in got] == list(range(len(got)))
 
 
+@pytest.mark.parametrize("form", [*FORMS[:5], TOKEN.replace("{", r"\u007b").replace("R", r"\u0052"), TOKEN.replace("}", r"\u007D")])
+def test_every_split_of_arguments_restores(form):
+    text = f'{{"to":"{form}","é":"\\u00e9"}}'
+    for cut in range(len(text) + 1):
+        parts = [event(t, n, type="response.function_call_arguments.delta") for n, t in enumerate((text[:cut], text[cut:]))]
+        got = payloads(sse.Restorer().push("".join(parts) + "data: [DONE]\n\n", LOOKUP, True))
+        assert json.loads("".join(d["delta"] for d in got)) == {"to": 'a"b@x.org', "é": "é"}, cut
+
+
 @pytest.mark.parametrize("newline", ["\n", "\r\n", "\r"])
 def test_every_transport_split(newline):
     raw = (event("hi " + TOKEN[:9], 0) + ": beat\n\n" + event(TOKEN[9:] + " é", 1) + "data: [DONE]\n\n").replace("\n", newline)
