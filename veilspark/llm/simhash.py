@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _base as base
@@ -152,29 +152,50 @@ def shingle_set(text: Column, words: int) -> Column:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, th, leader: the rows that repeat another row nearly, and the id of the row that stays for them.
 
-    Candidates are components of word SimHashes within max_bits. In each, the smallest id leads: rows whose sets of
-    five-word shingles have a Jaccard similarity to the leader's of at least similarity follow it. What is left of the
-    component elects a leader anew, until all are leaders or followers. So each row that goes is that similar to a row that stays.
+    Candidates are components of word SimHashes within max_bits. In each, rows lead in the order of their ids: a row whose set of
+    five-word shingles has a Jaccard similarity of at least similarity to a leader's follows it, any other becomes a leader. So
+    each row that goes is that similar to a row that stays. A round compares all rows of a component to its next leaders, 1, then
+    8, then 64 at a time: large groups of copies shrink at once, and groups of many leaders take few rounds.
     """
     marked = base.materialize(fingerprints(df, id_col, text_col, 1, True), "simhash-words")
     some = grouped(marked, max_bits).where("members > 1").select("id", "th", "root").distinct()
     texts = df.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     sets = some.join(texts, some.id.eqNullSafe(texts.i) & (some.th == texts.t)).select("id", "th", "root", shingle_set(F.col("text"), words).alias("s"))
-    left, found = base.materialize(sets.dropDuplicates(["id", "th"]), "near-sets"), None
+    left, found, at_once = base.materialize(sets.dropDuplicates(["id", "th"]), "near-sets"), None, 1
     while not left.isEmpty():
-        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
-        leaders = left.groupBy("root").agg(first.alias("f")).select("root", F.col("f.id").alias("leader"), F.col("f.th").alias("lth"))
-        lead = left.alias("x").join(leaders.alias("l"), (F.col("x.root") == F.col("l.root")) & F.col("x.id").eqNullSafe(F.col("l.leader")) & (F.col("x.th") == F.col("l.lth"))).select(F.col("x.root").alias("r"), "leader", "lth", F.col("x.s").alias("ls"))
-        both = F.size(F.array_intersect("s", "ls"))
-        near = both / (F.size("s") + F.size("ls") - both) >= similarity
-        held = left.join(lead, F.col("root") == F.col("r")).where(~(F.col("id").eqNullSafe(F.col("leader")) & (F.col("th") == F.col("lth"))))
-        held = base.materialize(held.select("id", "th", "root", "leader", near.alias("near"), F.when(~near, F.col("s")).alias("s")), "near-round")
-        gone = held.where("near").select("id", "th", "leader")
+        held, gone = _led(left, at_once, similarity)
         found = gone if found is None else found.unionByName(gone)
-        left = held.where("not near").select("id", "th", "root", "s")
+        left, at_once = held, min(64, 8 * at_once)
     return found if found is not None else df.sparkSession.createDataFrame([], "id long, th long, leader long")
 
 
+def _led(left: DataFrame, at_once: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """A round: (rows that neither lead nor follow yet, rows that follow with their leader)."""
+    order = Window.partitionBy("root").orderBy(F.asc_nulls_last("id"), "th")
+    # Ranks up to a limit: each task keeps its own first rows, so a large component isn't sorted in one place.
+    first = left.select("root", "id", "th").withColumn("k", F.row_number().over(order)).where(F.col("k") <= at_once)
+    first = first.select(F.col("root").alias("r"), F.col("id").alias("i"), F.col("th").alias("t"), "k")
+    lead = left.join(first, (F.col("root") == F.col("r")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
+    lead = lead.groupBy(F.col("root").alias("lr")).agg(F.sort_array(F.collect_list(F.struct("k", "id", "th", "s"))).alias("leaders"))
+
+    def alike(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return both / (F.size(a) + F.size(b) - both) >= similarity
+
+    own = F.filter("leaders", lambda x: x.id.eqNullSafe(F.col("id")) & (x.th == F.col("th")))
+    hits = F.transform(F.filter("leaders", lambda x: alike(x.s, F.col("s"))), lambda x: F.struct(x.k.alias("k"), x.id.alias("id")))
+    seen = left.join(lead, F.col("root") == F.col("lr")).select("id", "th", "root", "s", F.get(F.transform(own, lambda x: x.k), F.lit(0)).alias("own"), hits.alias("hits"))
+    seen = base.materialize(seen, "near-round")
+    # A chosen row leads unless one that leads and comes before it is alike.
+    chosen = seen.where("own is not null").groupBy(F.col("root").alias("cr")).agg(F.sort_array(F.collect_list(F.struct("own", F.transform("hits", lambda h: h.k).alias("ks")))).alias("chosen"))
+    leads = F.aggregate("chosen", F.expr("cast(array() as array<int>)"), lambda acc, x: F.when(F.arrays_overlap(acc, x.ks), acc).otherwise(F.concat(acc, F.array(x.own))))
+    told = seen.join(chosen.select("cr", leads.alias("leads")), F.col("root") == F.col("cr"))
+    told = told.withColumn("follows", F.get(F.filter("hits", lambda h: F.array_contains("leads", h.k) & (F.col("own").isNull() | (h.k < F.col("own")))), F.lit(0)))
+    gone = told.where("follows is not null").select("id", "th", F.col("follows.id").alias("leader"))
+    rest = told.where("follows is null and own is null").select("id", "th", "root", "s")
+    return base.materialize(rest, "near-rest"), base.materialize(gone, "near-gone")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df without the rows that near_duplicates() finds."""
     i, t = base.fresh(df, "near_id", "near_th")
