@@ -44,20 +44,20 @@ def _occurrences(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     return keyed.where(F.length("key") >= min_chars).select("id", "th", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
 
 
-def _hot_keys(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame | None:
-    total = df.count()
-    if not total:
-        return None
-    part = df.sample(min(1.0, SAMPLE_DOCS / total), seed=11)
-    found = _occurrences(part, id_col, text_col, min_chars).select("id", "k1", "k2").distinct().groupBy("k1", "k2").count()
+def _hot_keys(lines: DataFrame, total: int) -> DataFrame | None:
+    """Keys that stand in a large share of a sample of the documents."""
+    share = min(1.0, SAMPLE_DOCS / max(1, total))
+    part = lines.where(F.pmod(F.xxhash64("id", "th"), F.lit(1_000_000)) < int(share * 1_000_000))
+    found = part.select("id", "k1", "k2").distinct().groupBy("k1", "k2").count()
     rows = found.where(F.col("count") >= max(20.0, HOT_SHARE * min(total, SAMPLE_DOCS))).orderBy(F.desc("count"), "k1", "k2").limit(HOT_KEYS).collect()
-    return df.sparkSession.createDataFrame([(r.k1, r.k2) for r in rows], "k1 long, k2 long") if rows else None
+    return lines.sparkSession.createDataFrame([(r.k1, r.k2) for r in rows], "k1 long, k2 long") if rows else None
 
 
 def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """id, th, n_dropped, keep: for documents that lose lines. keep is [(word, bits)]; bit p of word w is line 64 w + p."""
-    lines = _occurrences(df, id_col, text_col, min_chars)
-    hot, rest, extra = _hot_keys(df, id_col, text_col, min_chars), lines, None
+    # The rows are written once, 36 bytes a line, so that the texts are split once however often the rows are read.
+    lines = base.materialize(_occurrences(df, id_col, text_col, min_chars), "line-keys")
+    hot, rest, extra = _hot_keys(lines, df.count()), lines, None
     if hot is not None:
         hot = F.broadcast(hot)
         counts = lines.join(hot, ["k1", "k2"]).groupBy("k1", "k2").agg(F.countDistinct(F.coalesce("id", F.lit(-(2**63)))).alias("docs"), F.max("id").alias("last"))
