@@ -30,8 +30,11 @@ BLOCK = 1024
 
 
 def normalised(text: Column) -> Column:
-    """White-space runs become one space."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), base.SPACE + "+", " ")
+    """White-space runs become one space. Plain replacement does most of it; only texts left with double spaces meet a pattern."""
+    out = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return base.let(out, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " +", " ")).otherwise(t))
 
 
 def _blocks(text: Column, block: int) -> Column:
