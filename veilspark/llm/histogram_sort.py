@@ -66,7 +66,9 @@ def find_splitters(keyed: DataFrame, targets: list[float], tolerance: float) ->
     bounds = [[(_LOW, _LOW), 0, (_HIGH, _HIGH), math.inf] for _ in targets]
     found: list[tuple[int, int] | None] = [None] * len(targets)
     while any(x is None for x in found):
-        probes = sorted({p for k, (lo, _, hi, _) in enumerate(bounds) if found[k] is None for p in _between(lo, hi, PROBES)})
+        # The bounds are probed too, so that the rows between them are told from all others.
+        open_ = [(lo, hi) for k, (lo, _, hi, _) in enumerate(bounds) if found[k] is None]
+        probes = sorted({p for lo, hi in open_ for p in (lo, *_between(lo, hi, PROBES), hi)} - {(_LOW, _LOW), (_HIGH, _HIGH)})
         index = below_count(F.col("h"), F.col("d"), probes)
         counts = keyed.groupBy(index.alias("i")).agg(F.sum("size").alias("bytes"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("d").alias("d0"), F.max("d").alias("d1"))
         by = {r.i: r for r in counts.collect()}  # one row for each probe at most
