@@ -18,8 +18,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,9 @@ from . import _base as base
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces remembered by a worker.
-MEMORY = 1_000_000
+MEMORY = 350_000
+#: Pairs that are looked up at once, rows that are handed on at once, and rows whose new words are learned at once (a multiple).
+_CHUNK, _ROWS, _TOGETHER = 1 << 18, 256, 3072
 #: Unicode white space.
 _WS = "\t-\r \x85\xa0  -     　"
 
@@ -55,15 +58,15 @@ class PairIndex:
         self.keys, self.ranks, self.made, self.left, self.right = keys[order], order, made, left, right
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], -1)
 
     def apply(self, symbols: np.ndarray) -> np.ndarray:
         """symbols: sequences with -1 before, between and after them; gives them merged, with -2 where a symbol went into its left neighbour."""
-        s = symbols.astype(np.int64)
+        s = symbols
         n = len(s)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[-1], prv[0] = n - 1, 0
         lists: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -82,7 +85,9 @@ class PairIndex:
                     lists[r] = [part]
                     heapq.heappush(heap, r)
 
-        file(np.arange(n - 1), self._rank(s[:-1], s[1:]))
+        for k in range(0, n - 1, _CHUNK):
+            upto = min(k + _CHUNK, n - 1)
+            file(np.arange(k, upto, dtype=np.int32), self._rank(s[k:upto], s[k + 1 : upto + 1]))
         while heap:
             r = heapq.heappop(heap)
             parts = lists.pop(r)
@@ -97,7 +102,7 @@ class PairIndex:
                     if p != busy:
                         kept.append(p)
                         busy = q
-                pos = np.array(kept)
+                pos = np.array(kept, np.int32)
             if not len(pos):
                 continue
             gone = nxt[pos]
@@ -121,7 +126,6 @@ class Encoder:
         for c, b in alphabet.items():
             self.first[b] = vocab[c]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.coarse = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
         self.fine = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+").findall
@@ -132,26 +136,32 @@ class Encoder:
         self.known.default_factory = self.known.__len__
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self) -> None:
+    def learn(self) -> None:
         """Encode the words that are new: words are runs between white space, with a space before."""
         new = list(self.known)[len(self.starts) :]
         pieces: defaultdict[str, int] = defaultdict()
         pieces.default_factory = pieces.__len__
-        parts = [[pieces[p] for p in self.fine(w)] for w in new]
+        order, wsize = array("i"), np.zeros(len(new), np.int64)
+        for k, w in enumerate(new):
+            parts = self.fine(w)
+            wsize[k] = len(parts)
+            order.extend([pieces[p] for p in parts])
+        order = np.array(order, np.int32)
         raw = [p.encode() for p in pieces]
+        del new, pieces
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         starts = np.cumsum(sizes + 1) - sizes
-        symbols = np.full(int(sizes.sum()) + len(raw) + 1, -1, np.int64)
+        symbols = np.full(int(sizes.sum()) + len(raw) + 1, -1, np.int32)
         joined = np.frombuffer(b"".join(raw), np.uint8)
         inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(joined))
         symbols[inside] = self.first[joined]
+        n_pieces = len(raw)
+        del raw, joined, inside
         merged = self.index.apply(symbols)
         live = merged >= 0
-        counts = np.add.reduceat(live, starts) if len(raw) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(live, starts) if n_pieces else np.zeros(0, np.int64)
         flat = merged[live].astype(np.uint32)
         begin = np.cumsum(counts) - counts
-        wsize = np.fromiter(map(len, parts), np.int64, len(parts))
-        order = np.fromiter((x for p in parts for x in p), np.int64, int(wsize.sum()))
         ids = gather(flat, begin, counts, order)
         edges = np.r_[0, np.cumsum(counts[order])]
         ends = np.cumsum(wsize)
@@ -160,9 +170,8 @@ class Encoder:
         self.sizes = np.r_[self.sizes, last - first]
         self.flat = np.r_[self.flat, ids]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.forget()
+    def plan(self, texts: list[str]) -> list[list[int | np.ndarray]]:
+        """For each text the numbers of its words, and special ids. learn() makes them readable for ids()."""
         look, plan = self.known.__getitem__, []
         for text in texts:
             row = []
@@ -173,12 +182,26 @@ class Encoder:
                     words = self.coarse(part)
                     row.append(np.fromiter(map(look, words), np.int32, len(words)))
             plan.append(row)
-        self._learn()
-        out = []
-        for row in plan:
-            got = [np.array([x], np.uint32) if isinstance(x, int) else gather(self.flat, self.starts, self.sizes, x) for x in row]
-            out.append(got[0] if len(got) == 1 else np.concatenate(got) if got else np.zeros(0, np.uint32))
-        return out
+        return plan
+
+    def ids(self, row: list[int | np.ndarray]) -> np.ndarray:
+        got = [np.array([x], np.uint32) if isinstance(x, int) else gather(self.flat, self.starts, self.sizes, x) for x in row]
+        return got[0] if len(got) == 1 else np.concatenate(got) if got else np.zeros(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > MEMORY:
+            self.forget()
+        plan = self.plan(texts)
+        self.learn()
+        return [self.ids(row) for row in plan]
+
+
+class Decoder:
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = byte_alphabet()
+        self.bytes: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -191,19 +214,25 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.nd
     return flat[np.repeat(starts[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _added(df: DataFrame, name: str, kind: str, run) -> DataFrame:
-    """df with the column name, made by run(texts or ids) for each batch."""
+@lru_cache(1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def _added(df: DataFrame, name: str, kind: str, run: Callable[[pa.RecordBatch], Iterator[pa.Array]]) -> DataFrame:
+    """df with the column name; run(batch) gives it in pieces of _ROWS rows, so that a batch's output is never held whole."""
     out = name if name not in df.columns else base.fresh(df, name)[0]
-    schema = f"{df._jdf.schema().toDDL()}, `{out}` {kind}" if df.columns else f"`{out}` {kind}"
+    schema = f"{df._jdf.schema().toDDL()}, `{out}` {kind}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, run(b)], names=[*b.schema.names, out])
+            for k, made in zip(range(0, b.num_rows, _ROWS), run(b)):
+                yield pa.RecordBatch.from_arrays([*(c[k : k + _ROWS] for c in b.columns), made], names=[*b.schema.names, out])
 
     return df.mapInArrow(work, schema)
 
@@ -212,9 +241,15 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> Da
     """df with ids (binary)."""
     path, at = path or public_tokenizers.path(VOCABULARY), df.columns.index(text_col)
 
-    def run(b: pa.RecordBatch) -> pa.Array:
-        made = encoder(path).encode([t or "" for t in b.column(at).to_pylist()])
-        return pa.array([x.astype("<u4").tobytes() for x in made], pa.binary())
+    def run(b: pa.RecordBatch) -> Iterator[pa.Array]:
+        e = encoder(path)
+        for first in range(0, b.num_rows, _TOGETHER):
+            if len(e.known) > MEMORY:
+                e.forget()
+            plans = [e.plan([t or "" for t in b.column(at)[k : k + _ROWS].to_pylist()]) for k in range(first, min(first + _TOGETHER, b.num_rows), _ROWS)]
+            e.learn()
+            for plan in plans:
+                yield pa.array([e.ids(row).astype("<u4").tobytes() for row in plan], pa.binary())
 
     return _added(df, "ids", "binary", run)
 
@@ -223,9 +258,10 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> Data
     """df with decoded (string)."""
     path, at = path or public_tokenizers.path(VOCABULARY), df.columns.index(ids_col)
 
-    def run(b: pa.RecordBatch) -> pa.Array:
-        e = encoder(path)
-        return pa.array([e.decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else "" for x in b.column(at)], pa.string())
+    def run(b: pa.RecordBatch) -> Iterator[pa.Array]:
+        d = decoder(path)
+        for k in range(0, b.num_rows, _ROWS):
+            yield pa.array([d.decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else "" for x in b.column(at)[k : k + _ROWS]], pa.string())
 
     return _added(df, "decoded", "string", run)
 
