@@ -324,9 +324,11 @@ def fit_examples(data: list[tuple[str, list[Span]]], rounds: int = 25, rate: flo
 
 
 def fit(df: DataFrame, text_col: str = "text") -> Field:
-    """A field for df, fitted on at most SAMPLE of its documents. A window of each is what reaches the driver."""
-    some = df.select(F.coalesce(text_col, F.lit("")).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= 50_000))
-    rows = some.orderBy(F.xxhash64("t"), "t").limit(SAMPLE).collect()
+    """A field for df, fitted on at most SAMPLE of its documents."""
+    some = df.select(F.coalesce(text_col, F.lit("")).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= 50_000)).withColumn("h", F.xxhash64("t"))
+    # Hashes are chosen first, so that tasks send numbers, not texts, to be ranked; copies of a text count once.
+    first = some.select(F.col("h").alias("chosen")).distinct().orderBy("chosen").limit(SAMPLE)
+    rows = some.join(F.broadcast(first), F.col("h") == F.col("chosen")).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
     return fit_examples(examples([(r.t, base_spans(r.t)) for r in rows]))
 
 
