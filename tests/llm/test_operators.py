@@ -238,6 +238,55 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def brute_alike(texts, similarity=0.8):
+    sets = {}
+    for i, t in texts:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    alike = {i: set() for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both / (len(sets[a]) + len(sets[b]) - both) >= similarity:
+            alike[a].add(b)
+            alike[b].add(a)
+    return alike
+
+
+def test_near_duplicates_are_brute_force(spark):
+    rng = random.Random(21)
+    vocab, line = [f"word{k}" for k in range(3000)], " ".join(f"common{k}" for k in range(25))
+    texts = []
+    for size in (1, 3, 4, 5, 9, 30, 60, 150, 400):
+        for _ in range(6):
+            w = rng.choices(vocab, k=size)
+            texts.append(" ".join(w) + " " + line * rng.randint(0, 1))
+            for share in (0.002, 0.01, 0.02, 0.03, 0.04, 0.05):  # similarities from 1 to below 0.8
+                v = [rng.choice(vocab) if rng.random() < share else x for x in w]
+                texts.append(" ".join(v[: len(v) - rng.randint(0, len(v) // 12)]).upper())
+            v = list(w)  # a drift: neighbours are alike, the ends aren't
+            for _ in range(5):
+                v[rng.randrange(size)] = rng.choice(vocab)
+                texts.append(" ".join(v))
+    rng.shuffle(texts)
+    alike = brute_alike(enumerate(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.leader for r in simhash.near_duplicates(df).collect()}
+    kept = set(alike) - set(found)
+    assert not [(a, b) for a in kept for b in alike[a] if b in kept]
+    assert all(leader in kept and leader in alike[i] for i, leader in found.items())
+
+
+def test_near_dedup_stage_is_brute_force(spark):
+    import corpus_pipeline as P
+
+    docs = P.drop_copies(spark, tiny(spark), TINY)
+    before = dict(pairs(docs))
+    alike = brute_alike(before.items())
+    kept = {i for i, _ in pairs(P.drop_near_copies(spark, docs, TINY))}
+    assert not [(a, b) for a in kept for b in alike[a] if b in kept]
+    assert all(alike[i] & kept for i in set(before) - kept)
+
+
 # 5 BPE and 8 token files
 
 

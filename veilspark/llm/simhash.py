@@ -35,6 +35,8 @@ from . import _base as base
 SEED = 42
 #: Hashes whose bits are counted at once.
 _CHUNK = 1 << 17
+#: Bits of a shingle's hash that name its bucket in counts, and the multiplier that joins word hashes.
+_BUCKETS, _ODD = 20, np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, words: int = 3, log_weights: bool = False) -> int:
@@ -149,24 +151,180 @@ def shingle_set(text: Column, words: int) -> Column:
     return base.let(hashed, lambda w: F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: at(w, i)))))
 
 
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """shingle_set() in Python: sorted distinct hashes (others, of the same shingles)."""
+    w = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(x, SEED) for x in w), np.uint64, len(w))
+    out = np.zeros(max(1, len(w) - words + 1), np.uint64)
+    for j in range(words):
+        part = h[j : j + len(out)]
+        out *= _ODD
+        out[: len(part)] += part
+    return np.unique(out)
+
+
+def prefix(s: np.ndarray, classes: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """(keys, need): the first shingles of s in the order (class, hash), and how many of them an alike set shares.
+
+    Sets alike by similarity share o >= similarity * n shingles, n the size of the larger. The need-th of them in the order
+    has o - need shared ones behind it, so in both sets it is among the first n - similarity * n + need: a pair that is alike
+    shares as many keys as the smaller need of the two. Any order that is the same for all sets loses nothing.
+    """
+    n = len(s)
+    need = 1 + n // 20
+    order = np.argsort(classes[s >> np.uint64(64 - _BUCKETS)], kind="stable")
+    return s[order[: min(n, n - math.ceil(similarity * n - 1e-9) + need)]], need
+
+
+def _classes(texts: DataFrame, words: int) -> np.ndarray:
+    """A class for each bucket of shingle hashes, 0 for usual ones, higher the more often its shingles occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << _BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column("text"):
+                np.add.at(counts, (shingles(t.as_py(), words) >> np.uint64(64 - _BUCKETS)).astype(np.int64), 1)
+        some = np.flatnonzero(counts)
+        for k in range(0, len(some), _CHUNK):
+            part = some[k : k + _CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
+
+    counts = base.materialize(texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "near-counts")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << _BUCKETS)
+    # More than half of the buckets can't be above twice the mean.
+    hot = counts.where(F.col("n") > 2 * mean + 8).select("bucket", F.least(F.lit(255), 1 + F.floor(4 * F.log2(F.col("n") / (mean + 1)))).cast("int").alias("c")).toPandas()
+    out = np.zeros(1 << _BUCKETS, np.uint8)
+    out[hot["bucket"].to_numpy(np.int64)] = hot["c"].to_numpy(np.uint8)
+    return out
+
+
+def alike_pairs(texts: DataFrame, classes: np.ndarray, words: int = 5, similarity: float = 0.8, among: DataFrame | None = None) -> DataFrame:
+    """a, b: all pairs of nodes of texts (node, text) whose shingle sets are alike by similarity, each once; no pair is missed.
+
+    among: a table of nodes; only pairs that have at least one of them are wanted.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            long = np.array([len(k) for _, k, _, _ in held])
+            columns = [np.repeat(np.array([x[j] for x in held]), long) for j in (0, 2, 3)]
+            columns.insert(1, np.concatenate([k for _, k, _, _ in held]).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["node", "key", "n", "need"])
+
+        for b in batches:
+            held, size = [], 0
+            for node, t in zip(b.column("node").to_pylist(), b.column("text")):
+                s = shingles(t.as_py(), words)
+                k, need = prefix(s, classes, similarity)
+                held.append((node, k, len(s), need))
+                size += len(k)
+                if size > _CHUNK:
+                    yield batch()
+                    held, size = [], 0
+            if held:
+                yield batch()
+
+    entries = texts.select("node", "text").mapInArrow(keyed, "node long, key long, n int, need int")
+    if among is not None:
+        entries = base.materialize(entries, "near-entries")
+        entries = entries.join(entries.join(among, "node", "left_semi").select("key").distinct(), "key", "left_semi")
+    # A set, as repeated rows are one node. Lists of the same members are one list that counts more.
+    lists = entries.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("n", "node", "need"))).alias("m")).where(F.size("m") > 1)
+    lists = base.materialize(lists.groupBy("m").agg(F.count(F.lit(1)).alias("keys")), "near-lists")
+    tail = F.slice("m", F.col("i") + 2, F.greatest(F.size("m") - F.col("i") - 1, F.lit(0)))
+    firsts = lists.select("keys", "m", F.posexplode("m").alias("i", "x"))
+    pairs = firsts.select("keys", "x", F.explode(F.filter(tail, lambda y: F.col("x.n") >= y.n * F.lit(similarity - 1e-9))).alias("y"))
+    # x is the smaller set, and its need the smaller one.
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum("keys").alias("keys"), F.min("x.need").alias("need")).where("keys >= need").select("a", "b")
+    if among is not None:
+        pairs = pairs.join(among.select(F.col("node").alias("a"), F.lit(True).alias("left")), "a", "left").join(among.select(F.col("node").alias("b"), F.lit(True).alias("right")), "b", "left").where("left or right").select("a", "b")
+    pairs = base.materialize(pairs, "near-candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))], names=["node", "s"])
+
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    known = base.materialize(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<bigint>").dropDuplicates(["node"]), "near-pair-sets")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return base.materialize(both.where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "near-pairs")
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both) >= similarity
+
+
+def _settled(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """node, leader: of alike pairs (a, b), the nodes that go and the one that stays for each.
+
+    ranks: node, rank. A node stays if no node of lower rank that it is alike to stays.
+    """
+    ranked = pairs.join(ranks.select(F.col("node").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("node").alias("b"), F.col("rank").alias("rb")), "b")
+    low = F.col("ra") < F.col("rb")
+    pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+    open_ = base.materialize(ranked.select(pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("ra", "rb").alias("r")), "near-open")
+    gone = None
+    while not open_.isEmpty():
+        leads = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        now = base.materialize(open_.join(leads, "u").groupBy(F.col("v").alias("node")).agg(F.min_by("u", "r").alias("leader")), "near-settled")
+        gone = now if gone is None else gone.unionByName(now)
+        rest = open_.join(leads, "u", "left_anti").join(now.select(F.col("node").alias("u")), "u", "left_anti")
+        open_ = base.materialize(rest.join(now.select(F.col("node").alias("v")), "v", "left_anti"), "near-open")
+    return gone if gone is not None else pairs.select(F.col("a").alias("node"), F.col("b").alias("leader")).limit(0)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, th, leader: the rows that repeat another row nearly, and the id of the row that stays for them.
 
-    Candidates are components of word SimHashes within max_bits. In each, rows lead in the order of their ids: a row whose set of
-    five-word shingles has a Jaccard similarity of at least similarity to a leader's follows it, any other becomes a leader. So
-    each row that goes is that similar to a row that stays. A round compares all rows of a component to its next leaders, 1, then
-    8, then 64 at a time: large groups of copies shrink at once, and groups of many leaders take few rounds.
+    No two rows stay whose sets of five-word shingles have a Jaccard similarity of similarity or more, and each row that goes is
+    that similar to a row that stays. First large groups of copies shrink: in components of word SimHashes within max_bits a
+    row follows the first leader that it is alike to (_shrunk). Then alike_pairs() finds all pairs among the leaders, and of
+    those the one with the smaller id stays. Rows whose leader went are looked at again beside all that stay.
     """
+    key = F.xxhash64("id", "th")
     marked = base.materialize(fingerprints(df, id_col, text_col, 1, True), "simhash-words")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).withColumn("node", key)
+    rank = F.struct(F.col("id").isNull(), "id", "th")
+    nodes = base.materialize(marked.select("id", "th", key.alias("node"), rank.alias("rank")).distinct(), "near-nodes")
+    classes, found, staying, pool = None, None, None, marked
+    while not pool.isEmpty():
+        follow = base.materialize(_shrunk(pool, texts, max_bits, words, similarity).select(F.xxhash64("id", "th").alias("node"), F.xxhash64("leader", "lth").alias("leader")), "near-follow")
+        heads = base.materialize(pool.select(key.alias("node")).distinct().join(follow, "node", "left_anti"), "near-heads")
+        every = heads if staying is None else heads.unionByName(staying)
+        few = texts.join(every, "node", "left_semi")
+        classes = _classes(few, words) if classes is None else classes
+        pairs = alike_pairs(few, classes, words, similarity, None if staying is None else heads)
+        ranks = nodes if staying is None else nodes.join(heads.withColumn("new", F.lit(True)), "node", "left").select("node", F.struct(F.coalesce("new", F.lit(False)), "rank").alias("rank"))
+        went = base.materialize(_settled(pairs, ranks), "near-went")
+        lost = base.materialize(follow.join(went.select(F.col("node").alias("leader")), "leader", "left_semi").select("node"), "near-lost")
+        now = went.unionByName(follow.join(lost, "node", "left_anti").select("node", "leader"))
+        found = now if found is None else found.unionByName(now)
+        staying = base.materialize(every.join(went.select("node"), "node", "left_anti"), "near-staying")
+        pool = base.materialize(pool.withColumn("node", key).join(lost, "node", "left_semi").select("id", "th", "fp"), "near-pool")
+    if found is None:
+        return df.sparkSession.createDataFrame([], "id long, th long, leader long")
+    named = found.join(nodes.select("node", "id", "th"), "node").join(nodes.select(F.col("node").alias("leader"), F.col("id").alias("lid")), "leader")
+    return named.select("id", "th", F.col("lid").alias("leader"))
+
+
+def _shrunk(marked: DataFrame, texts: DataFrame, max_bits: int, words: int, similarity: float) -> DataFrame:
+    """id, th, leader, lth: rows of marked that follow a leader of their component of fingerprints within max_bits.
+
+    Rows lead in the order of their ids: a row that is alike to a leader follows it, any other becomes a leader. A round compares
+    all rows of a component to its next leaders, 1, then 8, then 64 at a time: large groups of copies shrink at once, and
+    groups of many leaders take few rounds.
+    """
     some = grouped(marked, max_bits).where("members > 1").select("id", "th", "root").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    texts = texts.select(F.col("id").alias("i"), F.col("th").alias("t"), "text")
     sets = some.join(texts, some.id.eqNullSafe(texts.i) & (some.th == texts.t)).select("id", "th", "root", shingle_set(F.col("text"), words).alias("s"))
     left, found, at_once = base.materialize(sets.dropDuplicates(["id", "th"]), "near-sets"), None, 1
     while not left.isEmpty():
         held, gone = _led(left, at_once, similarity)
         found = gone if found is None else found.unionByName(gone)
         left, at_once = held, min(64, 8 * at_once)
-    return found if found is not None else df.sparkSession.createDataFrame([], "id long, th long, leader long")
+    return found if found is not None else marked.sparkSession.createDataFrame([], "id long, th long, leader long, lth long")
 
 
 def _led(left: DataFrame, at_once: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -178,12 +336,8 @@ def _led(left: DataFrame, at_once: int, similarity: float) -> tuple[DataFrame, D
     lead = left.join(first, (F.col("root") == F.col("r")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
     lead = lead.groupBy(F.col("root").alias("lr")).agg(F.sort_array(F.collect_list(F.struct("k", "id", "th", "s"))).alias("leaders"))
 
-    def alike(a: Column, b: Column) -> Column:
-        both = F.size(F.array_intersect(a, b))
-        return both / (F.size(a) + F.size(b) - both) >= similarity
-
     own = F.filter("leaders", lambda x: x.id.eqNullSafe(F.col("id")) & (x.th == F.col("th")))
-    hits = F.transform(F.filter("leaders", lambda x: alike(x.s, F.col("s"))), lambda x: F.struct(x.k.alias("k"), x.id.alias("id")))
+    hits = F.transform(F.filter("leaders", lambda x: _alike(x.s, F.col("s"), similarity)), lambda x: F.struct(x.k.alias("k"), x.id.alias("id"), x.th.alias("th")))
     seen = left.join(lead, F.col("root") == F.col("lr")).select("id", "th", "root", "s", F.get(F.transform(own, lambda x: x.k), F.lit(0)).alias("own"), hits.alias("hits"))
     seen = base.materialize(seen, "near-round")
     # A chosen row leads unless one that leads and comes before it is alike.
@@ -191,7 +345,7 @@ def _led(left: DataFrame, at_once: int, similarity: float) -> tuple[DataFrame, D
     leads = F.aggregate("chosen", F.expr("cast(array() as array<int>)"), lambda acc, x: F.when(F.arrays_overlap(acc, x.ks), acc).otherwise(F.concat(acc, F.array(x.own))))
     told = seen.join(chosen.select("cr", leads.alias("leads")), F.col("root") == F.col("cr"))
     told = told.withColumn("follows", F.get(F.filter("hits", lambda h: F.array_contains("leads", h.k) & (F.col("own").isNull() | (h.k < F.col("own")))), F.lit(0)))
-    gone = told.where("follows is not null").select("id", "th", F.col("follows.id").alias("leader"))
+    gone = told.where("follows is not null").select("id", "th", F.col("follows.id").alias("leader"), F.col("follows.th").alias("lth"))
     rest = told.where("follows is null and own is null").select("id", "th", "root", "s")
     return base.materialize(rest, "near-rest"), base.materialize(gone, "near-gone")
 
