@@ -431,6 +431,25 @@ def test_added_spans(spark, odd, none):
     assert pii_crf.find(none, model).count() == 0
 
 
+def test_long_spans_are_candidates():
+    model = pii_crf.fit_examples(pii_crf.examples([]))
+    assert model.left_out == []
+    card = " ".join("4111111111111111")
+    for t in ("info (at) mail (dot) example (dot) co (dot) uk", "jo_ann.smith-lee (at) mail (dot) example (dot) com", "bob.x at mail dot example dot com", "a.b (at) " + "sub (dot) " * 4 + "example (dot) com"):
+        text = f"write to {t}, please"
+        assert pii_crf.all_spans(text, pii_crf.base_spans(text), model) == [(9, 9 + len(t), "email")], t
+    two = f"{card} {card} x"
+    assert pii_crf.base_spans(two) == []
+    (window,) = pii_crf.windows(two, [])
+    tokens = pii_crf._tokens(two, *window)
+    found = {(tokens[c[0]][0], tokens[c[1]][1], c[2]) for some in pii_crf.candidates(two, tokens) for c in some}
+    assert {(0, 31, "card"), (32, 63, "card")} <= found
+    for t in ("see us at example.com today", "we met at noon, dot your i", "at 10 dot 5"):
+        assert pii_crf.all_spans(t, pii_crf.base_spans(t), model) == [], t
+    long = [("see " + "1.1 " * 20, [(4, 80, "phone")])]
+    assert pii_crf.fit_examples(pii_crf.examples([]) + long, rounds=1).left_out == long
+
+
 # 7 shards
 
 

@@ -1,7 +1,7 @@
 """Personal data by base patterns and a semi-Markov conditional random field.
 
 The base patterns (e-mail, ip, card, phone) are fixed; what they find stays. A semi-Markov CRF then reads what they leave
-around digits and at-signs: it scores whole candidate spans, up to BOUND tokens long, with features of the whole span (checksum,
+around digits and at-signs, spelled ones too: it scores whole candidate spans, as long as their shape can be, with features of the whole span (checksum,
 digit count, grouping, shape, what stands at either side), and dynamic programming chooses boundaries and kinds jointly. So it finds
 what a greedy pattern loses: two cards with a space between, a phone number run together with the number after it, an
 address spelled with (at) and (dot), a phone number without country code. A span is added if it is in the best segmentation and its
@@ -17,6 +17,7 @@ underscore in front where df has the name. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import random
 import re
 from collections.abc import Iterator
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from . import _base as base
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is fitted on, posterior that an added span needs, tokens of a span at most.
-SAMPLE, SURE, BOUND = 1500, 0.75, 24
+#: Documents that the field is fitted on, posterior that an added span needs.
+SAMPLE, SURE = 1500, 0.75
+#: Digits of a card, the longest kind, and characters of an address before its sign and behind, the latter with dots spelled out.
+DIGITS, BEFORE, BEHIND = 19, 64, 1024
 # Of an address [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ the part behind the sign; what stands before is read
 # backwards, so that long words cost no more than their length. Possessive repeats keep long digit runs linear too.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +46,7 @@ _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|(?s:.)")
 
 Span = tuple[int, int, str]
+_LOG = logging.getLogger(__name__)
 
 
 def luhn(digits: str) -> bool:
@@ -93,7 +97,13 @@ _SHAPES = {
     "card": re.compile(r"[0-9]+(?:[ -][0-9]+)*"),
     "phone": re.compile(r"\+?\(?[0-9][0-9 ().-]*[0-9]"),
 }
-_SPELLED = re.compile(r"\x20?[(\[{]\x20?(?:dot|at)\b", re.IGNORECASE)
+#: What follows the part before the sign, as far as an address can reach.
+_REST = re.compile(rf"{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*", re.IGNORECASE)
+#: What opens a window; plain words do where both sign and a dot are spelled.
+_MARKS = re.compile(
+    r"[0-9]{2,}|[0-9](?:[\x20().-]{1,3}[0-9]){8}|@|[(\[{]\x20?at\x20?[)\]}]|(?<=[A-Za-z0-9._%+-])\x20at\x20(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\x20dot\x20|\x20?[(\[{]\x20?dot\b))", re.IGNORECASE
+)
+_SPELLED = re.compile(r"\x20?[(\[{]\x20?(?:dot|at)\b|\x20dot\x20", re.IGNORECASE)
 _GROUPS = {"card": re.compile(r"[0-9]{12,19}|(?:[0-9]{4}([ -]))(?:[0-9]{4}\1){2}[0-9]{1,7}"), "phone": re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")}
 
 
@@ -103,7 +113,7 @@ def features(kind: str, span: str, left: str, right: str) -> list[str] | None:
         return None
     d, out = _digits(span), ["bias"]
     if kind == "email":
-        out.append("sign" if "@" in span else "spelled" if re.search(r"[(\[{]", span) else "words")
+        out.append("sign" if "@" in span else "spelled" if re.search(r"[(\[{]", span) else "words" if re.search(r"\x20dot\x20", span, re.IGNORECASE) else "half words")
     elif kind == "ip":
         out.append("octets" if all(int(p) <= 255 for p in span.split(".")) else "beyond")
     elif kind == "card":
@@ -133,29 +143,48 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[list[Candidate]
     """For each token, the candidates (start token, end token, kind, features) that end with it."""
     out: list[list[Candidate]] = [[] for _ in tokens]
     first = [text[a] for a, _ in tokens]
-    for i, (a, _) in enumerate(tokens):
-        c = first[i]
-        if not (c.isascii() and (c.isalnum() or c in "+(")):
+
+    def add(i: int, j: int, kinds: tuple[str, ...]) -> None:
+        a, b = tokens[i][0], tokens[j][1]
+        for kind in kinds:
+            if (f := features(kind, text[a:b], text[max(0, a - 1) : a], text[b : b + 8])) is not None:
+                out[j].append((i, j, kind, f))
+
+    for i, c in enumerate(first):
+        if not (c.isascii() and c.isdigit() or c in "+("):
             continue
-        for j in range(i, min(len(tokens), i + BOUND)):
-            if text[tokens[j][0]] == "\n":
+        digits = 0
+        for j in range(i, len(tokens)):
+            if first[j].isascii() and first[j].isdigit():
+                digits += tokens[j][1] - tokens[j][0]
+                if digits > DIGITS:
+                    break
+                add(i, j, ("ip", "card", "phone"))
+            elif first[j] not in " ().-" and j > i:
                 break
-            last = text[tokens[j][1] - 1]
-            if not (last.isascii() and last.isalnum()):
-                continue
-            b = tokens[j][1]
-            span = text[a:b]
-            left, right = text[max(0, a - 1) : a], text[b : b + 8]
-            kinds = ("ip", "card", "phone") if last.isdigit() and (c.isdigit() or c in "+(") else ("email",) if c.isalnum() and last.isalpha() else ()
-            for kind in kinds:
-                if (f := features(kind, span, left, right)) is not None:
-                    out[j].append((i, j, kind, f))
+    # Addresses: from each sign, the starts before it and the ends behind it.
+    sign = len(tokens)
+    for i in range(len(tokens) - 1, -1, -1):
+        if first[i] not in _LOCAL:
+            sign, ends = i, None
+        elif first[i].isalnum() and sign < len(tokens) and tokens[sign][0] - tokens[i][0] <= BEFORE:
+            if ends is None:
+                ends, m = [], _REST.match(text, tokens[sign][0])
+                for j in range(sign, len(tokens)):
+                    if m is None or tokens[j][1] > min(m.end(), m.start() + BEHIND):
+                        break
+                    if first[j].isascii() and first[j].isalpha():
+                        ends.append(j)
+            for j in ends:
+                add(i, j, ("email",))
     return out
 
 
 @dataclass
 class Field:
     weights: dict[str, float] = field(default_factory=dict)
+    #: Examples that the fit had to leave out, as a true span wasn't a candidate.
+    left_out: list[tuple[str, list[Span]]] = field(default_factory=list)
 
     def _score(self, c: Candidate) -> float:
         return sum(self.weights.get(f, 0.0) for f in c[3])
@@ -196,7 +225,7 @@ class Field:
 
 def windows(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     """Ranges of text around digits and at-signs that base spans don't cover, cut at them."""
-    marks = [m.start() for m in re.finditer(r"[0-9]{2,}|@|[(\[{]\x20?at\x20?[)\]}]", text, re.IGNORECASE)]
+    marks = [m.start() for m in _MARKS.finditer(text)]
     out: list[list[int]] = []
     k, ends = 0, sorted({(s, e) for s, e, _ in taken})
     for m in marks:
@@ -206,7 +235,10 @@ def windows(text: str, taken: list[Span]) -> list[tuple[int, int]]:
             continue
         low = max([e for _, e in ends[max(0, k - 3) : k]], default=0)
         high = ends[k][0] if k < len(ends) else len(text)
-        a, b = max(low, m - 64), min(high, m + 96)
+        a, b = max(low, m - BEFORE), min(high, m + 96)
+        # An address with its dots spelled out can be longer. A space in front of a bracket belongs to the sign.
+        if not text[m].isdigit() and (rest := _REST.match(text, m) or _REST.match(text, m - 1 if m else m)):
+            b = min(high, max(b, min(rest.end(), m + BEHIND)))
         while a > low and a > 0 and text[a - 1].isalnum():
             a -= 1
         while b < high and text[b].isalnum():
@@ -279,8 +311,10 @@ def examples(rows: list[tuple[str, list[Span]]], seed: int = 7) -> list[tuple[st
         joined([(ip, "ip"), (rng.choice([" ", ", ", ":"]), None), (str(rng.randint(1, 65535)), None)])
         local, _, domain = mail.partition("@")
         local = re.sub("^[._%+-]+", "", local) or "info"
-        for at, dot in ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", ".")):
+        for at, dot in ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" at ", " dot ")):
             joined([(local + at + domain.replace(".", dot), "email")])
+        joined([("jo_ann-" + local + " (at) " + domain.replace(".", " (dot) "), "email")])  # joints of all kinds inside
+        joined([(local + " at " + domain, None)])  # as in: see us at example.com
         plain = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", phone)
         if 9 <= len(_digits(plain)) <= 15 and re.search("[ .-]", plain):
             joined([(plain, "phone")])
@@ -295,15 +329,19 @@ def examples(rows: list[tuple[str, list[Span]]], seed: int = 7) -> list[tuple[st
 
 
 def fit_examples(data: list[tuple[str, list[Span]]], rounds: int = 25, rate: float = 0.5, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by AdaGrad. Examples whose true spans aren't candidates are left out."""
-    ready = []
+    """Maximum likelihood by AdaGrad. Examples whose true spans aren't candidates are left out and reported, in left_out too."""
+    ready, left_out = [], []
     for text, spans in data:
         tokens = _tokens(text, 0, len(text))
         found = candidates(text, tokens)
         flat = {(tokens[c[0]][0], tokens[c[1]][1], c[2]): c for some in found for c in some}
         if all(s in flat for s in spans) and flat:
             ready.append((found, [flat[s] for s in spans]))
-    model, square = Field(), {}
+        elif spans:
+            left_out.append((text, spans))
+    if left_out:
+        _LOG.warning("%d of %d examples left out: a true span is not a candidate", len(left_out), len(data))
+    model, square = Field(left_out=left_out), {}
     for _ in range(rounds):
         slope: dict[str, float] = {}
         for found, true in ready:
