@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _KEPT: list[tuple[SparkSession, str]] = []
+_LOCAL: dict[str, str] = {}
+#: Rows that are broadcast at most where nothing else bounds a table.
+MOST_BROADCAST = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,29 +24,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a master on one machine (tests) gets a
+    temporary folder for the life of the driver; on a cluster no folder is known to be shared, and that is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", known)
-        spark.sparkContext.setCheckpointDir(known)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = _LOCAL.get(spark.sparkContext.applicationId)
+        if known is None:
+            known = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="veilspark-")
     return known.rstrip("/")
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """release() deletes the folder, at exit at the latest."""
+    _KEPT.append((spark, path))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilspark/{label}-{uuid.uuid4().hex}"
     schema = df.schema
+    keep_until_exit(spark, path)
     df.write.parquet(path)
-    _KEPT.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables materialize() has written; results that still depend on them can't be read afterwards."""
-    while _KEPT:
-        spark, path = _KEPT.pop()
+def held() -> int:
+    """How many folders are kept now: release(held()), called later with the number of now, deletes those that came after."""
+    return len(_KEPT)
+
+
+def release(since: int = 0, but: int = 0) -> None:
+    """Delete the folders kept since then, but for the last ones; results that still depend on them can't be read afterwards."""
+    end = len(_KEPT) - but
+    gone, _KEPT[since:end] = _KEPT[since:end], []
+    for spark, path in gone:
         jvm = spark.sparkContext._jvm
         if jvm is not None:
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -86,3 +104,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         out.append(f"_{name}")
         taken.add(f"_{name}")
     return out
+
+
+def output_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns of df; those that df has already, in any case, get underscores in front."""
+    return [n if n.lower() not in {c.lower() for c in df.columns} else fresh(df, n)[0] for n in names]
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df, which is written down, with the hint to broadcast it if it has few rows; else joins with it are exchanged as usual."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """left join right, which has a row a key. Keys that hold more than a task's share of the rows of left are salted.
+
+    There are fewer such keys than partitions, as each holds more than a share, so the list of them is broadcast. A salted key's
+    row of right is repeated for each salt, twice the number of partitions in all at most. by: columns of left to deal its rows by.
+    """
+    n = partitions(left.sparkSession)
+    total = left.count()
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") * n > max(total, n * n))
+    hot = materialize(hot.select(*keys, F.ceil(F.col("_rows") * n / max(1, total)).cast("int").alias("_salts")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("_salts")
+    again = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(again, [*keys, "_salt"], how).drop("_salt")

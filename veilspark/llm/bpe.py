@@ -226,7 +226,7 @@ def decoder(path: str) -> Decoder:
 
 def _added(df: DataFrame, name: str, kind: str, run: Callable[[pa.RecordBatch], Iterator[pa.Array]]) -> DataFrame:
     """df with the column name; run(batch) gives it in pieces of _ROWS rows, so that a batch's output is never held whole."""
-    out = name if name not in df.columns else base.fresh(df, name)[0]
+    (out,) = base.output_names(df, name)
     schema = f"{df._jdf.schema().toDDL()}, `{out}` {kind}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

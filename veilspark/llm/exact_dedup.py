@@ -94,7 +94,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Partial aggregation leaves a row for each identity and task, so that a hot group is no hot task.
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
     groups = named.groupBy("rounds", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["rounds", "name"]).select(
+    return base.spread_join(named, groups, ["rounds", "name"], ["_row"]).select(
         F.col(id_col), F.col("first.id").alias("keep_id"), "group_size", (F.col("_row") == F.col("first.row")).alias("kept"), "text_sha256"
     )
 

@@ -101,7 +101,7 @@ def find_splitters(keyed: DataFrame, targets: list[float], tolerance: float) ->
 
 def shard_documents(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """df with size, shard and slot (an underscore in front where df has the name)."""
-    out = [n if n not in df.columns else base.fresh(df, n)[0] for n in ("size", "shard", "slot")]
+    out = base.output_names(df, "size", "shard", "slot")
     h, d, b, first = base.fresh(df, "h", "d", "bucket", "first")
     rows = df.withColumn(h, F.xxhash64(text_col)).withColumn(d, F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW).cast("long"))).withColumn(out[0], F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + OVERHEAD)
     keyed = base.materialize(rows.select(F.col(h).alias("h"), F.col(d).alias("d"), F.col(out[0]).alias("size")), "shard-keys")

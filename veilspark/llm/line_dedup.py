@@ -76,7 +76,7 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with n_lines, n_dropped and kept_text (names that df has already get an underscore in front)."""
-    out = [n if n not in df.columns else base.fresh(df, n)[0] for n in ("n_lines", "n_dropped", "kept_text")]
+    out = base.output_names(df, "n_lines", "n_dropped", "kept_text")
     th, i, t, n, k, m = base.fresh(df, "th", "id", "t", "n", "keep", "map")
     maps = bitmaps.select(F.col("id").alias(i), F.col("th").alias(t), F.col("n_dropped").alias(n), F.col("keep").alias(k))
     joined = df.withColumn(th, F.xxhash64(text_col)).join(maps, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)), "left")

@@ -372,7 +372,7 @@ def fit(df: DataFrame, text_col: str = "text") -> Field:
 
 def find(df: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     """df with base and spans, each [(start, end, kind)] in code points."""
-    new = [n if n not in df.columns else base.fresh(df, n)[0] for n in ("base", "spans")]
+    new = base.output_names(df, "base", "spans")
     at = df.columns.index(text_col)
     kind = "array<struct<start:int,end:int,kind:string>>"
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))

@@ -1,26 +1,25 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
-A fingerprint has 8 bytes. Two that differ in at most b bits agree in at least 8 - b of the 8 byte positions, so
-the index has an entry for each choice of 8 - b positions and the bytes that stand there: fingerprints that meet in
-an entry share the guaranteed minimum of positional bytes, all others can be left out. What meets is then verified by
-counting the differing bits. (Entries of single bytes would make every list 1/256 of the corpus and the tally of
-pairs quadratic; entries of 8 - b bytes are the same count filter, applied before pairs exist.)
-
-Scale: equal fingerprints are one node. An entry's list can't have more than 2^(8b) members, since only b bytes are
-free; lists are collected per entry, most have one member and go at once. Short lists are verified pair by pair inside
-the row. In longer ones each member is filed under every choice of b of the free bits, masked out: members of
-one such file all differ in at most b bits, so each is linked to the file's smallest member alone, and the links stay
-linear in the members. Links of all pairs follow by connectivity, none is lost. Components come from alternating
-large-star and small-star rounds, each written to the shared folder.
-
-Defined results: null and empty texts have fingerprint zero. Rows that repeat a doc_id are rows of their own. A null doc_id
-counts as the largest. An empty table gives an empty result. Extra columns are kept by near_duplicates(), ignored otherwise.
+A fingerprint has 8 bytes. Two that differ in at most b bits agree in at least 8 - b of the 8 byte positions. A list for each
+(position, byte) would be 1/256 of the corpus long, so the index joins positions: it has an entry for each choice of 7 - b
+positions and the bytes that stand there. Fingerprints that agree in m positions share C(m, 7 - b) entries: the tally of
+shared entries of a pair counts its positional bytes, and pairs that reach the guaranteed minimum, C(8 - b, 7 - b) = 8 - b
+entries, are retained and verified by counting the differing bits.
+
+Scale: equal fingerprints are one node. A list of at most CROWD members gives pairs. Members of longer lists, which large groups
+of near copies have, are crowded: two of them are linked in lists of all 8 - b bytes that must agree, which have at most 2^(8b) members;
+there each is linked to the smallest one that it reaches, so links stay linear in the members. A pair with a member that isn't
+crowded shares no long list, so its tally is whole. Links of all pairs follow by connectivity, none is lost. Components come from alternating
+large-star and small-star rounds, each written to the shared folder. Joins by fingerprint or component are salted.
+
+Defined results: null and empty texts have fingerprint zero. Texts of any length are hashed whole, in chunks. Rows that repeat a doc_id
+are rows of their own; rows of equal texts tie, and share fingerprint and component. A null doc_id counts as the largest. An empty table
+gives an empty result. Extra columns are kept by drop_near_duplicates(), ignored otherwise.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _base as base
+from . import alike
 
 SEED = 42
+#: Members of a list whose pairs are tallied.
+CROWD = 16
 #: Hashes whose bits are counted at once.
 _CHUNK = 1 << 17
-#: Bits of a shingle's hash that name its bucket in counts, and the multiplier that joins word hashes.
-_BUCKETS, _ODD = 20, np.uint64(0x9E3779B97F4A7C15)
+_LAST = 2**63 - 1
 
 
 def fingerprint(text: str | None, words: int = 3, log_weights: bool = False) -> int:
@@ -85,36 +86,77 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect all those at max_bits or fewer differing bits."""
+def _differ(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _entries(nodes: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
+    """fp, c, key: an entry for each choice of byte positions, with the bytes that stand there."""
+    made = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for c, p in enumerate(choices)])
+    return nodes.select("fp", F.explode(made).alias("e")).select("fp", "e.c", "e.key")
+
+
+def links(nodes: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that connect all those at max_bits (1 or 2) or fewer differing bits."""
+    if not 1 <= max_bits <= 2:
+        raise ValueError("max_bits is 1 or 2")
+    agree = 8 - max_bits
+    choices = list(itertools.combinations(range(8), agree - 1))
+    entries = _entries(nodes, choices)
+    # The first rows of an entry are kept in each task, so that no list is longer than that anywhere.
+    first = F.row_number().over(Window.partitionBy("c", "key").orderBy("fp"))
+    lists = entries.withColumn("k", first).where(F.col("k") <= crowd + 1).groupBy("c", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    lists = base.materialize(lists.where(F.size("fps") > 1), "simhash-lists")
+    tail = F.slice("fps", F.col("i") + 2, F.greatest(F.size("fps") - F.col("i") - 1, F.lit(0)))
+    pairs = lists.where(F.size("fps") <= crowd).select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(tail).alias("b"))
+    # The tally: m positions that agree are m over (agree - 1) entries that are shared, so the guaranteed minimum is agree of them.
+    tally = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= agree)
+    found = tally.where(_differ(F.col("a"), F.col("b")) <= max_bits).select("a", "b")
+    crowded = base.materialize(lists.where(F.size("fps") > crowd).select("c", "key"), "simhash-crowded")
+    if crowded.isEmpty():
+        return base.materialize(found, "simhash-links")
+    members = base.materialize(entries.join(base.if_small(crowded), ["c", "key"], "left_semi").select("fp").distinct(), "simhash-members")
+    return base.materialize(found.unionByName(_crowded_links(members, max_bits)).distinct(), "simhash-links")
+
+
+def _crowded_links(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Links among fingerprints that stand in long lists: under all bytes that must agree a list has at most 2^16 members, which
+    are linked in memory, each to the smallest that it reaches within the list."""
     choices = list(itertools.combinations(range(8), 8 - max_bits))
-    free = 8 * max_bits
-    short = math.comb(free, max_bits)  # up to here pairs cost less than files
-    entries = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for c, p in enumerate(choices)])).alias("e"))
-    lists = entries.groupBy("e.c", "e.key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    lists = base.materialize(lists, "simhash-lists")
-    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    later = lambda fps, i: F.slice(fps, i + 2, F.greatest(F.size(fps) - i - 1, F.lit(0)))
-    near = lambda fps: F.flatten(F.transform(fps, lambda x, i: F.transform(F.filter(later(fps, i), lambda y: differ(x, y) <= max_bits), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
-    pairs = lists.where(F.size("fps") <= short).select(F.explode(base.let(F.col("fps"), near)).alias("p")).select("p.a", "p.b")
-    long = lists.where(F.size("fps") > short)
-    if long.isEmpty():
-        return pairs.distinct()
-    # Masks of b of the free bits, for each choice of positions.
-    masks = []
-    for p in choices:
-        bits = [8 * q + k for q in range(8) if q not in p for k in range(8)]
-        masks.append([_signed(((1 << 64) - 1) ^ sum(1 << k for k in some)) for some in itertools.combinations(bits, max_bits)])
-    table = F.expr("array(" + ",".join("array(" + ",".join(f"cast('{m}' as bigint)" for m in row) + ")" for row in masks) + ")")
-    filed = long.select("c", F.explode("fps").alias("fp")).select("c", "fp", F.posexplode(F.get(table, F.col("c"))).alias("m", "mask"))
-    filed = filed.select("c", "m", "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    least = filed.groupBy("c", "m", "key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = filed.join(least, ["c", "m", "key"]).where(F.col("fp") > F.col("a")).select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    lists = _entries(nodes, choices).groupBy("c", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("c", "fps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, fps in zip(b.column("c").to_pylist(), b.column("fps")):
+                v = np.sort(fps.values.to_numpy())
+                root = reached(v, [q for q in range(8) if q not in choices[c]], max_bits)
+                some = np.flatnonzero(root != np.arange(len(v)))
+                yield pa.RecordBatch.from_arrays([pa.array(v[root[some]]), pa.array(v[some])], names=["a", "b"])
+
+    return base.materialize(lists.mapInArrow(run, "a long, b long"), "simhash-reached").distinct()
+
+
+def reached(v: np.ndarray, free: list[int], max_bits: int) -> np.ndarray:
+    """For sorted distinct values that differ in the free byte positions alone, the index of the smallest value that each reaches over
+    steps of max_bits or fewer bits."""
+    low = np.zeros(len(v), np.int64)
+    for k, q in enumerate(free):
+        low |= ((v.view(np.uint64) >> np.uint64(8 * q)) & np.uint64(255)).astype(np.int64) << (8 * k)
+    bits = [1 << k for k in range(8 * len(free))]
+    steps = [x for n in range(1, max_bits + 1) for x in map(sum, itertools.combinations(bits, n))]
+    place = np.full(1 << len(bits), -1, np.int64)
+    place[low] = np.arange(len(v))
+    root = np.arange(len(v))
+    while True:
+        now = root.copy()
+        for x in steps:
+            other = place[low ^ x]
+            there = np.flatnonzero(other >= 0)
+            now[there] = np.minimum(now[there], now[other[there]])
+        now = now[now]
+        if np.array_equal(now, root):
+            return root
+        root = now
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -136,218 +178,43 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(marked: DataFrame, max_bits: int = 2) -> DataFrame:
     """marked (id, th, fp) with component_id, the smallest id reachable over links, and members, the rows of the component."""
     nodes = base.materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-nodes")
-    roots = components(links(nodes, max_bits))
+    roots = components(links(nodes.select("fp"), max_bits))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     labelled = base.materialize(labelled, "simhash-roots")
-    named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members")), "root").select("fp", "component_id", "members", "root")
-    return marked.join(named, "fp")
-
-
-def shingle_set(text: Column, words: int) -> Column:
-    """Sorted distinct hashes of the shingles of a text, lower-cased; the whole sequence if it has fewer words."""
-    split = F.split(F.btrim(base.ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), base.SPACE + "+")
-    hashed = F.transform(split, lambda w: F.xxhash64(w))
-    at = lambda w, i: F.xxhash64(*[F.coalesce(F.get(w, i + j), F.lit(j)) for j in range(words)])
-    return base.let(hashed, lambda w: F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: at(w, i)))))
-
-
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """shingle_set() in Python: sorted distinct hashes (others, of the same shingles)."""
-    w = (text or "").encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(x, SEED) for x in w), np.uint64, len(w))
-    out = np.zeros(max(1, len(w) - words + 1), np.uint64)
-    for j in range(words):
-        part = h[j : j + len(out)]
-        out *= _ODD
-        out[: len(part)] += part
-    return np.unique(out)
-
-
-def prefix(s: np.ndarray, classes: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
-    """(keys, need): the first shingles of s in the order (class, hash), and how many of them an alike set shares.
-
-    Sets alike by similarity share o >= similarity * n shingles, n the size of the larger. The need-th of them in the order
-    has o - need shared ones behind it, so in both sets it is among the first n - similarity * n + need: a pair that is alike
-    shares as many keys as the smaller need of the two. Any order that is the same for all sets loses nothing.
-    """
-    n = len(s)
-    need = 1 + n // 20
-    order = np.argsort(classes[s >> np.uint64(64 - _BUCKETS)], kind="stable")
-    return s[order[: min(n, n - math.ceil(similarity * n - 1e-9) + need)]], need
-
+    whole = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members"))
+    named = base.spread_join(labelled.select("fp", "root"), whole, ["root"], ["fp"])
+    return base.spread_join(marked, named.select("fp", "component_id", "members", "root"), ["fp"], ["id", "th"])
 
-def _classes(texts: DataFrame, words: int) -> np.ndarray:
-    """A class for each bucket of shingle hashes, 0 for usual ones, higher the more often its shingles occur."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << _BUCKETS, np.int64)
-        for b in batches:
-            for t in b.column("text"):
-                np.add.at(counts, (shingles(t.as_py(), words) >> np.uint64(64 - _BUCKETS)).astype(np.int64), 1)
-        some = np.flatnonzero(counts)
-        for k in range(0, len(some), _CHUNK):
-            part = some[k : k + _CHUNK]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
-
-    counts = base.materialize(texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "near-counts")
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << _BUCKETS)
-    # More than half of the buckets can't be above twice the mean.
-    hot = counts.where(F.col("n") > 2 * mean + 8).select("bucket", F.least(F.lit(255), 1 + F.floor(4 * F.log2(F.col("n") / (mean + 1)))).cast("int").alias("c")).toPandas()
-    out = np.zeros(1 << _BUCKETS, np.uint8)
-    out[hot["bucket"].to_numpy(np.int64)] = hot["c"].to_numpy(np.uint8)
-    return out
-
-
-def alike_pairs(texts: DataFrame, classes: np.ndarray, words: int = 5, similarity: float = 0.8, among: DataFrame | None = None) -> DataFrame:
-    """a, b: all pairs of nodes of texts (node, text) whose shingle sets are alike by similarity, each once; no pair is missed.
-
-    among: a table of nodes; only pairs that have at least one of them are wanted.
-    """
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch() -> pa.RecordBatch:
-            long = np.array([len(k) for _, k, _, _ in held])
-            columns = [np.repeat(np.array([x[j] for x in held]), long) for j in (0, 2, 3)]
-            columns.insert(1, np.concatenate([k for _, k, _, _ in held]).view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["node", "key", "n", "need"])
-
-        for b in batches:
-            held, size = [], 0
-            for node, t in zip(b.column("node").to_pylist(), b.column("text")):
-                s = shingles(t.as_py(), words)
-                k, need = prefix(s, classes, similarity)
-                held.append((node, k, len(s), need))
-                size += len(k)
-                if size > _CHUNK:
-                    yield batch()
-                    held, size = [], 0
-            if held:
-                yield batch()
-
-    entries = texts.select("node", "text").mapInArrow(keyed, "node long, key long, n int, need int")
-    if among is not None:
-        entries = base.materialize(entries, "near-entries")
-        entries = entries.join(entries.join(among, "node", "left_semi").select("key").distinct(), "key", "left_semi")
-    # A set, as repeated rows are one node. Lists of the same members are one list that counts more.
-    lists = entries.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("n", "node", "need"))).alias("m")).where(F.size("m") > 1)
-    lists = base.materialize(lists.groupBy("m").agg(F.count(F.lit(1)).alias("keys")), "near-lists")
-    tail = F.slice("m", F.col("i") + 2, F.greatest(F.size("m") - F.col("i") - 1, F.lit(0)))
-    firsts = lists.select("keys", "m", F.posexplode("m").alias("i", "x"))
-    pairs = firsts.select("keys", "x", F.explode(F.filter(tail, lambda y: F.col("x.n") >= y.n * F.lit(similarity - 1e-9))).alias("y"))
-    # x is the smaller set, and its need the smaller one.
-    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum("keys").alias("keys"), F.min("x.need").alias("need")).where("keys >= need").select("a", "b")
-    if among is not None:
-        pairs = pairs.join(among.select(F.col("node").alias("a"), F.lit(True).alias("left")), "a", "left").join(among.select(F.col("node").alias("b"), F.lit(True).alias("right")), "b", "left").where("left or right").select("a", "b")
-    pairs = base.materialize(pairs, "near-candidates")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))], names=["node", "s"])
-
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    known = base.materialize(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<bigint>").dropDuplicates(["node"]), "near-pair-sets")
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return base.materialize(both.where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "near-pairs")
-
-
-def _alike(a: Column, b: Column, similarity: float) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both) >= similarity
-
-
-def _settled(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """node, leader: of alike pairs (a, b), the nodes that go and the one that stays for each.
-
-    ranks: node, rank. A node stays if no node of lower rank that it is alike to stays.
-    """
-    ranked = pairs.join(ranks.select(F.col("node").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("node").alias("b"), F.col("rank").alias("rb")), "b")
-    low = F.col("ra") < F.col("rb")
-    pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
-    open_ = base.materialize(ranked.select(pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("ra", "rb").alias("r")), "near-open")
-    gone = None
-    while not open_.isEmpty():
-        leads = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
-        now = base.materialize(open_.join(leads, "u").groupBy(F.col("v").alias("node")).agg(F.min_by("u", "r").alias("leader")), "near-settled")
-        gone = now if gone is None else gone.unionByName(now)
-        rest = open_.join(leads, "u", "left_anti").join(now.select(F.col("node").alias("u")), "u", "left_anti")
-        open_ = base.materialize(rest.join(now.select(F.col("node").alias("v")), "v", "left_anti"), "near-open")
-    return gone if gone is not None else pairs.select(F.col("a").alias("node"), F.col("b").alias("leader")).limit(0)
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, words: int = alike.WORDS, similarity: float = alike.SIMILARITY) -> DataFrame:
     """id, th, leader: the rows that repeat another row nearly, and the id of the row that stays for them.
 
-    No two rows stay whose sets of five-word shingles have a Jaccard similarity of similarity or more, and each row that goes is
-    that similar to a row that stays. First large groups of copies shrink: in components of word SimHashes within max_bits a
-    row follows the first leader that it is alike to (_shrunk). Then alike_pairs() finds all pairs among the leaders, and of
-    those the one with the smaller id stays. Rows whose leader went are looked at again beside all that stay.
+    Candidates are texts whose SimHashes of words link in the byte-position index, and, as such hashes can't find every pair
+    at a given similarity, those that share enough rare shingles (alike). All are verified on their five-word shingles: no two rows stay
+    whose sets have a Jaccard similarity of similarity or more, and each row that goes is that similar to a row that stays.
+    Rows go in favour of smaller ids, null last. Rows that repeat id and text are one row: all of them stay or go.
     """
-    key = F.xxhash64("id", "th")
-    marked = base.materialize(fingerprints(df, id_col, text_col, 1, True), "simhash-words")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).withColumn("node", key)
-    rank = F.struct(F.col("id").isNull(), "id", "th")
-    nodes = base.materialize(marked.select("id", "th", key.alias("node"), rank.alias("rank")).distinct(), "near-nodes")
-    classes, found, staying, pool = None, None, None, marked
-    while not pool.isEmpty():
-        follow = base.materialize(_shrunk(pool, texts, max_bits, words, similarity).select(F.xxhash64("id", "th").alias("node"), F.xxhash64("leader", "lth").alias("leader")), "near-follow")
-        heads = base.materialize(pool.select(key.alias("node")).distinct().join(follow, "node", "left_anti"), "near-heads")
-        every = heads if staying is None else heads.unionByName(staying)
-        few = texts.join(every, "node", "left_semi")
-        classes = _classes(few, words) if classes is None else classes
-        pairs = alike_pairs(few, classes, words, similarity, None if staying is None else heads)
-        ranks = nodes if staying is None else nodes.join(heads.withColumn("new", F.lit(True)), "node", "left").select("node", F.struct(F.coalesce("new", F.lit(False)), "rank").alias("rank"))
-        went = base.materialize(_settled(pairs, ranks), "near-went")
-        lost = base.materialize(follow.join(went.select(F.col("node").alias("leader")), "leader", "left_semi").select("node"), "near-lost")
-        now = went.unionByName(follow.join(lost, "node", "left_anti").select("node", "leader"))
-        found = now if found is None else found.unionByName(now)
-        staying = base.materialize(every.join(went.select("node"), "node", "left_anti"), "near-staying")
-        pool = base.materialize(pool.withColumn("node", key).join(lost, "node", "left_semi").select("id", "th", "fp"), "near-pool")
-    if found is None:
-        return df.sparkSession.createDataFrame([], "id long, th long, leader long")
-    named = found.join(nodes.select("node", "id", "th"), "node").join(nodes.select(F.col("node").alias("leader"), F.col("id").alias("lid")), "leader")
-    return named.select("id", "th", F.col("lid").alias("leader"))
-
-
-def _shrunk(marked: DataFrame, texts: DataFrame, max_bits: int, words: int, similarity: float) -> DataFrame:
-    """id, th, leader, lth: rows of marked that follow a leader of their component of fingerprints within max_bits.
-
-    Rows lead in the order of their ids: a row that is alike to a leader follows it, any other becomes a leader. A round compares
-    all rows of a component to its next leaders, 1, then 8, then 64 at a time: large groups of copies shrink at once, and
-    groups of many leaders take few rounds.
-    """
-    some = grouped(marked, max_bits).where("members > 1").select("id", "th", "root").distinct()
-    texts = texts.select(F.col("id").alias("i"), F.col("th").alias("t"), "text")
-    sets = some.join(texts, some.id.eqNullSafe(texts.i) & (some.th == texts.t)).select("id", "th", "root", shingle_set(F.col("text"), words).alias("s"))
-    left, found, at_once = base.materialize(sets.dropDuplicates(["id", "th"]), "near-sets"), None, 1
-    while not left.isEmpty():
-        held, gone = _led(left, at_once, similarity)
-        found = gone if found is None else found.unionByName(gone)
-        left, at_once = held, min(64, 8 * at_once)
-    return found if found is not None else marked.sparkSession.createDataFrame([], "id long, th long, leader long, lth long")
-
-
-def _led(left: DataFrame, at_once: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """A round: (rows that neither lead nor follow yet, rows that follow with their leader)."""
-    order = Window.partitionBy("root").orderBy(F.asc_nulls_last("id"), "th")
-    # Ranks up to a limit: each task keeps its own first rows, so a large component isn't sorted in one place.
-    first = left.select("root", "id", "th").withColumn("k", F.row_number().over(order)).where(F.col("k") <= at_once)
-    first = first.select(F.col("root").alias("r"), F.col("id").alias("i"), F.col("th").alias("t"), "k")
-    lead = left.join(first, (F.col("root") == F.col("r")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
-    lead = lead.groupBy(F.col("root").alias("lr")).agg(F.sort_array(F.collect_list(F.struct("k", "id", "th", "s"))).alias("leaders"))
-
-    own = F.filter("leaders", lambda x: x.id.eqNullSafe(F.col("id")) & (x.th == F.col("th")))
-    hits = F.transform(F.filter("leaders", lambda x: _alike(x.s, F.col("s"), similarity)), lambda x: F.struct(x.k.alias("k"), x.id.alias("id"), x.th.alias("th")))
-    seen = left.join(lead, F.col("root") == F.col("lr")).select("id", "th", "root", "s", F.get(F.transform(own, lambda x: x.k), F.lit(0)).alias("own"), hits.alias("hits"))
-    seen = base.materialize(seen, "near-round")
-    # A chosen row leads unless one that leads and comes before it is alike.
-    chosen = seen.where("own is not null").groupBy(F.col("root").alias("cr")).agg(F.sort_array(F.collect_list(F.struct("own", F.transform("hits", lambda h: h.k).alias("ks")))).alias("chosen"))
-    leads = F.aggregate("chosen", F.expr("cast(array() as array<int>)"), lambda acc, x: F.when(F.arrays_overlap(acc, x.ks), acc).otherwise(F.concat(acc, F.array(x.own))))
-    told = seen.join(chosen.select("cr", leads.alias("leads")), F.col("root") == F.col("cr"))
-    told = told.withColumn("follows", F.get(F.filter("hits", lambda h: F.array_contains("leads", h.k) & (F.col("own").isNull() | (h.k < F.col("own")))), F.lit(0)))
-    gone = told.where("follows is not null").select("id", "th", F.col("follows.id").alias("leader"), F.col("follows.th").alias("lth"))
-    rest = told.where("follows is null and own is null").select("id", "th", "root", "s")
-    return base.materialize(rest, "near-rest"), base.materialize(gone, "near-gone")
+    source = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    known = alike.classes(source, words)
+    marked = base.materialize(alike.keyed(source, known, words, similarity, lambda t: fingerprint(t, 1, True)), "near-marked")
+    # Equal sets are one node, its row the first; partial aggregation leaves one a task.
+    rank = F.struct(F.coalesce("id", F.lit(_LAST)).alias("o"), F.col("id").isNull().alias("none"), "th")
+    nodes = marked.groupBy("s1", "s2").agg(F.min(rank).alias("r"), F.min_by("id", rank).alias("id"), F.min_by("fp", rank).alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = base.materialize(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("r.o").alias("o"), "id", F.col("r.th").alias("th"), "fp", "n", "keys", "s1", "s2"), "near-nodes")
+    # Nodes of one fingerprint link to the first of them, and fingerprints through their first nodes.
+    firsts = base.materialize(nodes.groupBy("fp").agg(F.min_by("node", F.struct("o", "node")).alias("first"), F.count(F.lit(1)).alias("rows")), "near-firsts")
+    near = links(firsts.select("fp"), max_bits)
+    one = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias("n" + c))
+    more = near.join(one("a"), "a").join(one("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = base.spread_join(nodes.select("fp", "node"), firsts.where("rows > 1").select("fp", "first"), ["fp"], ["node"]).where("node <> first")
+    more = base.materialize(more.unionByName(same.select(F.col("first").alias("a"), F.col("node").alias("b"))), "near-linked")
+
+    gone = base.materialize(alike.one_of_each(nodes, source, more, words, similarity), "near-gone")
+    rows = base.spread_join(marked.select("id", "th", "s1", "s2"), nodes.select("s1", "s2", "node", F.col("id").alias("nid"), F.col("th").alias("nth")), ["s1", "s2"], ["id", "th"])
+    leads = gone.join(nodes.select(F.col("node").alias("leader"), F.col("id").alias("lid")), "leader").select("node", "lid", F.lit(True).alias("gone"))
+    told = base.spread_join(rows, leads, ["node"], ["id", "th"], "left")
+    first = F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth"))
+    return told.where(F.col("gone").isNotNull() | ~first).select("id", "th", F.when(F.col("gone").isNotNull(), F.col("lid")).otherwise(F.col("nid")).alias("leader")).distinct()
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with score, predicted and offending [(start, end, score)]."""
-    new = [n if n not in df.columns else base.fresh(df, n)[0] for n in ("score", "predicted", "offending")]
+    new = base.output_names(df, "score", "predicted", "offending")
     at = df.columns.index(text_col)
     schema = f"{df._jdf.schema().toDDL()}, `{new[0]}` double, `{new[1]}` int, `{new[2]}` array<struct<start:int,end:int,score:double>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
