@@ -25,9 +25,9 @@ MAX_DEPTH, MAX_ENCODED = 64, 8
 JSON_FIELDS = ("arguments", "partial_json")
 # Names, without case and separators, whose whole value is a credential.
 CREDENTIAL_FIELDS = (
-    "apikey apitoken accesskey accesskeyid accesskeysecret secretaccesskey accesstoken refreshtoken clientsecret password passwd "
-    "secret token authorization privatekey credential credentials"
-).split()
+    "apikey", "apitoken", "accesskey", "accesskeyid", "accesskeysecret", "secretaccesskey", "accesstoken", "refreshtoken", "clientsecret",
+    "password", "passwd", "secret", "token", "authorization", "privatekey", "credential", "credentials",
+)
 _SPACE, _STRING = re.compile(r"[ \t\n\r]*"), re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
 _NUMBER, _WORD = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), re.compile("true|false|null")
 
@@ -174,9 +174,9 @@ def leaves(df: DataFrame, id_col: str = "doc_id", body_col: str = "body", protoc
         if found is None:
             yield doc, 0, [], "", "error", "", 0, False, "invalid_request"
             return
-        root = json.loads(body)
+        rules = policy.Policy(json.loads(body), protocol)
         for n, (leaf, where, name, layer) in enumerate(walk(found.leaves)):
-            safe = policy.protected(root, protocol, where)  # JSON in a string has the string's own protection and no other
+            safe = rules.keeps(where)  # JSON in a string has the string's own protection and no other
             yield doc, n, [f"[{p}]" if isinstance(p, int) else p for p in where], name, leaf.kind, leaf.value, layer, safe, ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.operators import intervals, jsondoc, sessions, vault
 from veilspark.plans.detection import _ID16, SECRET
 from veilspark.sources import tables as T
+from veilspark.streaming import events as E
 from veilspark.streaming import sse
 
 # JSON bodies ------------------------------------------------------------------------------------------------------------------
@@ -184,7 +185,7 @@ def sse_fields(s: SparkSession, d: str) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            rows = [(i, f.channel, len(f.text)) for i, x in zip(b["stream_id"], b["data"]) for f in sse.fields(json.loads(x))]
+            rows = [(i, f.channel, len(f.text)) for i, x in zip(b["stream_id"], b["data"]) for f in E.growing(json.loads(x))]
             yield pd.DataFrame(rows, columns=["stream_id", "channel", "n"])
 
     return raw.mapInPandas(run, "stream_id long, channel string, n long").groupBy("stream_id", "channel").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("chars"))
