@@ -1,17 +1,17 @@
 """Order MinHash fingerprints; DataFrame functions only.
 
-The k-mers are runs of K words. Each occurrence is numbered among the equal k-mers of its text, so repeats count.
-(k-mer, number) is hashed onto a ring. Sketch j orders the ring from its own starting point on, a uniformly random
-order of k-mers, and selects the L minimal ones, that is, the first L at or after the start. They are put
-back into text order and the tuple of their hashes is hashed. Two texts agree in a sketch if the same
-minimal k-mers occur in the same order; the share of equal sketches is their likeness, which falls with the edit distance.
+The k-mers are runs of K words. Each occurrence is numbered among the equal k-mers of its text, so repeats count, and (k-mer,
+number) is hashed. Each of the SKETCHES has an order of its own, by a hash of that hash and the sketch's number, and selects the L
+minimal occurrences in it. They are put back into text order and the tuple of their hashes is hashed. Two texts agree in
+a sketch if the same minimal k-mers occur in the same order; the share of equal sketches is their likeness, which falls with the edit
+distance.
 
-Since all SKETCHES orders are rotations of one ring, a text's k-mers are hashed and sorted once, and the starts
-are found by sorting them in among the hashes: n log n for a text of n words, no row is exploded, nothing is
-shuffled. All of it runs in the JVM as array functions.
+A sketch needs the L smallest of n numbers only: those below EXPECTED / n of the range are enough unless fewer than L are, where all
+are taken. So each order costs a comparison a k-mer, and few values are sorted. No row is exploded, nothing is shuffled for
+it, and all of it runs in the JVM as array functions.
 
 Defined results: a null text is empty; a text of fewer than K words has one k-mer, the whole word sequence; empty
-texts have equal fingerprints. Equal texts have equal fingerprints. The order of documents is ascending id, nulls
+texts have equal fingerprints. A text may have up to 2^26 words, a bound of the packed numbers; longer ones raise an error. Equal texts have equal fingerprints. The order of documents is ascending id, nulls
 first, then text. In an empty table nothing happens; a single document is its own next one. Extra columns are ignored.
 """
 
@@ -26,7 +26,9 @@ from .histogram_sort import below_count
 K, L, SKETCHES = 5, 2, 64
 #: Bits that a word's position takes in a packed (hash, position): up to 2^26 words a text.
 _POS = 26
-_RING = 63 - _POS
+_HASH = 63 - _POS
+#: Occurrences of a text that are expected among the candidates of a sketch.
+EXPECTED = 8
 _HEX = 8
 #: Buckets of neighbouring documents for each shuffle partition.
 BUCKETS = 16
@@ -39,10 +41,10 @@ def _shift(x: Column, n: int) -> Column:
 def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHES) -> Column:
     """A hex string of sketches x 8 digits."""
     low = (1 << _POS) - 1
-    ring = (1 << _RING) - 1
+    high = (1 << _HASH) - 1
 
     def packed(h: Column, pos: Column) -> Column:  # hash above position, not negative
-        return F.shiftleft(h.bitwiseAND(F.lit(ring)), _POS).bitwiseOR(pos.cast("long"))
+        return F.shiftleft(h.bitwiseAND(F.lit(high)), _POS).bitwiseOR(pos.cast("long"))
 
     def kmers(words: Column) -> Column:  # word hashes -> sorted (k-mer hash, position)
         n = F.greatest(F.size(words) - (k - 1), F.lit(1))
@@ -60,27 +62,26 @@ def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHE
         )
         return base.let(starts, lambda st: F.sort_array(F.when(F.size(st) == n, single).otherwise(runs(st))))
 
-    # Sketch j starts at j/sketches of the ring; a start sorts before the k-mers at its place (position -1 can't occur, so one less).
-    marks = F.expr("array(" + ",".join(f"{(j * (ring + 1) // sketches << _POS) - 1}L" for j in range(sketches)) + ")")
+    word = lambda x: F.lpad(F.hex(F.xxhash64(*x).bitwiseAND(F.lit(0xFFFFFFFF))), _HEX, "0")
 
     def sketched(a: Column) -> Column:
-        n = F.size(a)
-        is_mark = lambda x: (x + 1).bitwiseAND(F.lit(((ring + 1) // sketches << _POS) - 1)) == 0
-        merged = F.sort_array(F.concat(a, marks))
-        # The t-th mark at index i of the merged array has i - t k-mers before it.
-        begins = F.filter(F.transform(merged, lambda x, i: F.when(is_mark(x), i)), lambda i: i.isNotNull())
-        pick = lambda i, t, q: F.get(a, (i - t + q) % n)
-        word = lambda x: F.lpad(F.hex(F.xxhash64(*x).bitwiseAND(F.lit(0xFFFFFFFF))), _HEX, "0")
+        # Signed hashes below this are EXPECTED of size(a) on average.
+        top = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(EXPECTED)) / F.size(a)) - F.lit(2.0**63)
+        bound = F.when(F.size(a) <= EXPECTED, F.lit(2**63 - 1)).otherwise(top.cast("long"))
 
-        def one(i: Column, t: Column) -> Column:
-            chosen = F.array(*[pick(i, t, q) for q in range(take)])
-            ordered = F.array_sort(F.transform(chosen, lambda x: F.struct(x.bitwiseAND(F.lit(low)).alias("p"), _shift(x, _POS).alias("h"))))
-            return base.let(ordered, lambda o: word([F.get(o, q).h for q in range(take)]))
+        def one(j: int, limit: Column) -> Column:
+            rank = lambda x: F.xxhash64(_shift(x, _POS), F.lit(j))
+            few = F.filter(a, lambda x: rank(x) <= limit)
+            some = base.let(few, lambda f: F.when(F.size(f) >= F.least(F.lit(take), F.size(a)), f).otherwise(a))
+            ranked = F.sort_array(F.transform(some, lambda x: F.struct(rank(x).alias("r"), _shift(x, _POS).alias("h"), x.bitwiseAND(F.lit(low)).alias("p"))))
+            ordered = F.array_sort(F.transform(F.slice(ranked, 1, take), lambda x: F.struct(x.p.alias("p"), x.h.alias("h"))))
+            return base.let(ordered, lambda o: word([F.coalesce(F.get(o, q).h, F.get(o, 0).h) for q in range(take)]))
 
-        return base.let(begins, lambda b: F.array_join(F.transform(b, one), ""))
+        return base.let(bound, lambda limit: F.concat(*[one(j, limit) for j in range(sketches)]))
 
+    numbers = lambda w: F.when(F.size(w) <= 1 << _POS, w).otherwise(F.raise_error(F.lit("a text of more than 2^26 words")).cast("array<bigint>"))
     words = F.transform(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), base.SPACE + "+"), lambda w: F.xxhash64(w))
-    return F.lower(base.let(words, lambda w: base.let(kmers(w), lambda s: base.let(numbered(s), sketched))))
+    return F.lower(base.let(words, lambda w: base.let(kmers(numbers(w)), lambda s: base.let(numbered(s), sketched))))
 
 
 def likeness(a: Column, b: Column, sketches: int = SKETCHES) -> Column:
