@@ -6,12 +6,12 @@ first document keeps the line, the others lose it if at least min_docs documents
 positions a compressed keep bitmap is made for each document: 64-bit words, of which only those with a lost line are stored.
 No text is shuffled for that; apply_bitmaps() joins the bitmaps to the texts where texts are wanted.
 
-Scale: a key that stands in a large share of all documents would fill one range. Such keys are found in a
-sample of documents (the sample decides the route alone, never a result), at most HOT_KEYS of them, and take
-another way to the same rows: counted by partial aggregation (a row for each key and task), and the counts,
-of bounded size, are broadcast to the lines. All other keys go through the range exchange.
+Scale: a key of more rows than a task's share would fill one range. There are fewer such keys than SPLIT times the partitions; they are
+found by an exact, partially aggregated count of all keys, and take another way to the same rows: counted by partial
+aggregation (a row for each key and task), and the counts, a row for each hot key, are broadcast to the lines. All other keys go through
+the range exchange. apply_bitmaps() exchanges the texts once, by document, to bring them to their bitmaps.
 
-Defined results: null and empty texts are one empty line. Rows that share a doc_id are one document for the
+Defined results: null and empty texts are one empty line. Texts of any length are split whole. Rows that share a doc_id are one document for the
 counts; a null doc_id is the smallest. Repeated rows get equal results. Extra columns are kept by apply_bitmaps()
 and ignored otherwise. An empty table gives an empty result.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import _base as base
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Documents that the search for hot keys looks at, the share of them that makes a key hot, and the most hot keys.
-SAMPLE_DOCS, HOT_SHARE, HOT_KEYS = 4000, 0.005, 2000
+#: A key is hot if it has more than this part of a task's share of the lines.
+SPLIT = 4
 _STRIP = " \t\n\x0b\x0c\r"
 
 
@@ -44,24 +44,23 @@ def _occurrences(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     return keyed.where(F.length("key") >= min_chars).select("id", "th", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
 
 
-def _hot_keys(lines: DataFrame, total: int) -> DataFrame | None:
-    """Keys that stand in a large share of a sample of the documents."""
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    part = lines.where(F.pmod(F.xxhash64("id", "th"), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = part.select("id", "k1", "k2").distinct().groupBy("k1", "k2").count()
-    rows = found.where(F.col("count") >= max(20.0, HOT_SHARE * min(total, SAMPLE_DOCS))).orderBy(F.desc("count"), "k1", "k2").limit(HOT_KEYS).collect()
-    return lines.sparkSession.createDataFrame([(r.k1, r.k2) for r in rows], "k1 long, k2 long") if rows else None
+def _hot_keys(lines: DataFrame, parts: int) -> DataFrame | None:
+    """Keys of more than 1 / (SPLIT * parts) of all lines, so fewer than SPLIT * parts of them; all lines are counted."""
+    total = lines.count()
+    counts = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SPLIT * parts > F.lit(max(total, SPLIT * parts)))
+    hot = base.materialize(counts.select("k1", "k2"), "hot-line-keys")
+    return None if hot.isEmpty() else hot
 
 
 def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """id, th, n_dropped, keep: for documents that lose lines. keep is [(word, bits)]; bit p of word w is line 64 w + p."""
     # The rows are written once, 36 bytes a line, so that the texts are split once however often the rows are read.
     lines = base.materialize(_occurrences(df, id_col, text_col, min_chars), "line-keys")
-    hot, rest, extra = _hot_keys(lines, df.count()), lines, None
+    hot, rest, extra = _hot_keys(lines, base.partitions(df.sparkSession)), lines, None
     if hot is not None:
         hot = F.broadcast(hot)
         counts = lines.join(hot, ["k1", "k2"]).groupBy("k1", "k2").agg(F.countDistinct(F.coalesce("id", F.lit(-(2**63)))).alias("docs"), F.max("id").alias("last"))
-        counts = base.materialize(counts.where(F.col("docs") >= min_docs), "hot-lines")  # HOT_KEYS rows at most
+        counts = base.materialize(counts.where(F.col("docs") >= min_docs), "hot-lines")
         extra = lines.join(F.broadcast(counts), ["k1", "k2"]).where(F.col("id").isNull() | (F.col("id") < F.col("last"))).select("id", "th", "pos")
         rest = lines.join(hot, ["k1", "k2"], "left_anti")
     ranged = rest.repartitionByRange(base.partitions(df.sparkSession), "k1", "k2")
