@@ -33,6 +33,8 @@ from . import _base as base
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on, posterior that an added span needs.
 SAMPLE, SURE = 1500, 0.75
+#: Bounds of the fit alone: characters of a sampled document, windows of one and their characters, base values a kind.
+SAMPLE_CHARS, SAMPLE_WINDOWS, WINDOW_CHARS, SAMPLE_VALUES = 50_000, 3, 400, 400
 #: Digits of a card, the longest kind, and characters of an address before its sign and behind, the latter with dots spelled out.
 DIGITS, BEFORE, BEHIND = 19, 64, 1024
 # Of an address [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ the part behind the sign; what stands before is read
@@ -62,6 +64,12 @@ def _digits(s: str) -> str:
     return "".join(_DIGIT.findall(s))
 
 
+def _octet(part: str) -> bool:
+    """At most 255, whatever number of zeros stands before."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def _emails(text: str) -> Iterator[Span]:
     end, at = 0, text.find("@")
     while at >= 0:
@@ -80,7 +88,7 @@ def base_spans(text: str) -> list[Span]:
     if "@" in text:
         out += _emails(text)
     if _DIGIT.search(text):
-        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p) <= 400 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(_octet(p) for p in m.group().split("."))]
         out += [(m.start(), m.end(), "card") for m in _CARD.finditer(text) if 12 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
         if "+" in text:
             out += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
@@ -287,11 +295,11 @@ def examples(rows: list[tuple[str, list[Span]]], seed: int = 7) -> list[tuple[st
             inside = [(x - a, y - a, k) for x, y, k in clear if a <= x and y <= b]
             if not any(x < b and a < y and not (a <= x and y <= b) for x, y, _ in spans):
                 out.append((text[a:b], inside))
-        for a, b in windows(text, spans)[:3]:  # rejected digits
-            if b - a < 400:
+        for a, b in windows(text, spans)[:SAMPLE_WINDOWS]:  # rejected digits
+            if b - a < WINDOW_CHARS:
                 out.append((text[a:b], []))
     for kind, some in by.items():
-        by[kind] = some[:400] or {"email": ["a.b@mail.example.com"], "ip": ["10.0.0.1"], "card": ["4111111111111111"], "phone": ["+1 (202) 555-0100"]}[kind]
+        by[kind] = some[:SAMPLE_VALUES] or {"email": ["a.b@mail.example.com"], "ip": ["10.0.0.1"], "card": ["4111111111111111"], "phone": ["+1 (202) 555-0100"]}[kind]
 
     def joined(parts: list[tuple[str, str | None]]) -> None:
         text, spans = "to ", []
@@ -363,7 +371,7 @@ def fit_examples(data: list[tuple[str, list[Span]]], rounds: int = 25, rate: flo
 
 def fit(df: DataFrame, text_col: str = "text") -> Field:
     """A field for df, fitted on at most SAMPLE of its documents."""
-    some = df.select(F.coalesce(text_col, F.lit("")).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= 50_000)).withColumn("h", F.xxhash64("t"))
+    some = df.select(F.coalesce(text_col, F.lit("")).alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= SAMPLE_CHARS)).withColumn("h", F.xxhash64("t"))
     # Hashes are chosen first, so that tasks send numbers, not texts, to be ranked; copies of a text count once.
     first = some.select(F.col("h").alias("chosen")).distinct().orderBy("chosen").limit(SAMPLE)
     rows = some.join(F.broadcast(first), F.col("h") == F.col("chosen")).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
