@@ -17,6 +17,7 @@ in text and doc_id are neighbours in the order. An empty table gives an empty re
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -75,21 +76,23 @@ def find_splitters(keyed: DataFrame, targets: list[float], tolerance: float) ->
         sums = [0]
         for i in range(len(probes) + 1):
             sums.append(sums[-1] + (by[i].bytes if i in by else 0))
-        marks = [((_LOW, _LOW), 0), *((p, sums[i + 1]) for i, p in enumerate(probes)), ((_HIGH, _HIGH), sums[-1])]
+        marks, totals = [(_LOW, _LOW), *probes, (_HIGH, _HIGH)], sums  # sums[i] is below marks[i]
         for k, target in enumerate(targets):
             if found[k] is not None:
                 continue
             lo, lo_sum, hi, hi_sum = bounds[k]
-            for key, total in marks:
-                if total <= target and key > lo:
-                    lo, lo_sum = key, total
-            for key, total in reversed(marks):
-                if total >= target and lo < key < hi:
-                    hi, hi_sum = key, total
-            inside = [by[i] for i in by if marks[i][0] >= lo and (marks[i + 1][0] <= hi)]
+            # The marks' sums rise, so the target's place among them is found by bisection.
+            up = bisect.bisect_left(totals, target)
+            last = bisect.bisect_right(totals, target) - 1
+            if marks[last] > lo:
+                lo, lo_sum = marks[last], totals[last]
+            if up < len(marks) and lo < marks[up] < hi:
+                hi, hi_sum = marks[up], totals[up]
+            cell = by.get(last)
+            inside = cell is not None and marks[last] >= lo and (last + 1 < len(marks) and marks[last + 1] <= hi)
             if inside and hi_sum < math.inf:  # the rows themselves bound the search
-                h0, h1 = min(r.h0 for r in inside), max(r.h1 for r in inside)
-                d0, d1 = (min(r.d0 for r in inside), max(r.d1 for r in inside)) if h0 == h1 else (_LOW, _HIGH)
+                h0, h1 = cell.h0, cell.h1
+                d0, d1 = (cell.d0, cell.d1) if h0 == h1 else (_LOW, _HIGH)
                 lo = max(lo, (h0, d0))
                 hi = min(hi, (h1, d1 + 1) if h0 == h1 and d1 < _HIGH else (h1 + 1, _LOW) if h1 < _HIGH else hi)
             bounds[k] = [lo, lo_sum, hi, hi_sum]
