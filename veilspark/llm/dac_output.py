@@ -205,9 +205,13 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
 
 def read_back(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian uint32) of every document in the files that write() lists."""
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
-    placed = placed.repartition(base.partitions(files.sparkSession), "file")
+    # Tokens before a file: those of the parts before, a row for each write task, and those of the part's own files before.
+    parts = base.materialize(files.groupBy("part").agg(F.sum("n_tokens").alias("n")), "dac-parts")
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a number for each write task
+    parts = parts.select("part", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("ahead"))
+    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.select("part", "file", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("inside")).join(parts, "part")
+    placed = placed.select("file", (F.col("ahead") + F.col("inside")).alias("first")).repartition(base.partitions(files.sparkSession), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, top = fs.FileSystem.from_uri(folder)
@@ -230,6 +234,7 @@ def read_back(files: DataFrame, folder: str) -> DataFrame:
 
 def op8_dac_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{base.shared_dir(spark)}/veilspark/dac-{uuid.uuid4().hex}"
+    base.keep_until_exit(spark, folder)
     files = write(base.read(spark, sf_dir, "documents").select("doc_id", "text"), folder)
     return read_back(files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
