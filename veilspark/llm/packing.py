@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,17 +90,20 @@ def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, o
     groups = max(1, math.ceil(pieces.count() / group))
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "row", "piece"], ascending=[False, True, True], kind="stable")
-        where, sizes = best_fit(pdf["n_tokens"].tolist(), capacities, overhead)
+    def run(part: pa.Table) -> pa.Table:
+        # Arrow columns all the way: ids may be null, or too large for a float.
+        part = part.sort_by([("n_tokens", "descending"), ("row", "ascending"), ("piece", "ascending")])
+        lengths = part.column("n_tokens").to_pylist()
+        where, sizes = best_fit(lengths, capacities, overhead)
         filled, starts = [0] * len(sizes), []
-        for k, n in zip(where, pdf["n_tokens"].tolist()):
+        for k, n in zip(where, lengths):
             starts.append(filled[k])
             filled[k] += n
-        first = int(pdf["g"].iloc[0]) << 32
-        return pd.DataFrame({"id": pdf["id"].astype("Int64"), "piece": pdf["piece"], "n_tokens": pdf["n_tokens"], "bin": [first + k for k in where], "capacity": [sizes[k] for k in where], "bin_start": starts})
+        first = part.column("g")[0].as_py() << 32
+        more = {"bin": pa.array([first + k for k in where], pa.int64()), "capacity": pa.array([sizes[k] for k in where], pa.int64()), "bin_start": pa.array(starts, pa.int64())}
+        return pa.table({c: part.column(c) for c in ("id", "piece", "n_tokens")} | more)
 
-    return dealt.groupBy("g").applyInPandas(run, "id long, piece int, n_tokens long, bin long, capacity long, bin_start long")
+    return dealt.groupBy("g").applyInArrow(run, "id long, piece int, n_tokens long, bin long, capacity long, bin_start long")
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
