@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import TINY
 from tests.test_queries import rows as plain_rows
-from veilspark.llm import _base, bpe, dac_output, exact_dedup, histogram_sort, line_dedup, order_minhash, packing, pii_crf, simhash, toxicity_mil
+from veilspark.llm import _base, alike, bpe, dac_output, exact_dedup, histogram_sort, line_dedup, order_minhash, packing, pii_crf, simhash, toxicity_mil
 
 
 def pairs(df):
@@ -79,22 +79,20 @@ def brute_fingerprint(text, k=5, take=2, sketches=64):
         return signed(h)
 
     words = [mix(w) for w in text.strip(" \t\n\x0b\x0c\r").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").split(" ") if w] or [mix("")]
-    ring = (1 << 37) - 1
+    high = (1 << 37) - 1
     kmers = []
     for i in range(max(1, len(words) - k + 1)):
         part = [np.int64(words[i + j] if i + j < len(words) else j) for j in range(k)]
-        kmers.append((mix(*part) & ring, i))
+        kmers.append((mix(*part) & high, i))
     seen, items = Counter(), []
     for h, i in kmers:
-        items.append((mix(np.int64(h), seen[h]) & ring, i))
+        items.append((mix(np.int64(h), seen[h]) & high, i))
         seen[h] += 1
-    items.sort()
     out = ""
     for j in range(sketches):
-        start = j * (ring + 1) // sketches
-        first = next((n for n, x in enumerate(items) if x[0] >= start), len(items))
-        chosen = sorted((items[(first + q) % len(items)] for q in range(take)), key=lambda x: (x[1], x[0]))
-        out += f"{mix(*[np.int64(h) for h, _ in chosen]) & 0xFFFFFFFF:08x}"
+        chosen = sorted((i, h) for _, h, i in sorted((mix(np.int64(h), j), h, i) for h, i in items)[:take])
+        chosen = [h for _, h in chosen]
+        out += f"{mix(*[np.int64(h) for h in (chosen + chosen[:1] * take)[:take]]) & 0xFFFFFFFF:08x}"
     return out
 
 
@@ -123,12 +121,22 @@ def test_edited_texts(spark, odd, none):
         want = []
         for k, (i, t) in enumerate(order):
             nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
-            want.append((str(i), len(t), sha(t[: len(t) - half] + nxt[:half])))
-        assert sorted((str(r.doc_id), r.n_chars, sha(r.edited_text)) for r in got) == sorted(want)
-        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+            edited = t[: len(t) - half] + nxt[:half]
+            want.append((str(i), len(t), sha(edited), print_of(t), print_of(edited), like(t, edited), like(t, nxt)))
+        assert sorted((str(r.doc_id), r.n_chars, sha(r.edited_text), r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == sorted(want)
 
-    check(odd.where("doc_id is null or doc_id <> 7"))
-    check(tiny(spark))
+    known = {}
+
+    def print_of(t):
+        if t not in known:
+            known[t] = brute_fingerprint(t)
+        return known[t]
+
+    def like(a, b):
+        return sum(print_of(a)[k : k + 8] == print_of(b)[k : k + 8] for k in range(0, 512, 8)) / 64
+
+    check(odd)
+    check(tiny(spark).where("doc_id < 40"))
     assert order_minhash.edited_fingerprints(none).count() == 0
 
 
@@ -150,9 +158,9 @@ def brute_lines(rows, min_docs=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("share", [0.005, 0.0])
-def test_line_dedup(odd, none, share, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+@pytest.mark.parametrize("split", [4, 1000])  # no hot keys; every key of two lines is hot
+def test_line_dedup(odd, none, split, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SPLIT", split)
     out = line_dedup.apply_bitmaps(odd, line_dedup.keep_bitmaps(odd))
     assert out.columns[: len(odd.columns)] == odd.columns
     n, d, k = out.columns[-3:]
@@ -162,7 +170,7 @@ def test_line_dedup(odd, none, share, monkeypatch):
 
 def test_hot_lines_take_the_other_way(spark):
     df = spark.createDataFrame([(k, f"own {k} " + "y" * 40 + "\n" + "hot " * 20) for k in range(60)], "doc_id long, text string")
-    assert line_dedup._hot_keys(line_dedup._occurrences(df, "doc_id", "text", 40), 60).count() == 1
+    assert line_dedup._hot_keys(line_dedup._occurrences(df, "doc_id", "text", 40), 4).count() == 1
     got = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines(pairs(df))
 
@@ -276,6 +284,27 @@ def test_near_duplicates_are_brute_force(spark):
     assert all(leader in kept and leader in alike[i] for i, leader in found.items())
 
 
+def test_hot_keys_go_through_rounds(spark, monkeypatch):
+    """Copies of a few texts and mosaics of a few lines: most keys are of more sets than give pairs, and many sets share them unlike."""
+    monkeypatch.setattr(alike, "FEW", 3)
+    rng = random.Random(5)
+    vocab, texts = [f"w{k}" for k in range(900)], []
+    for size in (30, 80, 150):
+        w = rng.choices(vocab, k=size)
+        for _ in range(20):
+            v = list(w)
+            for _ in range(rng.randint(0, 3)):
+                v[rng.randrange(size)] = rng.choice(vocab)
+            texts.append(" ".join(v))
+    lines = [" ".join(rng.choices(vocab, k=8)) for _ in range(9)]
+    texts += [" ".join(rng.sample(lines, 4)) for _ in range(40)] + texts[:9]
+    near = brute_alike(enumerate(texts))
+    found = {r.id: r.leader for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kept = set(near) - set(found)
+    assert not [(a, b) for a in kept for b in near[a] if b in kept]
+    assert all(leader in kept and leader in near[i] for i, leader in found.items())
+
+
 def test_near_dedup_stage_is_brute_force(spark):
     import corpus_pipeline as P
 
@@ -472,6 +501,36 @@ def test_shards(spark, odd, none, hot):
     assert histogram_sort.shard_documents(none).count() == 0
 
 
+def test_query_7_is_whole(spark):
+    got = histogram_sort.op7_histogram_shards(spark, TINY).collect()
+    rows = dict(pairs(tiny(spark)))
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in rows.items()} and len(got) == len(rows)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert set(sizes) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    most = max(r["size"] for r in got)  # a shard can't be nearer to the mean than its largest row allows
+    assert max(abs(s - sum(sizes.values()) / 40) for s in sizes.values()) <= most
+
+
+def test_names_in_any_case(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b. c d", "x")], "doc_id long, text string, x string").select("doc_id", "text", *[F.col("x").alias(c) for c in ("IDS", "Base", "Score", "Shard", "N_Lines", "Decoded", "Spans")])
+    made = [bpe.encode(df), pii_crf.find(df, pii_crf.Field()), toxicity_mil.score(df, toxicity_mil.Model()), histogram_sort.shard_documents(df), line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))]
+    for n, out in enumerate(made):
+        out.write.parquet(str(tmp_path / str(n)))
+        assert out.columns[: len(df.columns)] == df.columns
+
+
+def test_a_shared_folder_is_asked_for(spark):
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _base.shared_dir(Far)
+
+
 def test_buckets_number_through(spark, monkeypatch):
     monkeypatch.setattr(histogram_sort, "BUCKET_ROWS", 50)
     got = histogram_sort.shard_documents(spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), (F.col("id") % 90).cast("int")).alias("text")), shards=4).collect()
@@ -496,6 +555,35 @@ def test_best_fit():
     assert sum(lengths) / sum(sizes) > 0.97
 
 
+def test_best_fit_is_the_plain_loop():
+    def plain(lengths, sizes=packing.CAPACITIES, overhead=packing.OVERHEAD):
+        best = None
+        for largest in [c for c in sizes if not lengths or c >= lengths[0]]:
+            bins, left = [], sum(lengths)
+            for n in lengths:
+                fit = min((b for b in bins if b[0] - b[1] >= n), key=lambda b: b[0] - b[1], default=None)
+                if fit is None:
+                    fit = [min((c for c in sizes if n <= c <= largest), key=lambda c: ((c + overhead) / min(c, left), c)), 0]
+                    bins.append(fit)
+                fit[1] += n
+                left -= n
+            cost = sum(min(c for c in sizes if c >= used) + overhead for _, used in bins)
+            best = cost if best is None else min(best, cost)
+        return best
+
+    rng = random.Random(18)
+    for _ in range(20):
+        lengths = sorted((rng.randint(1, 8192) if rng.random() < 0.3 else rng.randint(1, 700) for _ in range(rng.randint(0, 60))), reverse=True)
+        _, sizes = packing.best_fit(lengths)
+        assert sum(c + packing.OVERHEAD for c in sizes) == plain(lengths)
+
+
+def test_packing_keeps_ids(spark):
+    rows = [(None, "a b"), (2**60 + 1, "c"), (2**60 + 3, "d e f"), (-(2**62) - 1, "g"), (2**60 + 1, "c")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(library(packing.VOCABULARY).encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+
+
 def test_packing(spark, odd, none):
     t = library(packing.VOCABULARY)
     want = Counter((i, len(t.encode(x, add_special_tokens=False).ids) + 1) for i, x in pairs(odd))
