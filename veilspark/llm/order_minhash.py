@@ -1,14 +1,16 @@
 """Order MinHash fingerprints; DataFrame functions only.
 
 The k-mers are runs of K words. Each occurrence is numbered among the equal k-mers of its text, so repeats count, and (k-mer,
-number) is hashed. Each of the SKETCHES has an order of its own, by a hash of that hash and the sketch's number, and selects the L
-minimal occurrences in it. They are put back into text order and the tuple of their hashes is hashed. Two texts agree in
+number) is hashed. Each of the SKETCHES has an order of its own: occurrences whose hash lies in the sketch's part of the hash
+range, 1 / SKETCHES of it, come before all others, and among either a hash of that hash and the sketch's number decides. That is a
+uniformly random order for each sketch, the same for all texts, and two sketches share neither part nor hash. A sketch selects
+the L minimal occurrences in its order. They are put back into text order and the tuple of their hashes is hashed. Two texts agree in
 a sketch if the same minimal k-mers occur in the same order; the share of equal sketches is their likeness, which falls with the edit
 distance.
 
-A sketch needs the L smallest of n numbers only: those below EXPECTED / n of the range are enough unless fewer than L are, where all
-are taken. So each order costs a comparison a k-mer, and few values are sorted. No row is exploded, nothing is shuffled for
-it, and all of it runs in the JVM as array functions.
+Where a sketch's part holds L occurrences, only they are ranked, so in long texts all sketches together hash each occurrence once;
+in short ones, whose parts are mostly empty, each sketch ranks all of them. The parts are found by sorting their bounds in among the
+hashes. No row is exploded, nothing is shuffled for it, and all of it runs in the JVM as array functions.
 
 Defined results: a null text is empty; a text of fewer than K words has one k-mer, the whole word sequence; empty
 texts have equal fingerprints. A text may have up to 2^26 words, a bound of the packed numbers; longer ones raise an error. Equal texts have equal fingerprints. The order of documents is ascending id, nulls
@@ -27,8 +29,6 @@ K, L, SKETCHES = 5, 2, 64
 #: Bits that a word's position takes in a packed (hash, position): up to 2^26 words a text.
 _POS = 26
 _HASH = 63 - _POS
-#: Occurrences of a text that are expected among the candidates of a sketch.
-EXPECTED = 8
 _HEX = 8
 #: Buckets of neighbouring documents for each shuffle partition.
 BUCKETS = 16
@@ -63,21 +63,26 @@ def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHE
         return base.let(starts, lambda st: F.sort_array(F.when(F.size(st) == n, single).otherwise(runs(st))))
 
     word = lambda x: F.lpad(F.hex(F.xxhash64(*x).bitwiseAND(F.lit(0xFFFFFFFF))), _HEX, "0")
+    part = ((high + 1) // sketches) << _POS
+    # Part j begins at j * part; its mark sorts before the occurrences in it (position -1 can't occur, so one less).
+    marks = F.expr("array(" + ",".join(f"{j * part - 1}L" for j in range(sketches)) + ")")
 
     def sketched(a: Column) -> Column:
-        # Signed hashes below this are EXPECTED of size(a) on average.
-        top = F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(EXPECTED)) / F.size(a)) - F.lit(2.0**63)
-        bound = F.when(F.size(a) <= EXPECTED, F.lit(2**63 - 1)).otherwise(top.cast("long"))
-
-        def one(j: int, limit: Column) -> Column:
-            rank = lambda x: F.xxhash64(_shift(x, _POS), F.lit(j))
-            few = F.filter(a, lambda x: rank(x) <= limit)
-            some = base.let(few, lambda f: F.when(F.size(f) >= F.least(F.lit(take), F.size(a)), f).otherwise(a))
-            ranked = F.sort_array(F.transform(some, lambda x: F.struct(rank(x).alias("r"), _shift(x, _POS).alias("h"), x.bitwiseAND(F.lit(low)).alias("p"))))
-            ordered = F.array_sort(F.transform(F.slice(ranked, 1, take), lambda x: F.struct(x.p.alias("p"), x.h.alias("h"))))
+        n = F.size(a)
+        is_mark = lambda x: (x + 1).bitwiseAND(F.lit(part - 1)) == 0
+        merged = F.sort_array(F.concat(a, marks))
+        # The t-th mark at index i of the merged array has i - t occurrences before it.
+        begins = F.filter(F.transform(merged, lambda x, i: F.when(is_mark(x), i)), lambda i: i.isNotNull())
+
+        def one(first: Column, after: Column, j: Column) -> Column:
+            own = F.slice(a, first + 1, after - first)
+            some = F.when(after - first >= F.least(F.lit(take), n), own).otherwise(a)
+            rank = lambda x: F.struct((_shift(x, 63 - (sketches.bit_length() - 1)) != j).alias("far"), F.xxhash64(_shift(x, _POS), j).alias("r"), _shift(x, _POS).alias("h"), x.bitwiseAND(F.lit(low)).alias("p"))
+            chosen = F.slice(F.sort_array(F.transform(some, rank)), 1, take)
+            ordered = F.array_sort(F.transform(chosen, lambda x: F.struct(x.p.alias("p"), x.h.alias("h"))))
             return base.let(ordered, lambda o: word([F.coalesce(F.get(o, q).h, F.get(o, 0).h) for q in range(take)]))
 
-        return base.let(bound, lambda limit: F.concat(*[one(j, limit) for j in range(sketches)]))
+        return base.let(begins, lambda b: F.array_join(F.transform(b, lambda i, t: one(i - t, F.coalesce(F.get(b, t + 1) - t - 1, n), t)), ""))
 
     numbers = lambda w: F.when(F.size(w) <= 1 << _POS, w).otherwise(F.raise_error(F.lit("a text of more than 2^26 words")).cast("array<bigint>"))
     words = F.transform(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), base.SPACE + "+"), lambda w: F.xxhash64(w))
