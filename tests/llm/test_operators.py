@@ -90,7 +90,7 @@ def brute_fingerprint(text, k=5, take=2, sketches=64):
         seen[h] += 1
     out = ""
     for j in range(sketches):
-        chosen = sorted((i, h) for _, h, i in sorted((mix(np.int64(h), j), h, i) for h, i in items)[:take])
+        chosen = sorted((i, h) for _, _, h, i in sorted((h * sketches // (high + 1) != j, mix(np.int64(h), j), h, i) for h, i in items)[:take])
         chosen = [h for _, h in chosen]
         out += f"{mix(*[np.int64(h) for h in (chosen + chosen[:1] * take)[:take]]) & 0xFFFFFFFF:08x}"
     return out
