@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.streaming.events import ERRORS
+
 FLAGS = "HPSIBEG"
 
 
@@ -112,30 +114,68 @@ def protocol(path: Column, has_messages: Column, has_input: Column, anthropic: C
 
 
 #: Headers that stay behind, and beginnings of such.
-HOP_BY_HOP = "connection keep-alive proxy-authenticate proxy-authorization proxy-connection te trailer transfer-encoding upgrade".split()
-DROPPED_REQUEST = HOP_BY_HOP + (
-    "accept-encoding content-length cookie cookie2 forwarded host origin referer via x-real-ip x-redact-session x-redact-token"
-).split()
-DROPPED_RESPONSE = [*HOP_BY_HOP, "content-encoding", "content-length"]
+HOP_BY_HOP = (
+    "connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade",
+)
+DROPPED_REQUEST = (
+    *HOP_BY_HOP, "accept-encoding", "content-length", "cookie", "cookie2", "forwarded", "host", "origin", "referer", "via", "x-real-ip",
+    "x-redact-session", "x-redact-token",
+)
+DROPPED_RESPONSE = (*HOP_BY_HOP, "content-encoding", "content-length")
 DROPPED_PREFIXES = ("cf-", "sec-", "x-forwarded-")
 
 
-def request_headers(headers: Column) -> Column:
-    """A map of headers without hop-by-hop, cookie, forwarding and control headers, and those that Connection names."""
-    named = F.transform(F.split(F.lower(F.coalesce(F.element_at(F.map_filter(headers, lambda k, v: F.lower(k) == "connection"), "Connection"), F.lit(""))), ","), lambda x: F.trim(x))
+def _without(headers: Column, dropped: tuple[str, ...], prefixes: tuple[str, ...] = ()) -> Column:
+    """headers without the dropped ones and those that a Connection header, however it is spelled, names."""
+    said = F.array_join(F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == "connection")), ",")
+    named = F.transform(F.split(F.lower(said), ","), lambda x: F.trim(x))
 
     def stays(k: Column, _: Column) -> Column:
         low = F.lower(k)
-        out = ~low.isin(DROPPED_REQUEST) & ~F.array_contains(named, low)
-        for p in DROPPED_PREFIXES:
+        out = ~low.isin(*dropped) & ~F.array_contains(named, low)
+        for p in prefixes:
             out = out & ~low.startswith(p)
         return out
 
     return F.map_filter(headers, stays)
 
 
+def request_headers(headers: Column) -> Column:
+    """A map of headers without hop-by-hop, cookie, forwarding and control headers, and those that Connection names."""
+    return _without(headers, DROPPED_REQUEST, DROPPED_PREFIXES)
+
+
 def response_headers(headers: Column) -> Column:
-    return F.map_filter(headers, lambda k, _: ~F.lower(k).isin(DROPPED_RESPONSE))
+    return _without(headers, DROPPED_RESPONSE)
+
+
+def response_class(status: Column, content_type: Column, encoding: Column, size: Column, limit: int) -> Column:
+    """empty, untouched, json, text, or an error class: what becomes of a response's body."""
+    kind = F.coalesce(content_type, F.lit(""))
+    coded = F.lower(F.trim(F.coalesce(encoding, F.lit(""))))
+    return (
+        F.when(status.isin(204, 304), "empty").when(~is_text_type(kind), "untouched").when(~coded.isin("", "identity"), "encoded_response")
+        .when(size > limit, "response_too_large").when(is_json_type(kind), "json").otherwise("text")
+    )
+
+
+def epoch_ms(text: Column) -> Column:
+    """Milliseconds since 1970 of an RFC 3339 time; null if it is none."""
+    good = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
+    fraction = F.rpad(F.substring(F.regexp_extract(text, r"\.([0-9]+)", 1), 1, 3), 3, "0").cast("long")
+    whole = F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8), F.regexp_replace(F.upper(F.regexp_extract(text, r"([Zz]|[+-][0-9]{2}:[0-9]{2})$", 1)), "Z", "+00:00"))
+    seconds = F.unix_seconds(F.try_to_timestamp(F.when(good, whole), F.lit("yyyy-MM-dd HH:mm:ssXXX")))
+    return seconds * 1000 + fraction
+
+
+def rfc3339(ms: Column) -> Column:
+    """An RFC 3339 time in UTC, with milliseconds where there are any."""
+    day = F.floor(ms / 86_400_000)
+    inside = ms - day * 86_400_000
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(F.floor(inside / 3_600_000)), two(F.floor(inside / 60_000) % 60), two(F.floor(inside / 1000) % 60))
+    rest = F.when(inside % 1000 == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.rtrim(F.lpad((inside % 1000).cast("string"), 3, "0"), F.lit("0"))))
+    return F.concat(F.date_format(F.date_from_unix_date(day.cast("int")), "yyyy-MM-dd"), F.lit("T"), clock, rest, F.lit("Z"))
 
 
 def valid_session(session: Column) -> Column:
@@ -188,11 +228,12 @@ def body_class(content_type: Column, body: Column, limit: int) -> Column:
 
 
 def stream_error(event_type: Column, status: Column) -> Column:
-    """'' or the class of an event that ends a stream badly."""
-    return (
-        F.when(event_type == "error", "upstream_stream_error").when((event_type == "response.failed") | (status == "failed"), "upstream_response_failed")
-        .when((event_type == "response.incomplete") | (status == "incomplete"), "upstream_response_incomplete").otherwise("")
-    )
+    """'' or the class of an event that ends a stream badly, by the rows of streaming.events."""
+    out = F.lit("")
+    for pattern, name in reversed(ERRORS):
+        bad = F.coalesce(event_type.rlike(f"^(?:{pattern})$"), F.lit(False)) | F.coalesce(F.concat(F.lit("status "), status).rlike(f"^(?:{pattern})$"), F.lit(False))
+        out = F.when(bad, name).otherwise(out)
+    return out
 
 
 def stream_limit_class(limit_hit: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECKS = "10X98765432"
 ID_PROVINCES = (
-    "11 12 13 14 15 21 22 23 31 32 33 34 35 36 37 41 42 43 44 45 46 50 51 52 53 54 61 62 63 64 65 71 81 82 91"
-).split()
+    "11", "12", "13", "14", "15", "21", "22", "23", "31", "32", "33", "34", "35", "36", "37", "41", "42", "43", "44", "45", "46",
+    "50", "51", "52", "53", "54", "61", "62", "63", "64", "65", "71", "81", "82", "91",
+)
 
 # Length and least mean bigram cost, in bits, at which a string counts as random; linear in between.
 THRESHOLDS = (
@@ -42,7 +43,7 @@ def identity_number(value: Column, as_of: str) -> Column:
     birth = F.substring(value, 7, 8)
     return F.coalesce(
         value.rlike("^[0-9]{17}[0-9Xx]$")
-        & F.substring(value, 1, 2).isin(ID_PROVINCES)
+        & F.substring(value, 1, 2).isin(*ID_PROVINCES)
         & (F.substring(value, 3, 4) != "0000")
         & (F.substring(value, 15, 3) != "000")
         & F.try_to_date(birth, "yyyyMMdd").isNotNull()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import validators as V
-from veilspark.operators import policy, spans
+from veilspark.operators import policy, spans, vault
 
 MAX_DEPTH, MAX_ENCODED = 64, 8
 #: Fields whose text is read as JSON of any kind, not just objects and arrays. Fixed values.
@@ -113,7 +113,7 @@ def is_credential_field(name: str) -> bool:
 
 
 def credential_field(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"[_\-. ]", "")).isin(CREDENTIAL_FIELDS)
+    return F.lower(F.regexp_replace(name, r"[_\-. ]", "")).isin(*CREDENTIAL_FIELDS)
 
 
 def scan(text: str, depth: int = 0, encoded: int = 0, name: str = "", credentials: bool = True) -> Scan | None:
@@ -263,6 +263,20 @@ def rewrite(df: DataFrame, replacements: DataFrame, id_col: str = "doc_id", body
     return joined.mapInPandas(run, "doc_id long, body string")
 
 
+def restored(df: DataFrame, known: DataFrame, scope: Column, id_col: str = "doc_id", body_col: str = "body") -> DataFrame:
+    """id_col, body_col with the placeholders in all strings restored, also in JSON inside strings: each layer is escaped anew, so that a
+    value with quotes or backslashes can't break the body. A body that is no JSON is restored as text. known: the vault; scope: over id_col as doc_id."""
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(body_col).alias("body"))
+    found = leaves(source, credentials=False)
+    texts = found.where((F.col("kind") == "string") & F.col("value").rlike("[Rr][Gg]_")).select(F.struct("doc_id", "leaf").alias("id"), "value", "doc_id")
+    back = vault.restore(texts, known, scope, "id", "value").where(F.col("restored") > 0)
+    new = rewrite(source, back.select("id.doc_id", "id.leaf", F.col("restored_text").alias("text")), credentials=False)
+    plain = found.where("kind = 'error'").select(F.col("doc_id").alias("pid")).distinct()
+    text = vault.restore(source.join(plain, F.col("doc_id") == F.col("pid"), "left_semi"), known, scope, "doc_id", "body")
+    rest = new.join(plain, F.col("doc_id") == F.col("pid"), "left_anti")
+    return rest.unionByName(text.select("doc_id", F.col("restored_text").alias("body"))).withColumnRenamed("doc_id", id_col).withColumnRenamed("body", body_col)
+
+
 # The notice -------------------------------------------------------------------------------------------------------------------
 
 #: Fixed value: what is put before the last user message of a request in which something was masked.

@@ -71,7 +71,7 @@ RULES = (
     # Our own small pack of public key formats and of assignments to a credential name.
     Rule("assignment", "G", "CREDENTIAL", 80, rf"(?i){_WB}(?:api[_-]?key|access[_-]?token|client[_-]?secret|token|secret|password|passwd)[ \t]*[:=][ \t]*[\"'][^\"'\n]{{8,200}}[\"']", _has_any_case("=")),
     Rule("stripe", "G", "CREDENTIAL", 80, rf"{_WB}(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{{16,99}}{_WE}", _has("k_live_", "k_test_")),
-    Rule("google", "G", "CREDENTIAL", 80, rf"{_WB}AIza[A-Za-z0-9_-]{{35}}(?![A-Za-z0-9_-])", _has("AIza")),
+    Rule("google", "G", "CREDENTIAL", 80, rf"{_WB}AIza[A-Za-z0-9_-]{{35}}(?<=[A-Za-z0-9_]){_WE}", _has("AIza")),
     Rule("npm", "G", "CREDENTIAL", 80, rf"{_WB}npm_[A-Za-z0-9]{{36}}{_WE}", _has("npm_")),
     Rule("huggingface", "G", "CREDENTIAL", 80, rf"{_WB}hf_[A-Za-z0-9]{{30,}}{_WE}", _has("hf_")),
 )
@@ -86,21 +86,28 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """[(start, end, value)] of all matches that keep() accepts. Places are summed for accepted matches alone."""
-    total = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, p: a + F.length(p))
+    """[(start, end, value)] of all matches that keep() accepts. Places are counted once, up to the last accepted match."""
 
     def place(found: Column) -> Column:
         index = F.sequence(F.lit(0), F.size(found) - 1)
         chosen = F.filter(index, lambda k: F.coalesce(keep(F.get(found, k)), F.lit(False))) if keep else index
+        none = F.expr(f"cast(array() as {SPAN})")
 
-        def one(gaps: Column) -> Column:
-            def at(k: Column) -> Column:
-                start = total(gaps, k + 1) + total(found, k)
-                return _let(start, lambda s: F.struct(s.cast("int").alias("start"), (s + F.length(F.get(found, k))).cast("int").alias("end"), F.get(found, k).alias("value")))
+        # One pass over the matches up to the last chosen one carries the place on; texts with no chosen match aren't split.
+        def placed(some: Column, gaps: Column) -> Column:
+            start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("next"), none.alias("out"))
 
-            return F.transform(chosen, at)
+            def step(acc: Column, k: Column) -> Column:
+                begin = acc.at + F.length(F.get(gaps, k))
+                end = begin + F.length(F.get(found, k))
+                span = F.struct(begin.alias("start"), end.alias("end"), F.get(found, k).alias("value"))
+                hit = F.get(some, acc.next) == k
+                return F.struct(end.alias("at"), F.when(hit, acc.next + 1).otherwise(acc.next).alias("next"), F.when(hit, F.array_append(acc.out, span)).otherwise(acc.out).alias("out"))
 
-        return F.when(F.size(found) == 0, F.expr(f"cast(array() as {SPAN})")).otherwise(_let(F.split(text, pattern, -1), one))
+            return F.aggregate(F.sequence(F.lit(0), F.element_at(some, -1)), start, step, lambda acc: acc.out)
+
+        with_gaps = lambda some: _let(F.split(text, pattern, -1), lambda gaps: placed(some, gaps))
+        return F.when(F.size(found) == 0, none).otherwise(_let(chosen, lambda some: F.when(F.size(some) == 0, none).otherwise(with_gaps(some))))
 
     return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 

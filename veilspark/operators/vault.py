@@ -70,9 +70,9 @@ def placeholders(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Up to two braces at either side, each behind up to three backslashes, any case, underscores in the label. A bare core
     must not touch an identifier. token is null where the label is too long to have been issued.
     """
-    text = F.col(text_col)
-    some = df.select(id_col, text_col).where(F.contains(F.upper(text), F.lit("RG_")))
-    core = some.select(id_col, text_col, F.explode(spans.matches(text, CORE)).alias("s")).select(id_col, text_col, "s.*")
+    text = F.col("_text")
+    some = df.select(id_col, F.col(text_col).alias("_text")).where(text.rlike("[Rr][Gg]_"))
+    core = some.select(id_col, "_text", F.explode(spans.matches(text, CORE)).alias("s")).select(id_col, "_text", "s.*")
     before = F.when(F.col("start") > 0, F.substring(text, F.greatest(F.col("start") - 7, F.lit(1)), F.least(F.col("start"), F.lit(8)))).otherwise(F.lit(""))
     after = F.substring(text, F.col("end") + 1, F.lit(8))
     closing = F.regexp_extract(after, r"^((?:\\{0,3}\}){0,2})", 1)
@@ -88,6 +88,17 @@ def placeholders(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return kept.select(id_col, (F.col("start") - F.col("o")).alias("start"), (F.col("end") + F.col("c")).alias("end"), "token", "altered")
 
 
+def unprotected(merged: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Merged spans without the placeholders that df's texts hold already: what is masked stays as it is, the rest of a span goes on."""
+    return intervals.difference(merged, placeholders(df, id_col, text_col).select(id_col, "start", "end"), id_col)
+
+
+def limited(found: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Spans of scopes with at most limit distinct values; a scope beyond it is refused as a whole, as over_limit() lists."""
+    beyond = found.groupBy("scope").agg(F.count_distinct("raw").alias("n")).where(F.col("n") > limit).select("scope")
+    return found.join(beyond, "scope", "left_anti")
+
+
 def restore(df: DataFrame, vault: DataFrame, scope: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with restored_text, restored, restored_unique, unresolved, degraded. What is put in is not scanned again."""
     scopes = df.select(F.col(id_col).alias("sid"), scope.alias("scope"))

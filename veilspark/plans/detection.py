@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import validators as V
 from veilspark.operators import audit, entropy, intervals, spans, vault
 from veilspark.sources import tables as T
+from veilspark.sources import work
 
 SECRET = "test-secret"
 _L = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
@@ -16,7 +17,7 @@ _LUHN = """length(d) BETWEEN 13 AND 19 AND length(replace(d, d[1], '')) > 0 AND
 _ID = f"""d[1:2] IN ({", ".join(f"'{p}'" for p in V.ID_PROVINCES)}) AND d[3:6] <> '0000' AND d[15:17] <> '000' AND try_strptime(d[7:14], '%Y%m%d') IS NOT NULL
  AND d[7:14] BETWEEN '18000101' AND '{spans.AS_OF}' AND upper(d[18:18]) = '{V.ID_CHECKS}'[CAST(list_sum(list_transform(range(1, 18), lambda i: CAST(d[i] AS INT) * {list(V.ID_WEIGHTS)}[i])) % 11 + 1 AS BIGINT)]"""
 
-#: The oracle's own patterns, in its regex dialect, and its checks of d, the value or its digits.
+#: The oracle's own patterns, in its regex dialect, and its checks of d, the value or its digits.
 SQL_RULES = {
     "email": (rf"[A-Za-z0-9.!#$%&''*+/=?^_`{{|}}~-]+@{_L}(?:\.{_L})+", None),
     "phone_cn": ("1[3-9][0-9]{9}", "true"),
@@ -34,7 +35,7 @@ SQL_RULES = {
     "bearer": (r"(?i)\bBearer[ \t]+[A-Za-z0-9._~+/=-]{20,}", None),
     "assignment": (r"""(?i)\b(?:api[_-]?key|access[_-]?token|client[_-]?secret|token|secret|password|passwd)[ \t]*[:=][ \t]*["''][^"''\n]{8,200}["'']""", None),
     "stripe": (r"\b(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,99}\b", None),
-    "google": (r"\bAIza[A-Za-z0-9_-]{35}", None),
+    "google": (r"\bAIza[A-Za-z0-9_-]{35}\b", None),
     "npm": (r"\bnpm_[A-Za-z0-9]{36}\b", None),
     "huggingface": (r"\bhf_[A-Za-z0-9]{30,}\b", None),
     "entropy": ("[A-Za-z0-9]{9,}", None),
@@ -227,7 +228,21 @@ _SCOPE_SQL = "CAST(floor(doc_id / 64) AS BIGINT)"
 
 
 def _found(s: SparkSession, d: str) -> DataFrame:
-    return vault.with_raw(units(s, d), merged_spans(s, d), _scope())
+    """Written once, as texts are scanned for it and both the vault and the masked texts are made of it."""
+    masked = vault.unprotected(merged_spans(s, d), units(s, d))
+    return work.written(vault.limited(vault.with_raw(units(s, d), masked, _scope())), "found")
+
+
+def protected_redaction(s: SparkSession, d: str) -> DataFrame:
+    """Texts that hold a placeholder already: what stands around it is masked, the placeholder isn't, alone or inside a longer span."""
+    token = F.concat(F.lit("{{RG_EMAIL_QX7ZK2VWJ4PTM3YB}}"))
+    c = T.read(s, d, "customer").select("c_custkey")
+    host = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.org"))
+    forms = F.array(F.concat(F.lit("see "), token, F.lit(" ok")), F.concat(F.lit("see "), token, F.lit(" and "), host, F.lit(" ok")), F.concat(F.lit("postgres://root:"), token, F.lit("@db.example.com/app")))
+    texts = c.select(F.posexplode(forms).alias("k", "text"), "c_custkey").select((F.col("c_custkey") * 4 + F.col("k")).alias("doc_id"), "text")
+    spans_ = vault.unprotected(intervals.merge(spans.candidates(texts, costs=entropy.english())), texts)
+    found = vault.with_raw(texts, spans_, F.lit(1))
+    return found.select("doc_id", "start", "end", "label", "raw")
 
 
 def token_vault(s: SparkSession, d: str) -> DataFrame:
@@ -339,6 +354,9 @@ SELECT doc_id, sha256(text) AS restored_sha256, coalesce(k, 0) AS restored, coal
         "roundtrip_diff": (roundtrip_diff, "SELECT doc_id FROM documents WHERE false"),
         "restore_variants": (restore_variants, _variants_sql()),
         "rule_hits_by_doc": (rule_hits_by_doc, f"{with_m} SELECT doc_id, label, count(*) AS hits FROM m GROUP BY doc_id, label"),
+        "protected_redaction": (protected_redaction, """WITH k AS (SELECT c_custkey AS k, 'c' || CAST(c_custkey AS VARCHAR) || '@x.org' AS m FROM customer)
+SELECT k * 4 + 1 AS doc_id, 38 AS start, 38 + length(m) AS "end", 'EMAIL' AS label, m AS raw FROM k
+UNION ALL SELECT k * 4 + 2, 0, 16, 'CONNSTR', 'postgres://root:' FROM k UNION ALL SELECT k * 4 + 2, 45, 64, 'CONNSTR', '@db.example.com/app' FROM k"""),
         "vault_bytes": (vault_bytes, f"{with_v} SELECT scope, count(*) AS n_values, CAST(sum(strlen(raw) + strlen(token) + 256) + 512 AS BIGINT) AS held_bytes FROM v GROUP BY scope"),
         "vault_over_limit": (vault_over_limit, f"{with_v} SELECT scope, count(*) AS n_values FROM v GROUP BY scope HAVING count(*) > 8"),
     }

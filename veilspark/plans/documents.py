@@ -60,8 +60,21 @@ _TOKEN = f"""SELECT conv_id, '{{{{RG_EMAIL_' || {_ID16.format(v="CAST('0x' || h[
 def json_roundtrip_diff(s: SparkSession, d: str) -> DataFrame:
     """Bodies that come back changed. No rows."""
     b, masked, v = _masked(s, d)
-    back = vault.restore(masked, v, F.col("doc_id"), "doc_id", "body").select("doc_id", "restored_text")
-    return b.join(back, "doc_id").where(F.col("body") != F.col("restored_text")).select("doc_id")
+    back = jsondoc.restored(masked, v, F.col("doc_id")).select("doc_id", F.col("body").alias("restored"))
+    return b.join(back, "doc_id").where(F.col("body") != F.col("restored")).select("doc_id")
+
+
+def json_tree_restore(s: SparkSession, d: str) -> DataFrame:
+    """Bodies whose values hold quotes, backslashes and line ends, one of them in JSON inside a string: what the texts are once restored."""
+    raw = F.concat(F.lit('a"b\\\\c\n'), F.col("c_custkey").cast("string"))
+    rows = T.read(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("scope"), F.lit(0).alias("start"), F.lit("EMAIL").alias("label"), raw.alias("raw"))
+    v = vault.issue(rows, SECRET)
+    told = F.concat(F.lit("to "), "token", F.lit(" end"))
+    body = F.to_json(F.struct(told.alias("text"), F.to_json(F.struct(told.alias("deep"), F.lit(1.5).alias("n"))).alias("arguments")))
+    bodies_ = v.join(rows.select("raw", "doc_id"), "raw").select("doc_id", body.alias("body"))
+    back = jsondoc.restored(bodies_, v, F.lit(1))
+    shown = F.get_json_object(F.get_json_object("body", "$.arguments"), "$.deep")
+    return back.select("doc_id", F.get_json_object("body", "$.text").alias("text"), shown.alias("deep"), F.get_json_object(F.get_json_object("body", "$.arguments"), "$.n").alias("n"))
 
 
 def json_depth_guard(s: SparkSession, d: str) -> DataFrame:
@@ -194,7 +207,7 @@ def sse_fields(s: SparkSession, d: str) -> DataFrame:
 def session_lru(s: SparkSession, d: str) -> DataFrame:
     e = T.read(s, d, "events")
     k = F.get_json_object("props", "$.k")
-    rows = e.select(F.lit(0).alias("shard"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), F.concat("event_type", k).alias("value"))
+    rows = e.select(F.pmod(F.crc32(F.col("user_id").cast("string")), F.lit(16)).cast("int").alias("shard"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), F.concat("event_type", k).alias("value"))
     return sessions.replay(rows, sessions.Limits(ttl_s=6 * 3600, sessions=32))
 
 
@@ -205,6 +218,7 @@ def build() -> tuple[dict, dict]:
         "policy_paths": (policy_paths, "SELECT conv_id AS doc_id, count(*) + 1 AS kept, count(*) AS scanned FROM conversations GROUP BY conv_id"),
         "json_redact_conversations": (json_redact_conversations, f"WITH c AS ({_TURNS}), k AS ({_TOKEN}), u AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN replace(text, 'c' || CAST(conv_id AS VARCHAR) || '@x.org', token) ELSE text END AS text FROM c JOIN k USING (conv_id)) SELECT conv_id AS doc_id, sha256({_BODY}) AS body_sha256 FROM u GROUP BY conv_id"),
         "json_roundtrip_diff": (json_roundtrip_diff, "SELECT conv_id AS doc_id FROM conversations WHERE false"),
+        "json_tree_restore": (json_tree_restore, """SELECT c_custkey AS doc_id, 'to a"b' || chr(92) || chr(92) || 'c' || chr(10) || CAST(c_custkey AS VARCHAR) || ' end' AS text, 'to a"b' || chr(92) || chr(92) || 'c' || chr(10) || CAST(c_custkey AS VARCHAR) || ' end' AS deep, '1.5' AS n FROM customer"""),
         "json_depth_guard": (json_depth_guard, "SELECT n AS doc_id, CASE WHEN n > 64 THEN 'json_nesting_limit' ELSE '' END AS error FROM range(1, 81) t(n)"),
         "encoded_json": (encoded_json, "SELECT n AS doc_id, CASE WHEN n > 8 THEN 0 ELSE n END::INT AS layer, CASE WHEN n > 8 THEN 'json_nesting_limit' ELSE '' END AS error FROM range(0, 12) t(n)"),
         "credential_fields": (credential_fields, "WITH f AS (SELECT c_custkey, ['API-Key', 'tokens', 'client.secret', 'Access Token', 'name', 'password', 'key', 'x_password', 'Authorization'][c_custkey % 9 + 1] AS field FROM customer) SELECT c_custkey, field, field IN ('API-Key', 'client.secret', 'Access Token', 'password', 'Authorization') AS is_credential FROM f"),

@@ -31,14 +31,37 @@ def append_audit(df: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("day").parquet(path)
 
 
-def scan_audit(spark: SparkSession, path: str) -> DataFrame:
-    """The log with hits as a map and fields as an array; text that is no JSON reads as empty."""
-    rows = conformed(spark.read.option("mergeSchema", "true").parquet(path))
+def _audit_schema() -> str:
+    return ", ".join(f"{c} {kind}" for c, (kind, _) in AUDIT.items()) + ", day date"
+
+
+def scan_audit(spark: SparkSession, path: str, since=None) -> DataFrame:
+    """The log with hits as a map and fields as an array; text that is no JSON reads as empty. since: a time or column of one; earlier
+    rows are left out, and folders of earlier days aren't opened. The schema is given, so no footer is read for it."""
+    log = spark.read.schema(_audit_schema()).parquet(path)
+    if since is not None:
+        log = log.where((F.col("day") >= F.to_date(F.lit(since))) & (F.col("ts") >= F.lit(since)))
+    rows = conformed(log)
     hits = F.coalesce(F.from_json("rule_hits_json", "map<string,int>"), F.expr("cast(map() as map<string,int>)"))
     fields = F.coalesce(F.from_json("redaction_fields_json", "array<string>"), F.expr("cast(array() as array<string>)"))
     return rows.withColumn("rule_hits", hits).withColumn("redaction_fields", fields)
 
 
+def expired_days(spark: SparkSession, path: str, before) -> list[str]:
+    """Folders of the log whose days lie before a date: what retention may drop as a whole. One row a day is listed."""
+    days = spark.read.schema(_audit_schema()).parquet(path).where(F.col("day") < F.lit(before)).select("day").distinct().orderBy("day")
+    return [f"{path}/day={r.day}" for r in days.collect()]
+
+
+def drop_expired(spark: SparkSession, path: str, before) -> int:
+    """Deletes the folders of days before a date; gives their number."""
+    gone = expired_days(spark, path, before)
+    for folder in gone:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(gone)
+
+
 # The statements below are plain enough that both engines read them; they make test inputs, not results.
 EVENTS_AS_AUDIT = """
 SELECT event_id AS id, ts, user_id, 'h' || cast(user_id % 20 AS string) || '.example.com' AS upstream_host, '/v1/' || event_type AS upstream_path,
@@ -95,6 +118,7 @@ SECRETS = {
     "bearer": f"'Bearer ' || {_H}", "privatekey": f"'-----BEGIN PRIVATE KEY-----' || chr(10) || {_H} || chr(10) || '-----END PRIVATE KEY-----'",
     "phone_cn": "'13' || lpad(cast(c_custkey AS string), 9, '0')", "card_plain": _card_expr(), "idcard": _identity_expr(),
     "assignment": f"'token = \"' || {_H} || '\"'", "stripe": f"'sk_live_' || substr({_H}, 1, 24)",
+    "google": f"'AIza' || {_H} || substr({_H}, 1, 3)", "npm": f"'npm_' || {_H} || substr({_H}, 1, 4)", "huggingface": f"'hf_' || {_H}",
 }
 
 
