@@ -9,7 +9,7 @@ a sketch if the same minimal k-mers occur in the same order; the share of equal
 distance.
 
 Where a sketch's part holds L occurrences, only they are ranked, so in long texts all sketches together hash each occurrence once;
-in short ones, whose parts are mostly empty, each sketch ranks all of them. The parts are found by sorting their bounds in among the
+in short ones, whose parts are mostly empty, each sketch looks through all of them and ranks those with small hashes (all, if too few are small). The parts are found by sorting their bounds in among the
 hashes. No row is exploded, nothing is shuffled for it, and all of it runs in the JVM as array functions.
 
 Defined results: a null text is empty; a text of fewer than K words has one k-mer, the whole word sequence; empty
@@ -29,6 +29,8 @@ K, L, SKETCHES = 5, 2, 64
 #: Bits that a word's position takes in a packed (hash, position): up to 2^26 words a text.
 _POS = 26
 _HASH = 63 - _POS
+#: Occurrences that are expected in the share of all that is ranked first where a sketch's part holds too few.
+FEW = 8
 _HEX = 8
 #: Buckets of neighbouring documents for each shuffle partition.
 BUCKETS = 16
@@ -69,6 +71,8 @@ def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHE
 
     def sketched(a: Column) -> Column:
         n = F.size(a)
+        # Signed hashes up to here are FEW of the n on average.
+        bound = (F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(FEW)) / n) - F.lit(2.0**63)).cast("long")
         is_mark = lambda x: (x + 1).bitwiseAND(F.lit(part - 1)) == 0
         merged = F.sort_array(F.concat(a, marks))
         # The t-th mark at index i of the merged array has i - t occurrences before it.
@@ -76,7 +80,10 @@ def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHE
 
         def one(first: Column, after: Column, j: Column) -> Column:
             own = F.slice(a, first + 1, after - first)
-            some = F.when(after - first >= F.least(F.lit(take), n), own).otherwise(a)
+            near = lambda x: _shift(x, 63 - (sketches.bit_length() - 1)) == j
+            low_ = F.filter(a, lambda x: (F.xxhash64(_shift(x, _POS), j) <= bound) | near(x))
+            enough = base.let(low_, lambda f: F.when(F.size(f) >= take, f).otherwise(a))
+            some = F.when(after - first >= F.least(F.lit(take), n), own).when(n <= 2 * FEW, a).otherwise(enough)
             rank = lambda x: F.struct((_shift(x, 63 - (sketches.bit_length() - 1)) != j).alias("far"), F.xxhash64(_shift(x, _POS), j).alias("r"), _shift(x, _POS).alias("h"), x.bitwiseAND(F.lit(low)).alias("p"))
             chosen = F.slice(F.sort_array(F.transform(some, rank)), 1, take)
             ordered = F.array_sort(F.transform(chosen, lambda x: F.struct(x.p.alias("p"), x.h.alias("h"))))
