@@ -72,14 +72,14 @@ def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHE
     def sketched(a: Column) -> Column:
         n = F.size(a)
         # Signed hashes up to here are FEW of the n on average.
-        bound = (F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(FEW)) / n) - F.lit(2.0**63)).cast("long")
+        most = (F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(FEW)) / n) - F.lit(2.0**63)).cast("long")
         is_mark = lambda x: (x + 1).bitwiseAND(F.lit(part - 1)) == 0
         merged = F.sort_array(F.concat(a, marks))
         # The t-th mark at index i of the merged array has i - t occurrences before it.
         begins = F.filter(F.transform(merged, lambda x, i: F.when(is_mark(x), i)), lambda i: i.isNotNull())
 
-        def one(first: Column, after: Column, j: Column) -> Column:
-            own = F.slice(a, first + 1, after - first)
+        def one(first: Column, after: Column, j: Column, bound: Column) -> Column:
+            own = F.transform(F.sequence(first, after - 1), lambda i: F.get(a, i))  # slice() would copy the whole array first
             near = lambda x: _shift(x, 63 - (sketches.bit_length() - 1)) == j
             low_ = F.filter(a, lambda x: (F.xxhash64(_shift(x, _POS), j) <= bound) | near(x))
             enough = base.let(low_, lambda f: F.when(F.size(f) >= take, f).otherwise(a))
@@ -89,7 +89,8 @@ def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHE
             ordered = F.array_sort(F.transform(chosen, lambda x: F.struct(x.p.alias("p"), x.h.alias("h"))))
             return base.let(ordered, lambda o: word([F.coalesce(F.get(o, q).h, F.get(o, 0).h) for q in range(take)]))
 
-        return base.let(begins, lambda b: F.array_join(F.transform(b, lambda i, t: one(i - t, F.coalesce(F.get(b, t + 1) - t - 1, n), t)), ""))
+        every = lambda b, limit: F.transform(b, lambda i, t: one(i - t, F.coalesce(F.get(b, t + 1) - t - 1, n), t, limit))
+        return base.let(begins, lambda b: base.let(most, lambda limit: F.array_join(every(b, limit), "")))
 
     numbers = lambda w: F.when(F.size(w) <= 1 << _POS, w).otherwise(F.raise_error(F.lit("a text of more than 2^26 words")).cast("array<bigint>"))
     words = F.transform(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), base.SPACE + "+"), lambda w: F.xxhash64(w))
