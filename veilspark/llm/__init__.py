@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "line_dedup", "histogram_sort", "order_minhash", "simhash", "bpe", "dac_output", "toxicity_mil", "pii_crf", "packing")
+MODULES = ("exact_dedup", "line_dedup", "histogram_sort", "order_minhash", "simhash", "bpe", "dac_output", "toxicity_mil", "pii_crf", "packing", "crc_resample", "page_template", "whiten")
 
 
 def registry() -> tuple[dict, dict]:
