@@ -33,12 +33,6 @@ def test_bodies_are_restored_layer_by_layer(spark):
     assert got[1] == f"no json {raw}" and got[2] == bodies[2]
 
 
-def test_scopes_beyond_the_limit_are_refused(spark):
-    found = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "a")], "scope long, raw string")
-    assert {r.scope for r in vault.limited(found, 1).collect()} == {2}
-    assert vault.limited(found, 2).count() == 5
-
-
 def test_responses(spark):
     rows = [(204, "text/plain", None, 1, "empty"), (200, "image/png", "gzip", 9, "untouched"), (200, "application/json", "gzip", 1, "encoded_response"), (200, "text/html", " Identity ", 1, "text"), (200, "application/problem+json", None, 1, "json"), (200, "text/plain", None, 11, "response_too_large"), (200, None, None, 1, "untouched")]
     df = spark.createDataFrame(rows, "s int, t string, e string, n int, want string")

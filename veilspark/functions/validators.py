@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.arrays import let, over, quoted
+
 # Fixed values of the identity-number standard: weights, check characters and province-level prefixes.
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECKS = "10X98765432"
@@ -20,52 +22,67 @@ THRESHOLDS = (
 )
 
 
+# The checks are SQL text over a name, so that rules can use them within longer expressions; below they are columns.
+
+
+def _digits(v: str) -> str:
+    return f"regexp_replace({v}, '[^0-9]', '')"
+
+
+def luhn_card_sql(v: str) -> str:
+    return let(_digits(v), "dg_", "length(dg_) BETWEEN 13 AND 19 AND NOT rlike(dg_, '^(.)\\\\1*$') AND luhn_check(dg_)")
+
+
+def international_phone_sql(v: str) -> str:
+    return f"(length({_digits(v)}) BETWEEN 8 AND 15 AND substr({v}, 2, 1) <> '0')"
+
+
+def identity_number_sql(v: str, as_of: str) -> str:
+    weights, places = ", ".join(map(str, ID_WEIGHTS)), ", ".join(quoted(p) for p in ID_PROVINCES)
+    total = f"aggregate(sequence(1, 17), 0, (sum_, nth_) -> sum_ + cast(substr({v}, nth_, 1) AS int) * array({weights})[nth_ - 1])"
+    return (
+        f"(rlike({v}, '^[0-9]{{17}}[0-9Xx]$') AND substr({v}, 1, 2) IN ({places}) AND substr({v}, 3, 4) <> '0000' AND substr({v}, 15, 3) <> '000' "
+        f"AND try_to_date(substr({v}, 7, 8), 'yyyyMMdd') IS NOT NULL AND substr({v}, 7, 8) BETWEEN '18000101' AND '{as_of}' AND upper(substr({v}, 18, 1)) = substr('{ID_CHECKS}', {total} % 11 + 1, 1))"
+    )
+
+
+def random_threshold_sql(n: str) -> str:
+    steps = " ".join(f"WHEN {n} <= {b} THEN {x!r}D + {y - x!r}D * ({n} - {a}) / {float(b - a)!r}D" for (a, x), (b, y) in zip(THRESHOLDS, THRESHOLDS[1:]))
+    return f"CASE WHEN {n} <= 8 THEN double('Infinity') {steps} ELSE {THRESHOLDS[-1][1]!r}D END"
+
+
+def char_entropy_sql(v: str) -> str:
+    share = f"((length({v}) - length(replace({v}, ch_, ''))) / length({v}))"
+    return f"aggregate(array_sort(array_distinct(split({v}, ''))), 0.0D, (sum_, ch_) -> sum_ - CASE WHEN ch_ = '' THEN 0.0D ELSE {share} * log2({share}) END)"
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
 def luhn_card(value: Column) -> Column:
     """13 to 19 digits, not all the same, that pass the mod 10 check."""
-    d = digits(value)
-    return F.length(d).between(13, 19) & ~d.rlike("^(.)\\1*$") & F.call_function("luhn_check", d)
+    return over(value, "v_", luhn_card_sql("v_"))
 
 
 def international_phone(value: Column) -> Column:
     """8 to 15 digits behind the plus, the first not 0."""
-    return F.length(digits(value)).between(8, 15) & (F.substring(value, 2, 1) != "0")
+    return over(value, "v_", international_phone_sql("v_"))
 
 
 def identity_number(value: Column, as_of: str) -> Column:
     """18 characters with a valid prefix, birth date up to as_of (yyyyMMdd), sequence and check character."""
-    number = lambda i: F.substring(value, i + 1, 1).try_cast("int")
-    total = sum((number(i) * w for i, w in enumerate(ID_WEIGHTS)), F.lit(0))
-    check = F.substring(F.lit(ID_CHECKS), (total % 11 + 1).cast("int"), F.lit(1))
-    birth = F.substring(value, 7, 8)
-    return F.coalesce(
-        value.rlike("^[0-9]{17}[0-9Xx]$")
-        & F.substring(value, 1, 2).isin(*ID_PROVINCES)
-        & (F.substring(value, 3, 4) != "0000")
-        & (F.substring(value, 15, 3) != "000")
-        & F.try_to_date(birth, "yyyyMMdd").isNotNull()
-        & birth.between("18000101", as_of)
-        & (F.upper(F.substring(value, 18, 1)) == check),
-        F.lit(False),
-    )
+    return F.coalesce(over(value, "v_", identity_number_sql("v_", as_of)), F.lit(False))
 
 
 def random_threshold(length: Column) -> Column:
     """The mean bigram cost that a string of this length must exceed; infinite up to 8."""
-    out = F.when(length <= 8, F.lit(float("inf")))
-    for (a, x), (b, y) in zip(THRESHOLDS, THRESHOLDS[1:]):
-        out = out.when(length <= b, F.lit(x) + F.lit(y - x) * (length - a) / F.lit(float(b - a)))
-    return out.otherwise(F.lit(THRESHOLDS[-1][1]))
+    return over(length, "n_", random_threshold_sql("n_"))
 
 
 def char_entropy(value: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
-    n = F.length(value)
-    share = lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n
-    return F.aggregate(F.array_sort(F.array_distinct(F.split(value, ""))), F.lit(0.0), lambda acc, c: acc - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))
+    return over(value, "v_", char_entropy_sql("v_"))
 
 
 def exact_integer(lexeme: Column) -> Column:

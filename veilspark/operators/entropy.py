@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import validators as V
+from veilspark.functions.arrays import let, over, quoted
 from veilspark.operators import spans as S
 
 SYMBOLS = "^$0123456789abcdefghijklmnopqrstuvwxyz"
@@ -56,21 +57,24 @@ def english() -> list[int]:
     return costs_of(counts)
 
 
-def bigram_cost(value: Column, costs: list[int]) -> Column:
-    """Summed cost of ^value$, lower-cased, in 1/10000 bit."""
-    table = F.expr("array(" + ",".join(f"{c}L" for c in costs) + ")")
-    place = lambda c: F.instr(F.lit(SYMBOLS), c) - 1
-    marked = F.concat(F.lit("^"), F.lower(value), F.lit("$"))
-    step = lambda i: F.get(table, place(F.substring(marked, i, F.lit(1))) * len(SYMBOLS) + place(F.substring(marked, i + 1, F.lit(1))))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) + 1), F.lit(0).cast("long"), lambda acc, i: acc + step(i))
+def bigram_cost_sql(v: str, costs: list[int]) -> str:
+    table = "array(" + ",".join(f"{c}L" for c in costs) + ")"
+    place = lambda at: f"instr({quoted(SYMBOLS)}, substr(mk_, {at}, 1))"
+    step = f"sum_ + {table}[({place('nth_')} - 1) * {len(SYMBOLS)} + {place('nth_ + 1')} - 1]"
+    return let(f"concat('^', lower({v}), '$')", "mk_", f"aggregate(sequence(1, length({v}) + 1), 0L, (sum_, nth_) -> {step})")
+
+
+def is_random_sql(v: str, costs: list[int]) -> str:
+    # The cost before the variety: plain words fail it, and most are varied enough.
+    costly = f"{bigram_cost_sql(v, costs)} / {float(SCALE)!r}D / (length({v}) + 1) > {V.random_threshold_sql(f'length({v})')}"
+    varied = let(f"lower({v})", "low_", V.char_entropy_sql("low_"))
+    return f"(rlike({v}, '^[A-Za-z0-9]{{9,}}$') AND NOT rlike({v}, '^[0-9]+$') AND {costly} AND {varied} >= least(2.5D, log2(length({v})) * 0.72D))"
 
 
 def is_random(value: Column, costs: list[int]) -> Column:
     """Over 8 ASCII letters or digits, not all digits, varied enough, and costlier than a string of words of that length."""
-    n = F.length(value)
-    varied = V.char_entropy(F.lower(value)) >= F.least(F.lit(2.5), F.log2(n) * 0.72)
-    return value.rlike("^[A-Za-z0-9]{9,}$") & ~value.rlike("^[0-9]+$") & varied & (bigram_cost(value, costs) / F.lit(float(SCALE)) / (n + 1) > V.random_threshold(n))
+    return over(value, "v_", is_random_sql("v_", costs))
 
 
 def random_tokens(df: DataFrame, costs: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return S.spans(df, S.TOKEN, id_col, text_col, keep=lambda v: is_random(v, costs))
+    return S.spans(df, S.TOKEN, id_col, text_col, keep=lambda v: is_random_sql(v, costs))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.functions.arrays import let, over, running_max
+
 
 def merge(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Overlapping spans become one; touching ones stay apart. The first span's label holds if it alone spans the union, else SECRET."""
@@ -18,6 +20,36 @@ def merge(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return out.select(id_col, "start", "end", label.alias("label"))
 
 
+MERGED = "array<struct<start:int,end:int,label:string>>"
+
+
+def merged_sql(found: str) -> str:
+    """merge() of one row's spans, an array of structs with start, end, label, priority: [(start, end, label)], in order."""
+    keyed = f"array_sort(transform({found}, x_ -> named_struct('start', x_.start, 'e', -x_.end, 'p', -x_.priority, 'label', x_.label)))"
+    firsts = "filter(sequence(0, size(o_) - 1), i_ -> CASE WHEN i_ = 0 THEN true ELSE o_[i_].start >= r_[i_ - 1] END)"
+    reach = "r_[CASE WHEN j_ + 1 < size(f_) THEN f_[j_ + 1] ELSE size(o_) END - 1]"
+    island = f"named_struct('start', o_[i_].start, 'end', {reach}, 'label', CASE WHEN {reach} = -o_[i_].e THEN o_[i_].label ELSE 'SECRET' END)"
+    islands = let("transform(o_, x_ -> -x_.e)", "n_", let(running_max("n_"), "r_", let(firsts, "f_", f"transform(f_, (i_, j_) -> {island})")))
+    return let(keyed, "o_", f"CASE WHEN coalesce(size(o_), 0) <= 0 THEN cast(array() AS {MERGED}) ELSE {islands} END")
+
+
+def merged(found: Column) -> Column:
+    return over(found, "a_", merged_sql("a_"))
+
+
+def without_sql(spans: str, protected: str) -> str:
+    """difference() of one row: spans, merged, without what the disjoint protected ones cover, both in order."""
+    a = "CASE WHEN j_ = 0 THEN x_.start ELSE greatest(x_.start, u_[j_ - 1].end) END"
+    b = "CASE WHEN j_ = size(u_) THEN x_.end ELSE least(x_.end, u_[j_].start) END"
+    rest = f"filter(transform(sequence(0, size(u_)), j_ -> named_struct('start', {a}, 'end', {b}, 'label', x_.label)), y_ -> y_.start < y_.end)"
+    left = let(f"filter({protected}, p_ -> p_.start < x_.end AND p_.end > x_.start)", "u_", rest)
+    return f"CASE WHEN size({protected}) = 0 THEN {spans} ELSE flatten(transform({spans}, x_ -> {left})) END"
+
+
+def without(spans: Column, protected: Column) -> Column:
+    return over(F.struct(spans.alias("s"), protected.alias("p")), "b_", without_sql("b_.s", "b_.p"))
+
+
 def difference(df: DataFrame, protected: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Merged spans without what the disjoint protected spans (id, start, end) cover; remainders keep the label.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import validators as V
+from veilspark.functions.arrays import let, over, quoted, running_sum
 
 FLAGS = "HPSIBEG"
 #: Identity numbers with a later birth date are rejected; fixed so that results can be repeated.
@@ -30,37 +31,31 @@ class Rule:
     label: str
     priority: int
     pattern: str
-    prefilter: Callable[[Column], Column]
-    check: Callable[[Column], Column] | None = None
+    prefilter: Callable[[str], str]
+    check: Callable[[str], str] | None = None
 
 
-def _has(*needles: str) -> Callable[[Column], Column]:
-    def test(text: Column) -> Column:
-        out = F.contains(text, F.lit(needles[0]))
-        for n in needles[1:]:
-            out = out | F.contains(text, F.lit(n))
-        return out
+def _has(*needles: str) -> Callable[[str], str]:
+    return lambda t: "(" + " OR ".join(f"contains({t}, {quoted(n)})" for n in needles) + ")"
 
-    return test
 
+def _has_any_case(needle: str) -> Callable[[str], str]:
+    return lambda t: f"contains(lower({t}), {quoted(needle)})"
 
-def _has_any_case(needle: str) -> Callable[[Column], Column]:
-    return lambda text: F.contains(F.lower(text), F.lit(needle))
 
-
-def _shape(pattern: str) -> Callable[[Column], Column]:
-    return lambda text: text.rlike(pattern)
+def _shape(pattern: str) -> Callable[[str], str]:
+    return lambda t: f"rlike({t}, {quoted(pattern)})"
 
 
 # Patterns, labels and priorities are fixed values: they decide what is found.
 RULES = (
     Rule("email", "E", "EMAIL", 90, rf"[A-Za-z0-9.!#$%&'*+/=?^_`{{|}}~-]+@{_LABEL}(?:\.{_LABEL})+", _has("@")),
-    Rule("phone_cn", "P", "PHONE", 88, "1[3-9][0-9]{9}", _shape("1[3-9][0-9]{9}"), lambda v: F.lit(True)),
-    Rule("phone_intl", "P", "PHONE", 87, r"\+(?:[0-9][ .()\-]{0,2}){7,}[0-9]", _has("+"), V.international_phone),
+    Rule("phone_cn", "P", "PHONE", 88, "1[3-9][0-9]{9}", _shape("1[3-9][0-9]{9}"), lambda v: "true"),
+    Rule("phone_intl", "P", "PHONE", 87, r"\+(?:[0-9][ .()\-]{0,2}){7,}[0-9]", _has("+"), V.international_phone_sql),
     Rule("apikey", "S", "APIKEY", 110, rf"{_WB}sk-[A-Za-z0-9_-]{{20,}}(?<=[A-Za-z0-9_]){_WE}", _has("sk-")),
-    Rule("idcard", "I", "IDCARD", 100, "[0-9]{17}[0-9Xx]", _shape("[0-9]{17}"), lambda v: V.identity_number(v, AS_OF)),
-    Rule("card_plain", "B", "CARD", 85, "[0-9]{13,19}", _shape("[0-9]{13}"), V.luhn_card),
-    Rule("card_grouped", "B", "CARD", 85, "[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?", _shape("[0-9]{4}[ -][0-9]{4}"), V.luhn_card),
+    Rule("idcard", "I", "IDCARD", 100, "[0-9]{17}[0-9Xx]", _shape("[0-9]{17}"), lambda v: V.identity_number_sql(v, AS_OF)),
+    Rule("card_plain", "B", "CARD", 85, "[0-9]{13,19}", _shape("[0-9]{13}"), V.luhn_card_sql),
+    Rule("card_grouped", "B", "CARD", 85, "[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?", _shape("[0-9]{4}[ -][0-9]{4}"), V.luhn_card_sql),
     Rule("privatekey", "G", "PRIVATEKEY", 130, "(?s)-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----.*?-----END (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", _has("-----BEGIN ")),
     Rule("aws", "G", "AWSKEY", 120, rf"{_WB}(?:AKIA|ASIA)[A-Z0-9]{{16}}{_WE}", _has("AKIA", "ASIA")),
     Rule("github", "G", "GITHUB", 120, rf"{_WB}gh[pousr]_[A-Za-z0-9]{{20,255}}{_WE}", _shape("gh[pousr]_")),
@@ -76,70 +71,68 @@ RULES = (
     Rule("huggingface", "G", "CREDENTIAL", 80, rf"{_WB}hf_[A-Za-z0-9]{{30,}}{_WE}", _has("hf_")),
 )
 BY_NAME = {r.name: r for r in RULES}
-TOKEN = Rule("entropy", "H", "ENTROPY", 10, "[A-Za-z0-9]{9,}", lambda t: F.length(t) >= 9)
+TOKEN = Rule("entropy", "H", "ENTROPY", 10, "[A-Za-z0-9]{9,}", lambda t: f"length({t}) >= 9")
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+CANDIDATES = "array<struct<start:int,end:int,value:string,label:string,priority:int>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+def matches_sql(t: str, pattern: str, keep: Callable[[str], str] | None = None) -> str:
+    """[(start, end, value)] of all matches that keep() accepts. Gaps and matches are measured once, between one accepted match and the next."""
+    none = f"cast(array() AS {SPAN})"
+    index = "sequence(0, size(m_) - 1)"
+    chosen = f"filter({index}, k_ -> coalesce({let('m_[k_]', 'v_', keep('v_'))}, false))" if keep else index
+    joined = lambda some, at, n: f"length(array_join(slice({some}, {at} + 1, {n}), ''))"
+    step = let("CASE WHEN i_ = 0 THEN -1 ELSE c_[i_ - 1] END", "l_", joined("g_", "l_ + 1", "k_ - l_") + " + " + joined("m_", "greatest(l_, 0)", "k_ - greatest(l_, 0)"))
+    span = "transform(c_, (k_, i_) -> named_struct('start', s_[i_], 'end', s_[i_] + length(m_[k_]), 'value', m_[k_]))"
+    placed = let(f"split({t}, {quoted(pattern)}, -1)", "g_", let(f"transform(c_, (k_, i_) -> {step})", "w_", let(running_sum("w_"), "s_", span)))
+    some = let(chosen, "c_", f"CASE WHEN size(c_) = 0 THEN {none} ELSE {placed} END")
+    return let(f"regexp_extract_all({t}, {quoted(pattern)}, 0)", "m_", f"CASE WHEN size(m_) = 0 THEN {none} ELSE {some} END")
 
 
-def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """[(start, end, value)] of all matches that keep() accepts. Places are counted once, up to the last accepted match."""
+def matches(text: Column, pattern: str, keep: Callable[[str], str] | None = None) -> Column:
+    return over(text, "t_", matches_sql("t_", pattern, keep))
 
-    def place(found: Column) -> Column:
-        index = F.sequence(F.lit(0), F.size(found) - 1)
-        chosen = F.filter(index, lambda k: F.coalesce(keep(F.get(found, k)), F.lit(False))) if keep else index
-        none = F.expr(f"cast(array() as {SPAN})")
 
-        # One pass over the matches up to the last chosen one carries the place on; texts with no chosen match aren't split.
-        def placed(some: Column, gaps: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("next"), none.alias("out"))
+def found_sql(rule: Rule, t: str, keep: Callable[[str], str] | None = None) -> str:
+    """[(start, end, value, label, priority)] of a rule; empty where the prefilter rules it out."""
+    all_of = matches_sql(t, rule.pattern, keep or rule.check)
+    if rule.check is not None:
+        edge = lambda at: f"rlike(substr({t}, {at}, 1), '^[0-9]$')"
+        all_of = f"filter({all_of}, x_ -> NOT (x_.start > 0 AND {edge('x_.start')}) AND NOT coalesce({edge('x_.end + 1')}, false))"
+    full = f"transform({all_of}, x_ -> named_struct('start', x_.start, 'end', x_.end, 'value', x_.value, 'label', {quoted(rule.label)}, 'priority', {rule.priority}))"
+    return f"CASE WHEN {rule.prefilter(t)} THEN {full} ELSE cast(array() AS {CANDIDATES}) END"
 
-            def step(acc: Column, k: Column) -> Column:
-                begin = acc.at + F.length(F.get(gaps, k))
-                end = begin + F.length(F.get(found, k))
-                span = F.struct(begin.alias("start"), end.alias("end"), F.get(found, k).alias("value"))
-                hit = F.get(some, acc.next) == k
-                return F.struct(end.alias("at"), F.when(hit, acc.next + 1).otherwise(acc.next).alias("next"), F.when(hit, F.array_append(acc.out, span)).otherwise(acc.out).alias("out"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.element_at(some, -1)), start, step, lambda acc: acc.out)
+def candidates_sql(t: str, flags: str = FLAGS, costs: list[int] | None = None, switch: str | None = None) -> str:
+    """The bag union of all enabled rules' spans as one array. Rules that are off aren't in the plan. costs: the bigram model that H needs.
+    switch: a name of a string of flags that switches them row by row, too."""
+    some: list[tuple[Rule, Callable[[str], str] | None]] = [(r, None) for r in RULES if r.flag in flags]
+    if "H" in flags and costs is not None:
+        from veilspark.operators.entropy import is_random_sql
 
-        with_gaps = lambda some: _let(F.split(text, pattern, -1), lambda gaps: placed(some, gaps))
-        return F.when(F.size(found) == 0, none).otherwise(_let(chosen, lambda some: F.when(F.size(some) == 0, none).otherwise(with_gaps(some))))
+        some.append((TOKEN, lambda v: is_random_sql(v, costs)))
+    parts = [found_sql(r, t, keep) for r, keep in some]
+    if switch is not None:
+        parts = [f"CASE WHEN contains({switch}, '{r.flag}') THEN {p} ELSE cast(array() AS {CANDIDATES}) END" for (r, _), p in zip(some, parts)]
+    none = f"cast(array() AS {CANDIDATES})"
+    return f"CASE WHEN {t} IS NULL THEN {none} ELSE concat({', '.join([*parts, none])}) END"
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
-
-def found(rule: Rule, text: Column, keep: Callable[[Column], Column] | None = None) -> Column:
-    """[(start, end, value, label, priority)] of a rule; empty where the prefilter rules it out."""
-    all_of = matches(text, rule.pattern, keep or rule.check)
-    if rule.check is not None:
-        edge = lambda at: F.coalesce(F.substring(text, at, F.lit(1)), F.lit("")).rlike("^[0-9]$")
-        all_of = F.filter(all_of, lambda s: ~(((s.start > 0) & edge(s.start)) | edge(s.end + 1)))
-    full = F.transform(all_of, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.value.alias("value"), F.lit(rule.label).alias("label"), F.lit(rule.priority).alias("priority")))
-    return F.when(rule.prefilter(text), full)
+def candidate_spans(text: Column, flags: str = FLAGS, costs: list[int] | None = None) -> Column:
+    return over(text, "t_", candidates_sql("t_", flags, costs))
 
 
-def _exploded(df: DataFrame, arrays: list[Column], id_col: str) -> DataFrame:
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,label:string,priority:int>>)")
-    every = F.concat(*[F.coalesce(a, none) for a in arrays]) if arrays else none
-    return df.select(id_col, F.explode(every).alias("s")).select(id_col, "s.*")
+def _exploded(df: DataFrame, every: str, id_col: str) -> DataFrame:
+    return df.select(id_col, F.explode(F.expr(every)).alias("s")).select(id_col, "s.*")
 
 
-def spans(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def spans(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: Callable[[str], str] | None = None) -> DataFrame:
     """id_col, start, end, value, label, priority of the rule's spans. Null text has none."""
-    text = F.col(text_col)
-    return _exploded(df.where(rule.prefilter(text)), [found(rule, text, keep)], id_col)
+    t = f"`{text_col}`"
+    return _exploded(df.where(rule.prefilter(t)), found_sql(rule, t, keep), id_col)
 
 
 def candidates(df: DataFrame, flags: str = FLAGS, id_col: str = "doc_id", text_col: str = "text", costs: list[int] | None = None) -> DataFrame:
-    """The bag union of all enabled rules' spans, in one scan of the text. Rules that are off aren't in the plan. costs: the bigram model that H needs."""
-    text = F.col(text_col)
-    parts = [found(r, text) for r in RULES if r.flag in flags]
-    if "H" in flags and costs is not None:
-        from veilspark.operators.entropy import is_random
-
-        parts.append(found(TOKEN, text, lambda v: is_random(v, costs)))
-    return _exploded(df, parts, id_col)
+    """candidate_spans() as rows, in one scan of the text."""
+    return _exploded(df, candidates_sql(f"`{text_col}`", flags, costs), id_col)

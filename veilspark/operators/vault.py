@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.functions.arrays import let, over, quoted
 from veilspark.operators import intervals, spans
 
 _BASE32, _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -64,28 +65,36 @@ def redact(df: DataFrame, found: DataFrame, vault: DataFrame, id_col: str = "doc
     return _spliced(df, parts, id_col, text_col, "redacted_text", [])
 
 
-def placeholders(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, start, end, token, altered of everything that may be a placeholder, whatever happened to its spelling.
+_CLOSING, _BRACES = r"^((?:\\{0,3}\}){0,2})", r"((?:\\{0,3}\{){1,2})$"
+PLACEHOLDERS = "array<struct<start:int,end:int,token:string,altered:boolean>>"
+
+
+def placeholders_sql(t: str) -> str:
+    """[(start, end, token, altered)] of everything in a text that may be a placeholder, whatever happened to its spelling, in order.
 
     Up to two braces at either side, each behind up to three backslashes, any case, underscores in the label. A bare core
     must not touch an identifier. token is null where the label is too long to have been issued.
     """
-    text = F.col("_text")
-    some = df.select(id_col, F.col(text_col).alias("_text")).where(text.rlike("[Rr][Gg]_"))
-    core = some.select(id_col, "_text", F.explode(spans.matches(text, CORE)).alias("s")).select(id_col, "_text", "s.*")
-    before = F.when(F.col("start") > 0, F.substring(text, F.greatest(F.col("start") - 7, F.lit(1)), F.least(F.col("start"), F.lit(8)))).otherwise(F.lit(""))
-    after = F.substring(text, F.col("end") + 1, F.lit(8))
-    closing = F.regexp_extract(after, r"^((?:\\{0,3}\}){0,2})", 1)
-    braces = F.regexp_extract(before, r"((?:\\{0,3}\{){1,2})$", 1)
-    single = F.length(F.regexp_replace(braces, r"[^{]", "")) == 1
-    opening = F.when(before.endswith("{{"), 2).when(single & ~F.contains(closing, F.lit("\\")), 1).otherwise(F.length(braces))
-    marked = core.select(id_col, "start", "end", "value", before.alias("before"), after.alias("after"), opening.alias("o"), F.length(closing).alias("c"))
-    loose = ((F.col("o") == 0) & F.col("before").rlike("[A-Za-z0-9_]$")) | ((F.col("c") == 0) & F.col("after").rlike("^[A-Za-z0-9_]"))
-    label = F.regexp_replace(F.upper(F.regexp_extract("value", r"(?i)^RG_(.*)_[A-Z2-7]{16}$", 1)), "_", "")
-    made = F.concat(F.lit("{{RG_"), label, F.lit("_"), F.upper(F.right(F.col("value"), F.lit(16))), F.lit("}}"))
-    seen = F.concat(F.right(F.col("before"), F.col("o")), F.col("value"), F.left(F.col("after"), F.col("c")))
-    kept = marked.where(~loose).withColumn("token", F.when(F.length(label) <= 32, made)).withColumn("altered", F.col("token").isNotNull() & (seen != F.col("token")))
-    return kept.select(id_col, (F.col("start") - F.col("o")).alias("start"), (F.col("end") + F.col("c")).alias("end"), "token", "altered")
+    before = f"CASE WHEN x_.start > 0 THEN substr({t}, greatest(x_.start - 7, 1), least(x_.start, 8)) ELSE '' END"
+    label = f"regexp_replace(upper(regexp_extract(x_.value, {quoted('(?i)^RG_(.*)_[A-Z2-7]{16}$')}, 1)), '_', '')"
+    closing, braces = f"regexp_extract(af_, {quoted(_CLOSING)}, 1)", f"regexp_extract(be_, {quoted(_BRACES)}, 1)"
+    opening = f"CASE WHEN be_ LIKE '%{{{{' THEN 2 WHEN length(regexp_replace(br_, '[^{{]', '')) = 1 AND NOT contains(cl_, {quoted(chr(92))}) THEN 1 ELSE length(br_) END"
+    loose = "(op_ = 0 AND rlike(be_, '[A-Za-z0-9_]$')) OR (length(cl_) = 0 AND rlike(af_, '^[A-Za-z0-9_]'))"
+    made = "CASE WHEN length(la_) <= 32 THEN concat('{{RG_', la_, '_', upper(right(x_.value, 16)), '}}') END"
+    seen = "concat(right(be_, op_), x_.value, left(af_, length(cl_)))"
+    out = f"CASE WHEN NOT ({loose}) THEN {let(made, 'to_', f"named_struct('start', x_.start - op_, 'end', x_.end + length(cl_), 'token', to_, 'altered', to_ IS NOT NULL AND {seen} <> to_)")} END"
+    for value, name in ((opening, "op_"), (label, "la_"), (braces, "br_"), (closing, "cl_"), (f"substr({t}, x_.end + 1, 8)", "af_"), (before, "be_")):
+        out = let(value, name, out)
+    return f"CASE WHEN rlike({t}, '[Rr][Gg]_') THEN array_compact(transform({spans.matches_sql(t, CORE)}, x_ -> {out})) ELSE cast(array() AS {PLACEHOLDERS}) END"
+
+
+def placeholders_in(text: Column) -> Column:
+    return over(text, "t_", placeholders_sql("t_"))
+
+
+def placeholders(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """placeholders_in() as rows."""
+    return df.select(id_col, F.explode(F.expr(placeholders_sql(f"`{text_col}`"))).alias("p")).select(id_col, "p.*")
 
 
 def unprotected(merged: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,10 +102,11 @@ def unprotected(merged: DataFrame, df: DataFrame, id_col: str = "doc_id", text_c
     return intervals.difference(merged, placeholders(df, id_col, text_col).select(id_col, "start", "end"), id_col)
 
 
-def limited(found: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Spans of scopes with at most limit distinct values; a scope beyond it is refused as a whole, as over_limit() lists."""
-    beyond = found.groupBy("scope").agg(F.count_distinct("raw").alias("n")).where(F.col("n") > limit).select("scope")
-    return found.join(beyond, "scope", "left_anti")
+def limited(found: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(spans of the scopes with at most limit distinct values, scopes beyond it with their number). Whoever masks with the first must refuse
+    the texts of the second, whole: see masking.redact()."""
+    beyond = found.groupBy("scope").agg(F.count_distinct("raw").alias("n_values")).where(F.col("n_values") > limit)
+    return found.join(beyond, "scope", "left_anti"), beyond
 
 
 def restore(df: DataFrame, vault: DataFrame, scope: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

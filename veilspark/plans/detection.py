@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import validators as V
-from veilspark.operators import audit, entropy, intervals, spans, vault
+from veilspark.operators import audit, entropy, intervals, masking, spans, vault
 from veilspark.sources import tables as T
-from veilspark.sources import work
 
 SECRET = "test-secret"
 _L = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
@@ -227,10 +226,10 @@ def _scope():
 _SCOPE_SQL = "CAST(floor(doc_id / 64) AS BIGINT)"
 
 
-def _found(s: SparkSession, d: str) -> DataFrame:
-    """Written once, as texts are scanned for it and both the vault and the masked texts are made of it."""
-    masked = vault.unprotected(merged_spans(s, d), units(s, d))
-    return work.written(vault.limited(vault.with_raw(units(s, d), masked, _scope())), "found")
+def _masked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(units, their spans): one scan, of which places and keyed hashes are written, as labels, limit and masked texts are made of them."""
+    u = units(s, d)
+    return u, masking.found(u, SECRET, _scope(), spans.candidates_sql("_text", costs=model(s, d)))
 
 
 def protected_redaction(s: SparkSession, d: str) -> DataFrame:
@@ -246,19 +245,24 @@ def protected_redaction(s: SparkSession, d: str) -> DataFrame:
 
 
 def token_vault(s: SparkSession, d: str) -> DataFrame:
-    return vault.issue(_found(s, d), SECRET)
+    return masking.values(*_masked(s, d))
 
 
 def redacted_text(s: SparkSession, d: str) -> DataFrame:
-    f = _found(s, d)
-    return vault.redact(units(s, d), f, vault.issue(f, SECRET)).select("doc_id", F.sha2("redacted_text", 256).alias("redacted_sha256"))
+    u, f = _masked(s, d)
+    return masking.redact(u, f, _scope()).select("doc_id", F.sha2("redacted_text", 256).alias("redacted_sha256"))
+
+
+def refused_scopes(s: SparkSession, d: str, limit: int = 8) -> DataFrame:
+    """Masking with a limit of 8 values a scope: the texts of a scope beyond it don't come out."""
+    u, f = _masked(s, d)
+    return masking.redact(u, f, _scope(), limit).select("doc_id", "error", F.sha2("redacted_text", 256).alias("redacted_sha256"))
 
 
 def restored_text(s: SparkSession, d: str) -> DataFrame:
-    f = _found(s, d)
-    v = vault.issue(f, SECRET)
-    r = vault.redact(units(s, d), f, v).select("doc_id", F.col("redacted_text").alias("text"))
-    return vault.restore(r, v, _scope())
+    u, f = _masked(s, d)
+    r = masking.redact(u, f, _scope()).select("doc_id", F.col("redacted_text").alias("text"))
+    return vault.restore(r, masking.values(u, f), _scope())
 
 
 def restored_counts(s: SparkSession, d: str) -> DataFrame:
@@ -321,7 +325,7 @@ def vault_bytes(s: SparkSession, d: str) -> DataFrame:
 
 def vault_over_limit(s: SparkSession, d: str) -> DataFrame:
     """Scopes with more than 8 values."""
-    return vault.over_limit(token_vault(s, d), 8)
+    return masking.refused(_masked(s, d)[1], 8)
 
 
 def build() -> tuple[dict, dict]:
@@ -351,6 +355,8 @@ g AS (SELECT doc_id, label, greatest(start, coalesce(lag(e) OVER (PARTITION BY d
         "redacted_text": (redacted_text, f"{with_v}, {_PARTS} SELECT doc_id, sha256(t) AS redacted_sha256 FROM red"),
         "restored_text": (restored_counts, f"""{with_v}, n AS (SELECT doc_id, count(*) AS k, count(DISTINCT raw) AS u FROM f GROUP BY doc_id)
 SELECT doc_id, sha256(text) AS restored_sha256, coalesce(k, 0) AS restored, coalesce(u, 0) AS restored_unique, 0::BIGINT AS unresolved, 0::BIGINT AS degraded FROM units LEFT JOIN n USING (doc_id)"""),
+        "refused_scopes": (refused_scopes, f"""{with_v}, {_PARTS}, o AS (SELECT scope FROM v GROUP BY scope HAVING count(*) > 8), e AS (SELECT doc_id, t, {_SCOPE_SQL} IN (SELECT scope FROM o) AS refused FROM red)
+SELECT doc_id, CASE WHEN refused THEN 'request_too_large' ELSE '' END AS error, CASE WHEN NOT refused THEN sha256(t) END AS redacted_sha256 FROM e"""),
         "roundtrip_diff": (roundtrip_diff, "SELECT doc_id FROM documents WHERE false"),
         "restore_variants": (restore_variants, _variants_sql()),
         "rule_hits_by_doc": (rule_hits_by_doc, f"{with_m} SELECT doc_id, label, count(*) AS hits FROM m GROUP BY doc_id, label"),
