@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import TINY
-from veilspark.llm import _base, crc_resample, page_template, whiten
+from veilspark.llm import _base, crc_resample, page_template, toxicity_mil, whiten
 
 # 11 importance resampling
 
@@ -229,3 +229,40 @@ def test_large_deviations_stay_exact(spark):
     s = [sum(c) for c in zip(*x)]
     want = [sum((3 * c - t) ** 2 for c, t in zip(r, s)) for r in x]
     assert {r.vec_id: r.deviation for r in got} == {k: v if v < 2**63 else None for k, v in enumerate(want)}
+
+
+# 10 long texts and the fit
+
+
+def test_plain_sentences_never_add_up():
+    rng = np.random.default_rng(2)
+    plain = [" ".join(rng.choice(["sun", "house", "river", "stone", "over", "under"], 6)) + "." for _ in range(400)]
+    rows = [(" ".join(plain[k : k + 5]), 0) for k in range(300)] + [(" ".join(plain[k : k + 4]) + " You vile wretch.", 1) for k in range(60)]
+    model = toxicity_mil.fit_texts(rows)
+    long = "The sun is over the house. " * 100_000
+    assert model.score(model.sentences(long)) < 0.5 <= model.score(model.sentences(long + "You vile wretch."))
+    assert [round(p, 3) >= 0.5 for *_, p in model.sentences("The river. You vile wretch.")] == [False, True]
+
+
+def test_score_is_noisy_or_of_what_is_above_plain():
+    model = toxicity_mil.Model({"bad": 6.0, "odd": 4.5, "good": -3.0}, -5.0)
+    p = lambda z: 1 / (1 + math.exp(-z))
+    found = model.sentences("bad. odd day. good bad. nothing here")
+    assert [round(x, 9) for *_, x in found] == [round(p(z), 9) for z in (1.0, -0.5, -2.0, -5.0)]
+    calm = (1 - toxicity_mil.LEAK) * math.prod(min(1, (1 - p(z)) / (1 - toxicity_mil.PLAIN)) for z in (1.0, -0.5, -2.0, -5.0))
+    assert abs(model.score(found) - (1 - calm)) < 1e-12
+
+
+def test_the_descent_lowers_the_penalised_loss_like_a_search():
+    """One word in three of four toxic documents and one of six others: the fit's loss is as low as the best of a grid over weight and bias."""
+    word, sentence, doc = np.zeros(4, int), np.arange(4), np.array([0, 1, 2, 5])
+    y, plain = np.array([1, 1, 1, 1, 0, 0, 0, 0, 0, 0], float), np.array([1, 2, 1, 2, 1, 1, 2, 1, 1, 1], float)
+    weight = np.full(10, 0.1)
+
+    def loss(w, b):
+        a = np.bincount(doc, np.logaddexp(0, b + np.full(4, w)), 10) + plain * np.logaddexp(0, b) + toxicity_mil.FIT_LEAK
+        return float((weight * np.where(y > 0, -np.log(-np.expm1(-a)), a)).sum()) + 0.01 * abs(w)
+
+    w, b = toxicity_mil._descend(word, sentence, doc, plain, y, weight, 1, 0.01, 3000)
+    best = min(loss(u, v) for u in np.linspace(-2, 16, 181) for v in np.linspace(2 * toxicity_mil.BIAS, toxicity_mil.BIAS, 71))
+    assert loss(w[0], b) <= best + 0.02

@@ -1,10 +1,10 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; a label says only whether some sentence of it is toxic. A sentence's score is a
-logistic function of its words and their beginnings, and a document's is their noisy-or over all its sentences, 1 - (1 - LEAK) prod(1 - p).
+logistic function of its words and their beginnings, and a document's is their noisy-or over all its sentences, 1 - (1 - LEAK) prod(1 - q),
+q being what of the score is above PLAIN, as a share of what can be: sentences up to PLAIN, however many, don't add up to toxicity.
 Weights, of either sign, are fitted to the labels by gradient descent on the document loss, twice: over the words that tell the classes
-apart most, with an L1 penalty, then over those that kept a weight. The bias is at most BIAS, so that plain sentences, however many,
-don't add up to toxicity. The sentences with a score of at least 0.5 are reported as the offending ones.
+apart most, with an L1 penalty, then over those that kept a weight. The sentences with a score of at least 0.5 are reported as the offending ones.
 
 The fit is the one bounded part: SAMPLE labelled rows of each class at most, the first in hash order, of texts up to SAMPLE_CHARS
 characters. Words are counted and sentences turned to numbers of words where the texts are; the driver gets at most FEATURES words
@@ -30,14 +30,16 @@ from . import _base as base
 
 #: Bounds of the sample that the classifier is fitted on: documents a class, characters of one, words that are weighed.
 SAMPLE, SAMPLE_CHARS, FEATURES = 3000, 20_000, 6000
-#: Documents of one class that a word must stand in, and how many times likelier there than in the other; L1 penalty, in documents of
-#: label 1; share of the largest weight that a word needs to be kept.
-LEAST_DOCS, LEAST_ODDS, PENALTY, EVIDENCE = 4, 4.0, 1.0, 0.05
+#: Documents of one class that a word must stand in, and how many times likelier there than in the other; share of the largest weight that
+#: a word needs to be kept. L1 penalty, as a share of the documents of label 1, and in documents, of which the larger holds.
+LEAST_DOCS, LEAST_ODDS, EVIDENCE, PENALTY, LEAST_PENALTY = 4, 4.0, 0.1, 0.0002, 0.1
 #: Highest bias of a sentence, and the leak while fitting.
 BIAS, FIT_LEAK = -7.0, 1e-6
 LEAK, FOLDS = 0.001, 5
+#: What a plain sentence may score: only what is above it counts for the document, so that no number of plain sentences adds up to toxicity.
+PLAIN = 0.02
 #: Lengths of the beginnings of words; words that a worker remembers whether they have a weight.
-PREFIXES, MEMORY = (5,), 500_000
+PREFIXES, MEMORY = (6,), 500_000
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\w+")
 
@@ -126,7 +128,7 @@ class Model:
     def score(self, sentences: list[tuple[int, int, float]]) -> float:
         calm = 1 - LEAK
         for _, _, p in sentences:
-            calm *= 1 - p
+            calm *= min(1.0, (1 - p) / (1 - PLAIN))
         return min(1.0, max(0.0, 1 - calm))
 
 
@@ -159,7 +161,8 @@ def train(names: list[str], bags: list[tuple[list[list[int]], int]], labels: lis
     y, plain = np.array(labels, float), np.array([n for _, n in bags], float)
     weight = np.where(y > 0, share / y.sum(), (1 - share) / (1 - y).sum())
     weights, bias, kept = np.zeros(len(names)), BIAS, np.ones(len(names), bool)
-    for penalty, rounds in ((PENALTY, 150), (PENALTY / 10, 250)):
+    whole = max(LEAST_PENALTY, PENALTY * y.sum())
+    for penalty, rounds in ((whole, 150), (whole / 10, 250)):
         place = np.cumsum(kept) - 1
         word, sentence, doc, more = [], [], [], plain.copy()
         for d, (bag_, _) in enumerate(bags):
