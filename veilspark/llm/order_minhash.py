@@ -13,7 +13,7 @@ in short ones, whose parts are mostly empty, each sketch looks through all of th
 hashes. No row is exploded, nothing is shuffled for it, and all of it runs in the JVM as array functions.
 
 Defined results: a null text is empty; a text of fewer than K words has one k-mer, the whole word sequence; empty
-texts have equal fingerprints. A text may have up to 2^26 words, a bound of the packed numbers; longer ones raise an error. Equal texts have equal fingerprints. The order of documents is ascending id, nulls
+texts have equal fingerprints. In a text of more than 2^26 words neighbouring words share a position, and k-mers that share one are in the order of their hashes. Equal texts have equal fingerprints. The order of documents is ascending id, nulls
 first, then text. In an empty table nothing happens; a single document is its own next one. Extra columns are ignored.
 """
 
@@ -26,7 +26,8 @@ from . import _base as base
 from .histogram_sort import below_count
 
 K, L, SKETCHES = 5, 2, 64
-#: Bits that a word's position takes in a packed (hash, position): up to 2^26 words a text.
+#: Bits that a word's position takes in a packed (hash, position). k-mers whose 37 bits of hash are equal count as one; of 10^5 different
+#: k-mers of a text, 0.04 pairs are on average.
 _POS = 26
 _HASH = 63 - _POS
 #: Occurrences that are expected in the share of all that is ranked first where a sketch's part holds too few.
@@ -51,7 +52,10 @@ def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHE
     def kmers(words: Column) -> Column:  # word hashes -> sorted (k-mer hash, position)
         n = F.greatest(F.size(words) - (k - 1), F.lit(1))
         at = lambda i, j: F.coalesce(F.get(words, i + j), F.lit(j))
-        return F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: packed(F.xxhash64(*[at(i, j) for j in range(k)]), i)))
+        # Beyond 2^26 words, neighbouring words share a position.
+        coarse = F.greatest(F.ceil(F.log2(n)).cast("int") - _POS, F.lit(0))
+        hashed = lambda i, by: packed(F.xxhash64(*[at(i, j) for j in range(k)]), F.call_function("shiftright", i, by))
+        return base.let(coarse, lambda by: F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: hashed(i, by))))
 
     def numbered(s: Column) -> Column:  # equal k-mers are neighbours: number them and hash anew
         n = F.size(s)
@@ -92,9 +96,8 @@ def fingerprint(text: Column, k: int = K, take: int = L, sketches: int = SKETCHE
         every = lambda b, limit: F.transform(b, lambda i, t: one(i - t, F.coalesce(F.get(b, t + 1) - t - 1, n), t, limit))
         return base.let(begins, lambda b: base.let(most, lambda limit: F.array_join(every(b, limit), "")))
 
-    numbers = lambda w: F.when(F.size(w) <= 1 << _POS, w).otherwise(F.raise_error(F.lit("a text of more than 2^26 words")).cast("array<bigint>"))
     words = F.transform(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), base.SPACE + "+"), lambda w: F.xxhash64(w))
-    return F.lower(base.let(words, lambda w: base.let(kmers(numbers(w)), lambda s: base.let(numbered(s), sketched))))
+    return F.lower(base.let(words, lambda w: base.let(kmers(w), lambda s: base.let(numbered(s), sketched))))
 
 
 def likeness(a: Column, b: Column, sketches: int = SKETCHES) -> Column:
