@@ -68,7 +68,7 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
             break
     docs = base.materialize(cut.select(F.monotonically_increasing_id().alias("_row"), id_col, F.sha2("t", 256).alias("text_sha256"), F.transform("blocks", keys).alias("ks")), "block-keys")
     live = docs.select("_row", F.size("ks").alias("n"), F.posexplode("ks").alias("pos", "k")).select("_row", "n", "pos", "k.*")
-    live = base.materialize(live.join(names, ["k1", "k2"]).select("_row", "n", "pos", "name"), "names-0")
+    live = base.materialize(base.spread_join(live, names, ["k1", "k2"], ["_row", "pos"]).select("_row", "n", "pos", "name"), "names-0")
     done, rounds = [], 0
     while True:
         # A document of one name is done; the others' names are paired, an odd last one with -1.
@@ -81,7 +81,7 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
         pairs = rest.groupBy("_row", "n", half.alias("pos")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         pairs = base.materialize(pairs, f"pairs-{rounds}")
         named = _numbered(pairs.select("a", "b").distinct(), ["a", "b"], f"pair-names-{rounds}")
-        live = base.materialize(pairs.join(named, ["a", "b"]).select("_row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "name"), f"names-{rounds}")
+        live = base.materialize(base.spread_join(pairs, named, ["a", "b"], ["_row", "pos"]).select("_row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "name"), f"names-{rounds}")
     final = done[0]
     for part in done[1:]:
         final = final.unionByName(part)
