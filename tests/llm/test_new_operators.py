@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import TINY
-from veilspark.llm import _base, crc_resample, page_template, toxicity_mil, whiten
+from veilspark.llm import _base, crc_resample, exact_dedup, order_minhash, page_template, simhash, toxicity_mil, whiten
 
 # 11 importance resampling
 
@@ -266,3 +266,28 @@ def test_the_descent_lowers_the_penalised_loss_like_a_search():
     w, b = toxicity_mil._descend(word, sentence, doc, plain, y, weight, 1, 0.01, 3000)
     best = min(loss(u, v) for u in np.linspace(-2, 16, 181) for v in np.linspace(2 * toxicity_mil.BIAS, toxicity_mil.BIAS, 71))
     assert loss(w[0], b) <= best + 0.02
+
+
+# 1, 2 and 4: bounds that are gone
+
+
+def test_order_minhash_of_more_words_than_positions(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "_POS", 4)
+    monkeypatch.setattr(order_minhash, "_HASH", 59)
+    texts = [" ".join(f"w{k % m}" for k in range(n)) for n, m in ((15, 99), (16, 99), (17, 99), (200, 99), (200, 7))]
+    df = spark.createDataFrame([(t,) for t in texts + texts], "text string")
+    got = [r[0] for r in df.select(order_minhash.fingerprint(F.col("text"))).collect()]
+    assert got[:5] == got[5:] and len(set(got)) == 5 and all(len(x) == 64 * 8 for x in got)
+
+
+def test_hot_blocks_and_hubs_are_dealt_out(spark, monkeypatch):
+    text = "a frequent line "
+    rows = [(k, text * 3 + (f"tail {k % 50}" if k % 3 else "")) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.keep_id for r in exact_dedup.exact_duplicates(df, block=8).collect()}
+    first = {}
+    want = {k: first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), k) for k, t in rows}
+    assert got == want
+    edges = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(k, k + 1000) for k in range(1, 300)], "a long, b long")
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert set(roots.values()) == {0} and len(roots) == 599
