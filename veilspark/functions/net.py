@@ -113,6 +113,16 @@ def protocol(path: Column, has_messages: Column, has_input: Column, anthropic: C
     )
 
 
+def protocol_of(path: str, has_messages: bool, has_input: bool, anthropic: bool) -> str:
+    """protocol() of one body."""
+    low = path.lower().removesuffix("/")
+    for end, name in (("/chat/completions", "openai_chat"), ("/responses", "openai_responses"), ("/messages", "anthropic_messages")):
+        if low.endswith(end):
+            return name
+    by_body = "anthropic_messages" if anthropic else "openai_chat"
+    return by_body if has_messages else "openai_responses" if has_input else "generic"
+
+
 #: Headers that stay behind, and beginnings of such.
 HOP_BY_HOP = (
     "connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade",

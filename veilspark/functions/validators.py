@@ -85,19 +85,20 @@ def char_entropy(value: Column) -> Column:
     return over(value, "v_", char_entropy_sql("v_"))
 
 
+def exact_integer_sql(x: str) -> str:
+    part = lambda k: f"regexp_extract({x}, '^\\\\+?([0-9]+)(?:\\\\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?$', {k})"
+    power = f"CASE WHEN {part(3)} = '' THEN 0 WHEN rlike({part(3)}, '^[+-]?0*[0-9]{{1,3}}$') THEN try_cast({part(3)} AS int) END"
+    taken = "CASE WHEN sh_ >= 0 THEN bo_ ELSE left(bo_, greatest(length(bo_) + sh_, 0)) END"
+    full = f"CASE WHEN sh_ > 0 THEN CASE WHEN ltrim('0', bo_) = '' THEN '' WHEN sh_ <= 40 THEN concat(bo_, repeat('0', least(sh_, 40))) END ELSE {taken} END"
+    rest = "CASE WHEN sh_ < 0 THEN right(bo_, least(-sh_, length(bo_))) ELSE '' END"
+    value = let(f"ltrim('0', {full})", "va_", f"CASE WHEN wh_ <> '' AND NOT rlike({rest}, '[1-9]') AND length(va_) BETWEEN 11 AND 19 THEN va_ END")
+    shifted = let("po_ - length(fr_)", "sh_", let("concat(wh_, fr_)", "bo_", value))
+    return let(part(1), "wh_", let(f"regexp_replace({part(2)}, '0+$', '')", "fr_", let(power, "po_", f"CASE WHEN po_ IS NOT NULL THEN {shifted} END")))
+
+
 def exact_integer(lexeme: Column) -> Column:
     """The digits of a positive number's exact integer value, leading zeros dropped, if there are 11 to 19; else null.
 
     Works on the lexeme: no float, and an exponent is bounded before anything is padded.
     """
-    part = lambda k: F.regexp_extract(lexeme, r"^\+?([0-9]+)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?$", k)
-    whole, fraction = part(1), F.regexp_replace(part(2), "0+$", "")
-    power = F.when(part(3) == "", F.lit(0)).when(part(3).rlike("^[+-]?0*[0-9]{1,3}$"), part(3).try_cast("int"))
-    both = F.concat(whole, fraction)
-    shift = power - F.length(fraction)  # zeros to add, or digits to take away
-    taken = F.when(shift >= 0, F.concat(both, F.expr("''"))).otherwise(F.left(both, F.greatest(F.length(both) + shift, F.lit(0))))
-    rest = F.when(shift < 0, F.right(both, F.least(-shift, F.length(both)))).otherwise(F.lit(""))
-    full = F.when(shift > 0, F.when(F.ltrim(both, F.lit("0")) == "", F.lit("")).when(shift <= 40, F.concat(both, F.repeat(F.lit("0"), F.least(shift, F.lit(40)))))).otherwise(taken)
-    value = F.ltrim(full, F.lit("0"))
-    whole_number = ~rest.rlike("[1-9]")
-    return F.when((whole != "") & power.isNotNull() & whole_number & F.length(value).between(11, 19), value)
+    return over(lexeme, "x_", exact_integer_sql("x_"))

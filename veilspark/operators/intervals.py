@@ -76,6 +76,45 @@ def uncovered_by(small: DataFrame, large: DataFrame, id_col: str = "doc_id") ->
     return a.join(b, inside, "left_anti")
 
 
+#: Kinds of spans that one sweep tells apart; a running count each.
+KINDS = 64
+
+
+def segments(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """kinds, chars: how many code points are covered by spans of exactly these kinds, of rows (id, start, end, kind int).
+
+    The ends of a document's spans cut it into elementary intervals. One sweep in order carries a count for each kind, so that a set of kinds is known for
+    every interval: whatever is asked of any choice of kinds can be answered from the sums.
+    """
+    kinds = sorted(r.kind for r in spans.select("kind").distinct().limit(KINDS + 1).collect())
+    if len(kinds) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds")
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))
+    marks = spans.select(id_col, "kind", F.explode(ends).alias("m")).select(id_col, "kind", "m.*")
+    steps = marks.groupBy(id_col, "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(f"k{k}") for k in kinds])
+    order = Window.partitionBy(id_col).orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = steps.select((F.lead("at").over(order) - F.col("at")).alias("chars"), F.array_compact(F.array(*[F.when(F.sum(f"k{k}").over(so_far) > 0, F.lit(k)) for k in kinds]) if kinds else F.expr("cast(array() as array<int>)")).alias("kinds"))
+    return swept.where(F.col("chars").isNotNull() & (F.size("kinds") > 0)).groupBy("kinds").agg(F.sum("chars").cast("long").alias("chars"))
+
+
+def coverage_steps(spans: DataFrame, bits: int, id_col: str = "doc_id") -> DataFrame:
+    """choice, added, before, after, lost for each choice of flags and each flag: code points covered without and with it, and covered without it alone.
+
+    spans: id, start, end, bit, hidden_by. A span stands in a choice that has its bit and none of hidden_by, 0 for rules that don't look at others. lost is 0
+    throughout if coverage is monotone. All 2^bits choices are answered from one sweep.
+    """
+    of = segments(spans.withColumn("kind", (F.col("hidden_by") * 32 + F.col("bit")).cast("int")), id_col)
+    steps = of.select("chars", "kinds", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))).alias("choice")).select("chars", "kinds", "choice", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("added"))
+    both = steps.withColumn("more", F.expr("choice | shiftleft(1, added)")).select("choice", "added", "chars", _stands("choice").alias("b"), _stands("more").alias("a"))
+    total = lambda test: F.sum(F.when(test, F.col("chars")).otherwise(0)).cast("long")
+    return both.groupBy("choice", "added").agg(total(F.col("b")).alias("before"), total(F.col("a")).alias("after"), total(F.col("b") & ~F.col("a")).alias("lost"))
+
+
+def _stands(choice: str) -> Column:
+    return F.expr(f"exists(kinds, k -> ({choice} & shiftleft(1, k % 32)) <> 0 AND ({choice} & (k div 32)) = 0)")
+
+
 def splice(text: Column, parts: Column) -> Column:
     """text with each of parts [(start, end, token)], sorted and disjoint, replaced by its token."""
     n = F.size(parts)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import validators as V
+from veilspark.functions.arrays import quoted
 from veilspark.operators import policy, spans, vault
 
 MAX_DEPTH, MAX_ENCODED = 64, 8
@@ -116,6 +117,10 @@ def credential_field(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"[_\-. ]", "")).isin(*CREDENTIAL_FIELDS)
 
 
+def credential_sql(name: str) -> str:
+    return f"lower(regexp_replace({name}, '[_. -]', '')) IN ({', '.join(map(quoted, CREDENTIAL_FIELDS))})"
+
+
 def scan(text: str, depth: int = 0, encoded: int = 0, name: str = "", credentials: bool = True) -> Scan | None:
     """Scans text and, layer by layer, the JSON inside its strings. TooDeep beyond either limit."""
     found = Scan(text, depth).run()

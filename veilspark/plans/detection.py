@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import validators as V
-from veilspark.operators import audit, entropy, intervals, masking, spans, vault
+from veilspark.operators import audit, credentials, entropy, intervals, masking, spans, vault
 from veilspark.sources import tables as T
 
 SECRET = "test-secret"
@@ -215,6 +215,69 @@ def coverage_monotone(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+_BIT = {r.label: spans.FLAGS.index(r.flag) for r in (*spans.RULES, spans.TOKEN)}
+
+
+def coverage_sets(s: SparkSession, d: str) -> DataFrame:
+    """For each of the 128 choices of flags and each flag: code points covered before and after the flag is added, and those that it uncovers."""
+    bit = F.get(F.array(*[F.lit(b) for b in _BIT.values()]), F.array_position(F.array(*[F.lit(x) for x in _BIT]), F.col("label")).cast("int") - 1)
+    return intervals.coverage_steps(candidates_all(s, d).select("doc_id", "start", "end", bit.alias("bit"), F.lit(0).alias("hidden_by")), len(spans.FLAGS))
+
+
+_COVERAGE_SETS = f"""b AS (SELECT doc_id, start AS p FROM c UNION SELECT doc_id, "end" FROM c), seg AS (SELECT doc_id, p AS a, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS z FROM b),
+w AS (SELECT doc_id, start, "end", CASE label {" ".join(f"WHEN '{x}' THEN {1 << b}" for x, b in _BIT.items())} END AS f FROM c),
+k AS (SELECT a, z, seg.doc_id, bit_or(f) AS mask FROM seg JOIN w ON w.doc_id = seg.doc_id AND start <= a AND "end" >= z WHERE z IS NOT NULL GROUP BY ALL), n AS (SELECT mask, sum(z - a) AS chars FROM k GROUP BY mask)
+SELECT s.range::INT AS choice, t.range::INT AS added, coalesce(sum(chars) FILTER (mask & s.range <> 0), 0)::BIGINT AS before, coalesce(sum(chars) FILTER (mask & (s.range | (1 << t.range)) <> 0), 0)::BIGINT AS after,
+ coalesce(sum(chars) FILTER (mask & s.range <> 0 AND mask & (s.range | (1 << t.range)) = 0), 0)::BIGINT AS lost FROM range(128) s, range(7) t, n GROUP BY ALL"""
+
+
+# Credential formats: an invented value of each, from customer keys -------------------------------------------------------------
+
+_HH = "(md5(cast(c_custkey AS string)) || md5(cast(c_custkey + 1 AS string)))"
+_hex = lambda n, at=1: f"substr({_HH}, {at}, {n})"
+SAMPLES = {
+    "slack_token": f"'xoxb-' || {_hex(24)} || '-' || {_hex(12)}", "slack_webhook": f"'hooks.slack.com/services/T' || upper({_hex(9)}) || '/B' || upper({_hex(9, 9)}) || '/' || {_hex(24)}",
+    "sendgrid": f"'SG.' || {_hex(22)} || '.' || {_hex(43)}", "twilio": f"'SK' || {_hex(32)}", "mailgun": f"'key-' || {_hex(32)}", "mailchimp": f"{_hex(32)} || '-us7'", "pypi": f"'pypi-AgEIcHlwaS5vcmc' || {_hex(60)}",
+    "docker": f"'dckr_pat_' || {_hex(27)}", "digitalocean": f"'dop_v1_' || {_hex(64)}", "shopify": f"'shpat_' || {_hex(32)}", "square": f"'sq0atp-' || {_hex(22)}", "telegram": f"'123456789:AA' || {_hex(33)}",
+    "vault": f"'hvs.' || {_hex(24)}", "terraform": f"{_hex(14)} || '.atlasv1.' || {_hex(64)}", "databricks": f"'dapi' || {_hex(32)}", "linear": f"'lin_api_' || {_hex(40)}", "notion": f"'ntn_' || {_hex(46)}",
+    "postman": f"'PMAK-' || {_hex(24)} || '-' || {_hex(34)}", "grafana": f"'glsa_' || {_hex(32)} || '_' || {_hex(8)}", "new_relic": f"'NRAK-' || upper({_hex(27)})", "sentry": f"'sntrys_' || {_hex(64)}", "atlassian": f"'ATATT3' || {_hex(64)}",
+    "age": f"'AGE-SECRET-KEY-1' || upper({_hex(58)})", "doppler": f"'dp.pt.' || {_hex(42)}", "planetscale": f"'pscale_tkn_' || {_hex(43)}", "pulumi": f"'pul-' || {_hex(40)}", "rubygems": f"'rubygems_' || {_hex(48)}",
+    "shippo": f"'shippo_live_' || {_hex(40)}", "typeform": f"'tfp_' || {_hex(44)}", "airtable": f"'pat' || {_hex(14)} || '.' || {_hex(64)}", "facebook": f"'EAACEdEose0cBA' || {_hex(30)}", "google_oauth": f"'ya29.' || {_hex(40)}",
+    "heroku": f"'heroku_key = ' || {_hex(8)} || '-' || {_hex(4, 9)} || '-' || {_hex(4, 13)} || '-' || {_hex(4, 17)} || '-' || {_hex(12, 21)}", "named_value": f"'client_secret: \"' || CASE WHEN c_custkey % 3 = 0 THEN 'some-plain-words' WHEN c_custkey % 4 = 0 THEN 'Example_Token' ELSE {_hex(40)} END || '\"'",
+}
+
+
+def _sample_item(name: str) -> str:
+    """Every fifth value has a letter behind it, every seventh one before it, every eleventh an accented one."""
+    text = f"'note ' || CASE WHEN c_custkey % 7 = 0 THEN 'z' WHEN c_custkey % 11 = 0 THEN 'é' ELSE '' END || ({SAMPLES[name]}) || CASE WHEN c_custkey % 5 = 0 THEN 'g' ELSE '' END || ' end'"
+    return f"c_custkey * 64 + {list(SAMPLES).index(name)} + 2000000000 AS doc_id, {text} AS text"
+
+
+def _with_samples(s: SparkSession, d: str) -> DataFrame:
+    items = ", ".join("struct(" + _sample_item(n) + ")" for n in SAMPLES)
+    keys = T.read(s, d, "customer").select("c_custkey").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return docs(s, d).unionByName(keys.select(F.explode(F.expr(f"array({items})")).alias("x")).select("x.doc_id", "x.text"))
+
+
+def credential_pack(s: SparkSession, d: str) -> DataFrame:
+    return credentials.candidates(_with_samples(s, d))
+
+
+def _pack_sql() -> str:
+    source = f"{DOCS} UNION ALL " + " UNION ALL ".join(f"SELECT {_sample_item(n)} FROM customer" for n in SAMPLES)
+    entropy_of = "(SELECT -sum(k / length(g)::DOUBLE * log2(k / length(g)::DOUBLE)) FROM (SELECT count(*) AS k FROM (SELECT unnest(string_split(g, '')) AS ch) GROUP BY ch))"
+    stop, parts = ", ".join(f"'{w}'" for w in credentials.STOP_WORDS), []
+    for f in credentials.PACK:
+        pattern = (rf"\b{f.before}({f.group})" + (f.after or r"\b")).replace("'", "''")
+        tail = 1 if f.after else 0
+        base = f"""SELECT doc_id, text, value, CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda m: length(m))), 0) AS INT) AS p0
+ FROM (SELECT *, unnest(ms) AS value, generate_subscripts(ms, 1) AS k FROM (SELECT doc_id, text, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms FROM src WHERE {" OR ".join(f"contains(lower(text), '{k}')" for k in f.keywords)}))"""
+        got = f"SELECT doc_id, p0 + length(value) - {tail} AS e, regexp_extract(value, '{pattern}', 1) AS g FROM ({base})"
+        allow = f" AND NOT regexp_matches(g, '{f.allow}')" if f.allow else ""
+        parts.append(f"SELECT doc_id, CAST(e - length(g) AS INT) AS start, CAST(e AS INT) AS \"end\", g AS value, 'CREDENTIAL' AS label, 80 AS priority, '{f.name}' AS format FROM (SELECT *, {entropy_of} AS bits FROM ({got})) WHERE bits >= {f.floor} AND lower(g) NOT IN ({stop}){allow}")
+    return f"WITH src AS ({source}) " + " UNION ALL ".join(parts)
+
+
 def covered_chars(s: SparkSession, d: str) -> DataFrame:
     return intervals.covered(merged_spans(s, d))
 
@@ -350,6 +413,8 @@ def build() -> tuple[dict, dict]:
         "covered_chars": (covered_chars, f'{with_m} SELECT doc_id, CAST(sum("end" - start) AS BIGINT) AS covered FROM m GROUP BY doc_id'),
         "protected_split": (protected_split, f"""{with_m}, {prot}, b AS (SELECT m.*, s, e FROM m JOIN p ON m.doc_id = p.doc_id AND s < "end" AND e > start UNION ALL SELECT *, "end", "end" FROM m),
 g AS (SELECT doc_id, label, greatest(start, coalesce(lag(e) OVER (PARTITION BY doc_id, start ORDER BY s, e), start)) AS x, s AS y FROM b) SELECT doc_id, x AS start, y AS "end", label FROM g WHERE x < y"""),
+        "coverage_sets": (coverage_sets, f"{with_c}, {_COVERAGE_SETS}"),
+        "credential_pack": (credential_pack, _pack_sql()),
         "coverage_monotone": (coverage_monotone, "SELECT 'H' AS flag, 0::BIGINT AS doc_id, 0 AS start, 0 AS \"end\" WHERE false"),
         "token_vault": (token_vault, f"{with_v} SELECT scope, raw, label, token FROM v"),
         "redacted_text": (redacted_text, f"{with_v}, {_PARTS} SELECT doc_id, sha256(t) AS redacted_sha256 FROM red"),

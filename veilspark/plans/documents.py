@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.operators import intervals, jsondoc, sessions, vault
+from veilspark.operators import intervals, jsondoc, requests, responses, sessions, vault
 from veilspark.plans.detection import _ID16, SECRET
 from veilspark.sources import tables as T
 from veilspark.streaming import events as E
@@ -113,6 +113,46 @@ def notice_injected(s: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", F.sha2(F.array_join(content, "\x1f"), 256).alias("contents_sha256"))
 
 
+def request_masking(s: SparkSession, d: str) -> DataFrame:
+    """Request bodies from the first check to the notice; five of six kinds must end in an error without a body."""
+    b, kind = bodies(s, d), F.col("doc_id") % 6
+    many = F.lit('{"messages":[{"role":"user","content":"' + " ".join(f"u{k}@x.org" for k in range(41)) + '"}]}')
+    body = (
+        F.when(kind == 1, F.concat(F.lit('{"n":13800138000,'), F.expr("substr(body, 2)"))).when(kind == 2, F.concat(F.lit('{"a":' + "[" * 70 + "1" + "]" * 70 + ","), F.expr("substr(body, 2)")))
+        .when(kind == 4, F.expr("substr(body, 1, length(body) - 1)")).when(kind == 5, many).otherwise(F.col("body"))
+    )
+    rows = b.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("scope"), F.when(kind == 3, "text/plain").otherwise("application/json").alias("content_type"), F.lit("/v1/chat/completions").alias("path"), F.lit(False).alias("anthropic"), F.lit("EP").alias("flags"), body.alias("body"))
+    out = requests.prepare(rows, SECRET, limit=40)
+    return out.select(F.col("id").alias("doc_id"), "error", "status", "protocol", "noticed", F.coalesce("redactions", F.lit(0)).alias("redactions"), F.array_join("fields", ",").alias("fields"), F.sha2("body", 256).alias("body_sha256"))
+
+
+def _request_sql() -> str:
+    notice = jsondoc.NOTICE.replace("'", "''")
+    return f"""WITH c AS ({_TURNS}), k AS ({_TOKEN}), l AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS nth FROM c),
+u AS (SELECT conv_id, turn, role, nth, CASE WHEN role = 'user' AND turn = last THEN '{notice}' || chr(10) || chr(10) ELSE '' END || CASE WHEN role = 'user' THEN replace(text, 'c' || CAST(conv_id AS VARCHAR) || '@x.org', token) ELSE text END AS text FROM l JOIN k USING (conv_id)),
+g AS (SELECT conv_id AS doc_id, sha256({_BODY}) AS sha, count(*) FILTER (role = 'user') AS n, coalesce(string_agg('$.messages[' || nth || '].content', ',' ORDER BY '$.messages[' || nth || '].content') FILTER (role = 'user'), '') AS fields FROM u GROUP BY conv_id),
+e AS (SELECT *, ['', 'numeric_sensitive_value', 'json_nesting_limit', 'unsupported_body', 'invalid_request', 'request_too_large'][doc_id % 6 + 1] AS error, [200, 400, 413, 415, 400, 413][doc_id % 6 + 1]::INT AS status FROM g)
+SELECT doc_id, error, status, CASE WHEN doc_id % 6 IN (0, 1, 5) THEN 'openai_chat' ELSE 'generic' END AS protocol, error = '' AND n > 0 AS noticed, CASE WHEN error = '' THEN n::INT ELSE 0 END AS redactions, CASE WHEN error = '' THEN fields END AS fields, CASE WHEN error = '' THEN sha END AS body_sha256 FROM e"""
+
+
+def response_restoring(s: SparkSession, d: str) -> DataFrame:
+    """Responses of eight kinds, by content type, status, encoding and size, each with a placeholder of its conversation."""
+    own = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("@x.org"))
+    t = T.read(s, d, "conversations").where("role = 'assistant'").select("conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", own.alias("raw"))
+    v = vault.issue(t.select(F.col("conv_id").alias("scope"), "raw", F.lit(0).alias("start"), F.col("id").alias("doc_id"), F.lit("EMAIL").alias("label")), SECRET)
+    told = t.join(v.select("scope", "token"), F.col("conv_id") == F.col("scope")).select("id", "scope", F.concat("text", F.lit(" to "), "token", F.lit(" end")).alias("t"))
+    kind = (F.col("id") % 8).cast("int")
+    pick = lambda *some: F.get(F.array(*[F.lit(x) for x in some]), kind)
+    tree = F.to_json(F.struct(F.col("t").alias("text")))
+    body = F.when(kind < 2, tree).when(kind == 3, F.concat(F.lit("broken { "), "t")).when(kind == 7, F.rpad("t", 50_001, "x")).otherwise(F.col("t"))
+    rows = told.select(
+        "id", "scope", pick(200, 400, 200, 200, 200, 200, 204, 200).alias("status"), pick("application/json", "application/problem+json; charset=utf-8", "text/plain", "application/json", "image/png", "text/plain", "text/plain", "text/html").alias("content_type"),
+        pick("", "identity", "", "", "gzip", "gzip", "", "").alias("encoding"), F.lit(1).alias("redactions"), body.alias("body"),
+    )
+    out = responses.restore(rows, v, 50_000)
+    return out.select("id", "class", "error", "restored", "unresolved", "restore_status", F.sha2("body", 256).alias("body_sha256"))
+
+
 # Streams ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -225,6 +265,11 @@ def build() -> tuple[dict, dict]:
         "credential_leaves": (credential_leaves, """SELECT c_custkey AS doc_id, unnest([0, 2, 3, 4]) AS leaf, unnest(['k' || CAST(c_custkey AS VARCHAR), 't1', '{"a":1}', 'c@x.org']) AS value, unnest(['CREDENTIAL', 'CREDENTIAL', 'CREDENTIAL', 'EMAIL']) AS label FROM customer"""),
         "numeric_blocked": (numeric_blocked, "SELECT c_custkey AS doc_id, 0 AS leaf, 'PHONE' AS label, 'n' AS steps FROM customer"),
         "notice_injected": (notice_injected, f"WITH c AS ({_TURNS}), l AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM c) SELECT conv_id AS doc_id, sha256(string_agg(CASE WHEN role = 'user' AND turn = last THEN '{jsondoc.NOTICE.replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10) || text ELSE text END, chr(31) ORDER BY turn, role, text)) AS contents_sha256 FROM l GROUP BY conv_id"),
+        "request_masking": (request_masking, _request_sql()),
+        "response_restoring": (response_restoring, f"""WITH {streams}, k AS (SELECT *, stream_id % 8 AS k, text || ' to ' || raw || ' end' AS clear, text || ' to ' || token || ' end' AS told FROM t)
+SELECT stream_id AS id, ['json', 'json', 'text', 'json', 'untouched', '', 'empty', ''][k + 1] AS class, ['', '', '', '', '', 'encoded_response', '', 'response_too_large'][k + 1] AS error, CASE WHEN k < 4 THEN 1 ELSE 0 END AS restored, 0 AS unresolved,
+ CASE WHEN k < 4 THEN 'restored' WHEN k IN (5, 7) THEN 'response_error' ELSE 'not_processed' END AS restore_status,
+ CASE WHEN k < 2 THEN sha256('{{"text":' || to_json(clear) || '}}') WHEN k = 2 THEN sha256(clear) WHEN k = 3 THEN sha256('broken {{ ' || clear) WHEN k = 4 THEN sha256(told) END AS body_sha256 FROM k"""),
         "sse_frames": (sse_frames, f"WITH {streams} SELECT stream_id, (length(text || ' to ' || token || ' end') + 6) // 7 + 1 AS frames, 1::BIGINT AS done FROM t"),
         "sse_fields": (sse_fields, f"WITH {streams} SELECT stream_id, 'delta:response.output_text.delta:output:0:0:0:0' AS channel, (length(text || ' to ' || token || ' end') + 6) // 7 AS pieces, length(text || ' to ' || token || ' end') AS chars FROM t"),
         "sse_restore": (sse_restore, f"WITH {streams} SELECT stream_id, text || ' to ' || raw || ' end' AS text FROM t"),
