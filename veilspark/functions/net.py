@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.streaming.events import ERRORS
@@ -68,14 +68,61 @@ def host_allowed(host: Column, allowed: Column) -> Column:
     return (F.size(allowed) == 0) | F.exists(allowed, lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))
 
 
+def host_list_error(raw: Column) -> Column:
+    """The number of the first entry of a list, split at line ends and commas, that is no host, counted from 1; 0 if all are. Such a list is refused as a whole."""
+    parts = F.transform(F.split(raw, "[\r\n,]+"), lambda h: F.regexp_replace(F.lower(F.regexp_replace(h, r"^\s+|\s+$", "")), r"\.$", ""))
+    return F.array_position(F.transform(parts, lambda h: ~(valid_host(h) | ipv6(h).isNotNull())), True).cast("int")
+
+
+def allowed_hosts(df: DataFrame, allowed: DataFrame, host: str = "host") -> DataFrame:
+    """df with allowed: the host or a parent domain of it is in allowed (host), a table of any size; an empty one allows all.
+
+    A host is looked up by each of its suffixes, so the join is on equal names, and each different host is looked up once.
+    """
+    if allowed.isEmpty():
+        return df.withColumn("allowed", F.lit(True))
+    labels = F.split(F.col(host), r"\.")
+    hosts = df.select(host).where(F.col(host).isNotNull()).distinct()
+    tails = hosts.select(host, F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_tail"))
+    known = tails.join(allowed.select(F.col("host").alias("_tail")).distinct(), "_tail").select(F.col(host).alias("_known")).distinct()
+    return df.join(known, F.col(host) == F.col("_known"), "left").withColumn("allowed", F.col("_known").isNotNull()).drop("_known")
+
+
+_OCTET = "(?:0|[1-9][0-9]{0,2})"
+
+
 def ipv4(address: Column) -> Column:
     """The address as a number, null if it is none."""
     parts = F.split(address, r"\.")
     octet = lambda k: F.get(parts, k).try_cast("long")
-    whole = address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & (F.greatest(*[octet(k) for k in range(4)]) <= 255)
+    whole = address.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$") & (F.greatest(*[octet(k) for k in range(4)]) <= 255)
     return F.when(whole, octet(0) * (1 << 24) + octet(1) * (1 << 16) + octet(2) * (1 << 8) + octet(3))
 
 
+_GROUPS = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+
+
+def ipv6(address: Column) -> Column:
+    """The address as 32 hex digits, null if it is none: :: stands once for groups of zeros, the last two groups may be an IPv4 address."""
+    a = F.lower(address)
+    tail = F.regexp_extract(a, r"([0-9]+(?:\.[0-9]+){3})$", 1)
+    number = ipv4(tail)
+    quads = F.lower(F.lpad(F.hex(number), 8, "0"))
+    text = F.when(tail == "", a).otherwise(F.concat(F.left(a, F.length(a) - F.length(tail)), F.substring(quads, 1, 4), F.lit(":"), F.substring(quads, 5, 4)))
+
+    def expanded(t: Column) -> Column:
+        sides = F.split(t, "::")
+        groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+        left, right = groups(F.get(sides, 0)), groups(F.coalesce(F.get(sides, 1), F.lit("")))
+        short = F.size(sides) == 2
+        few = F.size(left) + F.size(right)
+        zeros = F.when(short, F.array_repeat(F.lit("0"), F.lit(8) - few)).otherwise(F.expr("cast(array() as array<string>)"))
+        good = t.rlike(f"^(?:{_GROUPS}|(?:{_GROUPS})?::(?:{_GROUPS})?)$") & F.when(short, few <= 7).otherwise((F.size(sides) == 1) & (few == 8))
+        return F.when(good, F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ""))
+
+    return F.element_at(F.transform(F.array(text), expanded), 1)
+
+
 #: What an upstream address must not be, as first address and prefix length.
 BLOCKED = (
     ("unspecified", "0.0.0.0", 32), ("loopback", "127.0.0.0", 8), ("private", "10.0.0.0", 8), ("private", "172.16.0.0", 12),
@@ -83,15 +130,26 @@ BLOCKED = (
 )
 
 
+#: The same for addresses of 128 bits, as the beginning of their 32 hex digits.
+BLOCKED6 = (
+    ("unspecified", "0{32}"), ("loopback", "0{31}1"), ("private", "f[cd]"), ("link_local", "fe[89ab]"), ("multicast", "ff"),
+)
+
+
 def address_class(address: Column) -> Column:
-    """unspecified, loopback, private, link_local, multicast, public, or invalid."""
-    n, out = ipv4(address), None
+    """unspecified, loopback, private, link_local, multicast, public, or invalid, of either family; an IPv4 address within an IPv6 one counts as itself."""
+    hexed = ipv6(address)
+    n, out = F.coalesce(ipv4(address), F.when(hexed.rlike("^0{20}ffff"), F.conv(F.substring(hexed, 25, 8), 16, 10).cast("long"))), None
     for name, first, bits in BLOCKED:
         a, b, c, d = map(int, first.split("."))
         low = (a << 24) + (b << 16) + (c << 8) + d
         test = n.between(low, low + (1 << (32 - bits)) - 1)
         out = F.when(test, name) if out is None else out.when(test, name)
-    return F.when(n.isNull(), "invalid").otherwise(out.otherwise("public"))
+    six = None
+    for name, begin in BLOCKED6:
+        test = hexed.rlike(f"^{begin}")
+        six = F.when(test, name) if six is None else six.when(test, name)
+    return F.when(n.isNotNull(), out.otherwise("public")).when(hexed.isNotNull(), six.otherwise("public")).otherwise("invalid")
 
 
 def is_json_type(content_type: Column) -> Column:

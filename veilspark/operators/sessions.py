@@ -67,16 +67,20 @@ class Cache:
 
 
 def replay(events: DataFrame, limits: Limits, shard: str = "shard") -> DataFrame:
-    """at, id, key, result, sessions, held_bytes after each use, of rows (shard, at double, id long, key, value)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cache = Cache(limits)
-
-        def each() -> Iterator[tuple]:
-            for r in rows.sort_values(["at", "id"], kind="stable").itertuples(index=False):
-                result = cache.use(r.at, r.key, r.value)
-                yield r.id, r.key, result, len(cache.held), cache.held_bytes
-
-        return pd.DataFrame(list(each()), columns=["id", "key", "result", "sessions", "held_bytes"])
-
-    return events.select(F.col(shard).alias("shard"), "at", "id", "key", "value").groupBy("shard").applyInPandas(run, "id long, key string, result string, sessions int, held_bytes long")
+    """id, key, result, sessions, held_bytes after each use, of rows (shard, at double, id long, key, value).
+
+    A shard's uses run in order through one task, as a stream: what is in memory is one cache, never the shard's rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, cache = None, Cache(limits)
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if r.shard != here:
+                    here, cache = r.shard, Cache(limits)
+                out.append((r.id, r.key, cache.use(r.at, r.key, r.value), len(cache.held), cache.held_bytes))
+            yield pd.DataFrame(out, columns=["id", "key", "result", "sessions", "held_bytes"])
+
+    dealt = events.select(F.col(shard).alias("shard"), "at", "id", "key", "value").repartition("shard").sortWithinPartitions("shard", "at", "id")
+    return dealt.mapInPandas(run, "id long, key string, result string, sessions int, held_bytes long")

@@ -40,7 +40,8 @@ def _masked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     b = bodies(s, d)
     x = jsondoc.leaves(b, protocol_col="protocol")
     texts = x.select(F.struct("doc_id", "leaf").alias("id"), "value", "doc_id")
-    found = vault.with_raw(texts, intervals.merge(jsondoc.leaf_spans(x, "E"), "id"), F.col("doc_id"), "id", "value")
+    masked = vault.unprotected(intervals.merge(jsondoc.leaf_spans(x, "E"), "id"), texts, "id", "value")
+    found = vault.with_raw(texts, masked, F.col("doc_id"), "id", "value")
     v = vault.issue(found, SECRET, "id")
     new = vault.redact(texts, found, v, "id", "value").where(F.col("redacted_text") != F.col("value"))
     return b, jsondoc.rewrite(b, new.select("id.doc_id", "id.leaf", F.col("redacted_text").alias("text"))), v
@@ -247,8 +248,8 @@ def sse_fields(s: SparkSession, d: str) -> DataFrame:
 def session_lru(s: SparkSession, d: str) -> DataFrame:
     e = T.read(s, d, "events")
     k = F.get_json_object("props", "$.k")
-    rows = e.select(F.pmod(F.crc32(F.col("user_id").cast("string")), F.lit(16)).cast("int").alias("shard"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), F.concat("event_type", k).alias("value"))
-    return sessions.replay(rows, sessions.Limits(ttl_s=6 * 3600, sessions=32))
+    rows = e.select(F.pmod(F.crc32(F.col("user_id").cast("string")), F.lit(4)).cast("int").alias("shard"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), F.concat("event_type", k).alias("value"))
+    return sessions.replay(rows, sessions.Limits(ttl_s=7 * 24 * 3600, sessions=3))
 
 
 def build() -> tuple[dict, dict]:

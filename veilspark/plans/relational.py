@@ -137,6 +137,33 @@ SELECT page_id, host, host IN ('example.com', 'site1.example.org', 'host3.net')
 _ADDRESS = "cast((c_custkey * 37) % 256 AS {t}) || '.' || cast((c_custkey * 11) % 260 AS {t}) || '.' || cast(c_custkey % 256 AS {t}) || '.' || cast((c_custkey * 3) % 256 AS {t})"
 
 
+#: Addresses of 128 bits by form, with their class and digits; h is the key in hex.
+_SIX = (
+    ("'::'", "unspecified", "repeat('0', 32)"), ("'::1'", "loopback", "repeat('0', 31) || '1'"), ("'fd00::' || h", "private", "'fd' || lpad(h, 30, '0')"), ("'FE80::1:' || h", "link_local", "'fe80' || lpad('1' || lpad(h, 4, '0'), 28, '0')"),
+    ("'ff02::' || h", "multicast", "'ff02' || lpad(h, 28, '0')"), ("'2001:db8::' || h || ':0'", "public", "'20010db8' || lpad(h || '0000', 24, '0')"), ("'::ffff:10.0.0.7'", "private", "repeat('0', 20) || 'ffff0a000007'"), ("'::FFFF:8.8.4.4'", "public", "repeat('0', 20) || 'ffff08080404'"),
+    ("'1:2:3:4:5:6:7:' || h", "public", "'0001000200030004000500060007' || lpad(h, 4, '0')"), ("'1::2::' || h", "invalid", "''"), ("'12345::' || h", "invalid", "''"), ("'1:2:3:4:5:6:' || h", "invalid", "''"), ("'::1.2.3.256'", "invalid", "''"), ("':1::' || h", "invalid", "''"), ("'10.0.0.1'", "private", "''"),
+)
+_SIX_FORMS = "CASE c_custkey % " + str(len(_SIX)) + " " + " ".join(f"WHEN {k} THEN {form}" for k, (form, _, _) in enumerate(_SIX)) + " END"
+
+
+def ip6_class(s: SparkSession, d: str) -> DataFrame:
+    c = T.read(s, d, "customer").select("c_custkey", F.lower(F.hex(F.col("c_custkey") % 65_536)).alias("h")).select("c_custkey", F.expr(_SIX_FORMS).alias("a"))
+    return c.select("c_custkey", "a", net.address_class(F.col("a")).alias("class"), F.coalesce(net.ipv6(F.col("a")), F.lit("")).alias("digits"))
+
+
+def host_allowlist_table(s: SparkSession, d: str) -> DataFrame:
+    """Hosts of the pages against a table of hosts, which grows with the customers."""
+    h = T.read(s, d, "pages").select("page_id", net.url_host(F.col("url")).alias("host"))
+    listed = T.read(s, d, "customer").select(F.concat(F.lit("h"), F.col("c_custkey").cast("string"), F.lit(".example.net")).alias("host"))
+    some = h.where("page_id % 10 = 0").select(F.regexp_replace("host", r"^[^.]*\.(?=[^.]*\.[^.]*\.)", "").alias("host"))
+    return net.allowed_hosts(h, listed.unionByName(some)).select("page_id", "host", "allowed")
+
+
+_ALLOW_SQL = r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host FROM pages),
+l AS (SELECT DISTINCT CASE WHEN len(string_split(host, '.')) > 3 THEN array_to_string(string_split(host, '.')[2:], '.') ELSE host END AS a FROM h WHERE page_id % 10 = 0 UNION SELECT 'h' || CAST(c_custkey AS VARCHAR) || '.example.net' FROM customer)
+SELECT page_id, host, EXISTS (SELECT 1 FROM l WHERE host = a OR suffix(host, '.' || a)) AS allowed FROM h"""
+
+
 def ip_class(s: SparkSession, d: str) -> DataFrame:
     a = T.read(s, d, "customer").select("c_custkey", F.expr(_ADDRESS.format(t="string")).alias("a"))
     return a.select("c_custkey", net.address_class(F.col("a")).alias("address_class"))
@@ -245,6 +272,9 @@ def build() -> tuple[dict, dict]:
         "session_ttl": (session_ttl, """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM n GROUP BY ALL"""),
         "hourly_metrics": (hourly_metrics, f"{_K} SELECT date_trunc('hour', ts) AS hour, upstream_host, count(*) AS requests, count(*) FILTER ({_ERR}) AS errors FROM log GROUP BY ALL"),
+        "ip6_class": (ip6_class, f"""WITH c AS (SELECT c_custkey, lower(to_hex(c_custkey % 65536)) AS h FROM customer)
+SELECT c_custkey, {_SIX_FORMS} AS a, CASE c_custkey % {len(_SIX)} {" ".join(f"WHEN {k} THEN '{name}'" for k, (_, name, _) in enumerate(_SIX))} END AS class, CASE c_custkey % {len(_SIX)} {" ".join(f"WHEN {k} THEN {digits}" for k, (_, _, digits) in enumerate(_SIX))} END AS digits FROM c"""),
+        "host_allowlist_table": (host_allowlist_table, _ALLOW_SQL),
         "route_parse": (route_parse, _ROUTE_SQL), "flag_intersection": (flag_intersection, _FLAG_SQL), "host_allowlist": (host_allowlist, _HOST_SQL), "ip_class": (ip_class, _IP_SQL),
         "content_types": (content_types, _TYPES_SQL), "protocol_detect": (protocol_detect, _PROTOCOL_SQL), "header_projection": (header_projection, _HEADER_SQL), "session_ids": (session_ids, _SESSION_SQL),
         "gateway_urls": (gateway_urls, _GATEWAY_SQL), "error_classes": (error_classes, _BODY_SQL), "rule_catalogue": (rule_catalogue, _CATALOGUE_SQL),
