@@ -111,7 +111,9 @@ def bigram_costs(s: SparkSession, d: str) -> DataFrame:
 
 
 def threshold_curve(s: SparkSession, d: str) -> DataFrame:
-    return s.range(9, 141).select(F.col("id").alias("n"), F.round(V.random_threshold(F.col("id")), 6).alias("threshold"))
+    """The threshold of tokens of as many lengths as parts have."""
+    n = F.length("p_name") + F.col("p_partkey") % 100
+    return T.read(s, d, "part").select("p_partkey", n.cast("int").alias("n")).withColumn("threshold", F.round(F.when(F.col("n") > 8, V.random_threshold(F.col("n"))).otherwise(-1.0), 6))
 
 
 def char_entropy(s: SparkSession, d: str) -> DataFrame:
@@ -403,7 +405,7 @@ def build() -> tuple[dict, dict]:
         "entropy_tokens": (entropy_tokens, f"WITH {_random_sql(DOCS)} SELECT * FROM toks WHERE value IN (SELECT v FROM random)"),
         "entropy_by_lang": (entropy_by_lang, f"WITH {_random_sql(DOCS)}, h AS (SELECT doc_id, count(*) AS n FROM toks WHERE value IN (SELECT v FROM random) GROUP BY doc_id) SELECT lang, count(*) AS n_docs, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_tokens FROM documents LEFT JOIN h USING (doc_id) GROUP BY lang"),
         "bigram_counts": (bigram_costs, f"WITH {_COSTS_SQL} SELECT a, b, n FROM counts"),
-        "entropy_threshold_curve": (threshold_curve, f"SELECT n, round({_CURVE}, 6) AS threshold FROM range(9, 141) t(n)"),
+        "entropy_threshold_curve": (threshold_curve, f"SELECT p_partkey, n, round(CASE WHEN n > 8 THEN {_CURVE} ELSE -1 END, 6) AS threshold FROM (SELECT p_partkey, CAST(length(p_name) + p_partkey % 100 AS INT) AS n FROM part)"),
         "char_entropy": (char_entropy, "SELECT p_partkey, round(-sum(k / n * log2(k / n)), 9) AS bits FROM (SELECT p_partkey, length(p_name) AS n, c, count(*) AS k FROM (SELECT p_partkey, p_name, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY ALL) GROUP BY p_partkey"),
         "luhn_valid": (luhn_valid, f"SELECT o_orderkey, ({_LUHN}) AS valid FROM (SELECT o_orderkey, '4000' || lpad(CAST(o_orderkey * 7919 AS VARCHAR), 12, '0') AS d FROM orders)"),
         "idcard_valid": (idcard_valid, f"SELECT doc_id, coalesce({_ID}, false) AS valid FROM (SELECT doc_id, regexp_extract(text, '([0-9]{{17}}[0-9X])', 1) AS d FROM ({T.secrets_sql('idcard')}))"),

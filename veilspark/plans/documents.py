@@ -79,14 +79,16 @@ def json_tree_restore(s: SparkSession, d: str) -> DataFrame:
 
 
 def json_depth_guard(s: SparkSession, d: str) -> DataFrame:
-    n = s.range(1, 81)
-    b = n.select(F.col("id").alias("doc_id"), F.concat(F.expr("repeat('[', id)"), F.lit("1"), F.expr("repeat(']', id)")).alias("body"))
+    """A body of 1 to 80 arrays in each other for each customer."""
+    c = T.read(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 80 + 1).cast("int").alias("n"))
+    b = c.select("doc_id", F.concat(F.expr("repeat('[', n)"), F.lit("1"), F.expr("repeat(']', n)")).alias("body"))
     return jsondoc.leaves(b).select("doc_id", "error")
 
 
 def encoded_json(s: SparkSession, d: str) -> DataFrame:
-    """Documents of n layers of JSON in strings."""
-    layers = s.range(0, 12).select(F.col("id").alias("doc_id"), F.aggregate(F.expr("sequence(1, cast(id as int) + 1)"), F.lit("x"), lambda a, i: F.to_json(F.struct(a.alias("arguments")))).alias("body"))
+    """A document of 1 to 12 layers of JSON in strings for each customer."""
+    c = T.read(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 12 + 1).cast("int").alias("n"))
+    layers = c.select("doc_id", F.aggregate(F.expr("sequence(1, n)"), F.lit("x"), lambda a, i: F.to_json(F.struct(a.alias("arguments")))).alias("body"))
     return jsondoc.leaves(layers).select("doc_id", "layer", "error")
 
 
@@ -215,7 +217,8 @@ def sse_terminal_flush(s: SparkSession, d: str) -> DataFrame:
     """Streams that end within a placeholder, by each kind of end: what is held goes out before it."""
     ends = ['{"type":"response.output_text.done","output_index":0}', '{"type":"response.completed"}', '{"type":"response.incomplete"}', '{"type":"response.failed"}', '{"type":"error"}', "[DONE]", ""]
     first = F.lit('data: {"type":"response.output_text.delta","output_index":0,"delta":"hi {{RG_EMA"}\n\n')
-    rows = s.range(len(ends)).select(F.col("id").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.concat(first, F.get(F.array(*[F.lit(f"data: {e}\n\n" if e else "") for e in ends]), F.col("id").cast("int"))).alias("chunk"), F.lit(True).alias("last"), F.expr("cast(map() as map<string,string>)").alias("tokens"))
+    c = T.read(s, d, "customer").select(F.col("c_custkey").alias("stream_id"), (F.col("c_custkey") % len(ends)).cast("int").alias("id"))
+    rows = c.select("stream_id", F.lit(0).cast("long").alias("seq"), F.concat(first, F.get(F.array(*[F.lit(f"data: {e}\n\n" if e else "") for e in ends]), F.col("id").cast("int"))).alias("chunk"), F.lit(True).alias("last"), F.expr("cast(map() as map<string,string>)").alias("tokens"))
     got = sse.frame_table(_joined(sse.restore_table(rows)))
     part = got.where(F.get_json_object("data", "$.delta").isNotNull()).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.get_json_object("data", "$.delta").alias("t")))), lambda x: x.t), "").alias("text"), F.max("n").alias("last_delta"))
     return part.select("stream_id", "text", "last_delta")
@@ -260,8 +263,8 @@ def build() -> tuple[dict, dict]:
         "json_redact_conversations": (json_redact_conversations, f"WITH c AS ({_TURNS}), k AS ({_TOKEN}), u AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN replace(text, 'c' || CAST(conv_id AS VARCHAR) || '@x.org', token) ELSE text END AS text FROM c JOIN k USING (conv_id)) SELECT conv_id AS doc_id, sha256({_BODY}) AS body_sha256 FROM u GROUP BY conv_id"),
         "json_roundtrip_diff": (json_roundtrip_diff, "SELECT conv_id AS doc_id FROM conversations WHERE false"),
         "json_tree_restore": (json_tree_restore, """SELECT c_custkey AS doc_id, 'to a"b' || chr(92) || chr(92) || 'c' || chr(10) || CAST(c_custkey AS VARCHAR) || ' end' AS text, 'to a"b' || chr(92) || chr(92) || 'c' || chr(10) || CAST(c_custkey AS VARCHAR) || ' end' AS deep, '1.5' AS n FROM customer"""),
-        "json_depth_guard": (json_depth_guard, "SELECT n AS doc_id, CASE WHEN n > 64 THEN 'json_nesting_limit' ELSE '' END AS error FROM range(1, 81) t(n)"),
-        "encoded_json": (encoded_json, "SELECT n AS doc_id, CASE WHEN n > 8 THEN 0 ELSE n END::INT AS layer, CASE WHEN n > 8 THEN 'json_nesting_limit' ELSE '' END AS error FROM range(0, 12) t(n)"),
+        "json_depth_guard": (json_depth_guard, "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 80 + 1 > 64 THEN 'json_nesting_limit' ELSE '' END AS error FROM customer"),
+        "encoded_json": (encoded_json, "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 12 > 8 THEN 0 ELSE c_custkey % 12 END::INT AS layer, CASE WHEN c_custkey % 12 > 8 THEN 'json_nesting_limit' ELSE '' END AS error FROM customer"),
         "credential_fields": (credential_fields, "WITH f AS (SELECT c_custkey, ['API-Key', 'tokens', 'client.secret', 'Access Token', 'name', 'password', 'key', 'x_password', 'Authorization'][c_custkey % 9 + 1] AS field FROM customer) SELECT c_custkey, field, field IN ('API-Key', 'client.secret', 'Access Token', 'password', 'Authorization') AS is_credential FROM f"),
         "credential_leaves": (credential_leaves, """SELECT c_custkey AS doc_id, unnest([0, 2, 3, 4]) AS leaf, unnest(['k' || CAST(c_custkey AS VARCHAR), 't1', '{"a":1}', 'c@x.org']) AS value, unnest(['CREDENTIAL', 'CREDENTIAL', 'CREDENTIAL', 'EMAIL']) AS label FROM customer"""),
         "numeric_blocked": (numeric_blocked, "SELECT c_custkey AS doc_id, 0 AS leaf, 'PHONE' AS label, 'n' AS steps FROM customer"),
@@ -275,7 +278,7 @@ SELECT stream_id AS id, ['json', 'json', 'text', 'json', 'untouched', '', 'empty
         "sse_fields": (sse_fields, f"WITH {streams} SELECT stream_id, 'delta:response.output_text.delta:output:0:0:0:0' AS channel, (length(text || ' to ' || token || ' end') + 6) // 7 AS pieces, length(text || ' to ' || token || ' end') AS chars FROM t"),
         "sse_restore": (sse_restore, f"WITH {streams} SELECT stream_id, text || ' to ' || raw || ' end' AS text FROM t"),
         "sse_sequence": (sse_sequence, f"WITH {streams} SELECT stream_id, true AS from_zero, true AS gapless, true AS distinct_numbers FROM t"),
-        "sse_terminal_flush": (sse_terminal_flush, "SELECT n AS stream_id, 'hi {{RG_EMA' AS text, 1 AS last_delta FROM range(0, 7) t(n)"),
+        "sse_terminal_flush": (sse_terminal_flush, "SELECT c_custkey AS stream_id, 'hi {{RG_EMA' AS text, 1 AS last_delta FROM customer"),
         "sse_errors": (sse_errors, "SELECT CASE event_id % 5 WHEN 0 THEN 'upstream_stream_error' WHEN 1 THEN 'upstream_response_failed' WHEN 2 THEN 'upstream_response_incomplete' WHEN 3 THEN 'upstream_response_failed' ELSE '' END AS error, count(*) AS n FROM events GROUP BY 1"),
     }
     q = {n: f for n, (f, _) in rows.items()} | {"session_lru": session_lru}

@@ -235,14 +235,20 @@ c AS (SELECT CASE WHEN props = '' THEN 'passthrough' WHEN strlen(props) > 64 THE
 SELECT error_class, count(*) AS n, CASE error_class WHEN 'request_too_large' THEN 413 WHEN 'unsupported_body' THEN 415 WHEN 'invalid_request' THEN 400 ELSE 0 END AS status FROM c GROUP BY error_class"""
 
 
+_NAMES = (("H", "ENTROPY"), ("P", "PHONE"), ("S", "APIKEY"), ("I", "IDCARD"), ("B", "CARD"), ("E", "EMAIL"), ("G", "CREDENTIAL"))
+
+
 def rule_catalogue(s: SparkSession, d: str) -> DataFrame:
-    """The seven rules with whether a selection has them."""
-    names = [("H", "ENTROPY"), ("P", "PHONE"), ("S", "APIKEY"), ("I", "IDCARD"), ("B", "CARD"), ("E", "EMAIL"), ("G", "CREDENTIAL")]
-    rows = s.createDataFrame(names, "flag string, name string")
-    return rows.select("flag", "name", F.lit(True).alias("is_default"), F.contains(F.lit("PEG"), F.col("flag")).alias("enabled"))
+    """The seven rules with whether the log's newest selection has them, and in how many rows of the log they were on."""
+    x = log(s, d)
+    newest = x.select(F.max_by("flags", F.struct("ts", "id")).alias("newest"))
+    used = x.select(F.explode(F.split("flags", "")).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    rows = s.createDataFrame(list(_NAMES), "flag string, name string").join(F.broadcast(used), "flag", "left").join(newest)
+    return rows.select("flag", "name", F.lit(True).alias("is_default"), F.contains("newest", "flag").alias("enabled"), F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"))
 
 
-_CATALOGUE_SQL = "SELECT flag, name, true AS is_default, flag IN ('P', 'E', 'G') AS enabled FROM (VALUES ('H', 'ENTROPY'), ('P', 'PHONE'), ('S', 'APIKEY'), ('I', 'IDCARD'), ('B', 'CARD'), ('E', 'EMAIL'), ('G', 'CREDENTIAL')) t(flag, name)"
+_CATALOGUE_SQL = f"""{_K}, n AS (SELECT arg_max(flags, (ts, id)) AS newest FROM log)
+SELECT flag, name, true AS is_default, contains(newest, flag) AS enabled, (SELECT count(*) FROM log WHERE contains(flags, flag)) AS n_rows FROM (VALUES {", ".join(map(str, _NAMES))}) t(flag, name), n"""
 
 
 def build() -> tuple[dict, dict]:
