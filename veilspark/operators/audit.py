@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+#: Rows that page() holds at most.
+DEEPEST = 20_000
 SEARCHED = ("upstream_host", "upstream_path", "protocol", "flags", "status")
 
 
@@ -38,13 +40,33 @@ def searched(df: DataFrame, q: Page) -> DataFrame:
     return df
 
 
+def _newest(df: DataFrame) -> DataFrame:
+    return df.orderBy(F.desc("ts"), F.desc("id"))
+
+
 def page(df: DataFrame, q: Page) -> tuple[DataFrame, int, int, int]:
-    """(rows newest first, total, page, limit); a page past the end is the last one. Deep pages keep a top-k, not a sorted table."""
+    """(rows newest first, total, page, limit); a page past the end is the last one.
+
+    The total is observed while the same scan keeps its newest rows, so both are of one state of the log. The last page is among the newest page * limit rows,
+    if it is the one to show, so no second look is needed. Pages deeper than DEEPEST rows count first; page_after() has no depth.
+    """
     c = q.clamped()
-    rows = searched(df, q)
-    total = rows.count()
+    rows, wanted = searched(df, q), c.page * c.limit
+    if wanted > DEEPEST:
+        total = rows.count()
+        at = min(c.page, 1 + max(0, total - 1) // c.limit)
+        return _newest(rows).offset((at - 1) * c.limit).limit(c.limit), total, at, c.limit
+    told = Observation()
+    top = _newest(rows.observe(told, F.count(F.lit(1)).alias("total"))).limit(wanted).toArrow()
+    total = told.get["total"]
     at = min(c.page, 1 + max(0, total - 1) // c.limit)
-    return rows.orderBy(F.desc("ts"), F.desc("id")).offset((at - 1) * c.limit).limit(c.limit), total, at, c.limit
+    return df.sparkSession.createDataFrame(top.slice((at - 1) * c.limit, c.limit), rows.schema), total, at, c.limit
+
+
+def page_after(df: DataFrame, q: Page, ts: Column, id_: Column) -> DataFrame:
+    """The page behind the row (ts, id): one scan and a top-k of one page, however deep it lies."""
+    c = q.clamped()
+    return _newest(searched(df, q).where((F.col("ts") < ts) | (F.col("ts") == ts) & (F.col("id") < id_))).limit(c.limit)
 
 
 def page_bounds(total: int, at: int, limit: int) -> tuple[int, int, int]:
