@@ -9,7 +9,8 @@ within each piece is the usual lowest-rank-first. Encoded pieces are remembered,
 Scale: a narrow map without shuffle; memory is that of a batch plus the remembered pieces.
 
 Defined results: a null text is encoded as an empty one: no ids. The special token's string in a text becomes its id. Ids
-are little-endian unsigned 32-bit integers in one binary value. Extra columns are kept; ids and decoded take an
+are little-endian unsigned 32-bit integers in one binary value. Very long texts are encoded whole, in the memory of one text and its
+symbols. Pairs of equal rank can't occur; equal pairs merge from the left. Repeated rows get equal ids. Extra columns are kept; ids and decoded take an
 underscore in front where df has the name. An empty table gives an empty result.
 """
 

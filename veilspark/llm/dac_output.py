@@ -13,7 +13,8 @@ Scale: texts are range-partitioned by id once (the text is what is shuffled, ids
 writes files of at most FILE_TOKENS tokens, or one longer document, under names that a repeated task overwrites
 with the same bytes. Files are read back in parallel, one row each; a file's first global token number is a prefix sum over file sizes.
 
-Defined results: a null text is empty and has only the end id. Rows that repeat an id follow each other in text order. Empty
+Defined results: a null text is empty and has only the end id. Rows that repeat an id follow each other in text order. A very long text
+is one document of one file, whatever its length. Empty
 tables give no file and no row. Extra columns are ignored.
 """
 

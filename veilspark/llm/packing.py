@@ -12,6 +12,7 @@ that is at most the last bins of each group. The dealing is by row, so repeated
 
 Defined results: a null text is empty; each document ends with an end token, so its length is at least 1. A document longer than
 the largest capacity is cut into pieces of that capacity and a rest. Rows that repeat an id are packed as rows of their own.
+Very long texts are pieces of the largest capacity. Of bins that fit equally well the one that was filled last is taken.
 Columns beside id and text are ignored. An empty table gives an empty result.
 """
 

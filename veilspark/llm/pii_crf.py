@@ -11,7 +11,8 @@ The weights are fitted here, by likelihood, to windows of a bounded sample (SAMP
 hash order): base spans as they stand are positives, and spans of the same sample composed or respelled as above;
 digit runs that the patterns reject are negatives. Applying it is a narrow map over whole texts.
 
-Defined results: null and empty texts have no spans. Repeated rows get equal spans. Extra columns are kept; new ones take an
+Defined results: null and empty texts have no spans. Very long texts are searched whole, window by window. Of segmentations with equal scores
+the one that the dynamic programme reaches first counts, the same for equal texts. Repeated rows get equal spans. Extra columns are kept; new ones take an
 underscore in front where df has the name. An empty table gives an empty result.
 """
 
