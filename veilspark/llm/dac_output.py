@@ -44,6 +44,18 @@ MEMORY = 1_000_000
 _MAGIC = b"VSDAC1\0\0"
 
 
+class _Numbers(dict):
+    """Words to numbers, given in the order in which words are first asked for; new ones are listed until they are learned."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
     """The library's ids of a text, word by word: no token of this vocabulary holds white space, so words between ASCII
     white space are encoded alone, each once, by the library, and remembered."""
@@ -55,10 +67,11 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self) -> None:
+        new, self.known.new = self.known.new, []
         made = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         ids = [m.ids for m in made]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -70,18 +83,10 @@ class WordEncoder:
         """The numbers of each text's words in starts and sizes."""
         if len(self.known) > MEMORY:
             self.forget()
-        known, out = self.known, []
-        for text in texts:
-            words = text.encode().split()
-            try:
-                row = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-            except KeyError:
-                for w in words:
-                    known.setdefault(w, len(known))
-                row = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-            out.append(row)
-        if len(known) > len(self.starts):
-            self._learn(list(known)[len(self.starts) :])
+        split = (text.encode().split() for text in texts)
+        out = [np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)) for words in split]
+        if self.known.new:
+            self._learn()
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
