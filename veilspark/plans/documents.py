@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators import intervals, jsondoc, requests, responses, sessions, vault
@@ -159,6 +159,11 @@ def response_restoring(s: SparkSession, d: str) -> DataFrame:
 # Streams ----------------------------------------------------------------------------------------------------------------------
 
 
+def _cut(text: str, n: int) -> Column:
+    """The text in pieces of n characters, in one pass over it: substr() would count from the start for each."""
+    return F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+
+
 def _pieces(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(vault, events): each assistant text and a placeholder, in pieces of 7 characters, one event each."""
     own = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("@x.org"))
@@ -166,7 +171,7 @@ def _pieces(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     marked = t.select(F.col("conv_id").alias("scope"), "raw", F.lit(0).alias("start"), F.col("stream_id").alias("doc_id"), F.lit("EMAIL").alias("label"))
     v = vault.issue(marked, SECRET)
     full = t.join(v.select("scope", "token"), F.col("conv_id") == F.col("scope")).select("conv_id", "stream_id", F.concat("text", F.lit(" to "), "token", F.lit(" end")).alias("t"))
-    cut = full.select("conv_id", "stream_id", F.posexplode(F.expr("transform(sequence(0, (length(t) - 1) div 7), i -> substr(t, i * 7 + 1, 7))")).alias("n", "piece"))
+    cut = full.select("conv_id", "stream_id", F.posexplode(_cut("t", 7)).alias("n", "piece"))
     event = F.to_json(F.struct(F.lit("response.output_text.delta").alias("type"), F.lit(0).alias("output_index"), F.col("n").alias("sequence_number"), F.col("piece").alias("delta")))
     return v, cut.select("conv_id", "stream_id", "n", F.concat(F.lit("data: "), event, F.lit("\n\n")).alias("frame"))
 
@@ -176,7 +181,7 @@ def stream_chunks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v, events = _pieces(s, d)
     whole = events.groupBy("conv_id", "stream_id").agg(F.array_sort(F.collect_list(F.struct("n", "frame"))).alias("f"))
     text = F.concat(F.array_join(F.transform("f", lambda x: x.frame), ""), F.lit("data: [DONE]\n\n"))
-    cut = whole.select("conv_id", "stream_id", text.alias("t")).select("conv_id", "stream_id", F.expr("(length(t) - 1) div 50").alias("k"), F.posexplode(F.expr("transform(sequence(0, (length(t) - 1) div 50), i -> substr(t, i * 50 + 1, 50))")).alias("seq", "chunk"))
+    cut = whole.select("conv_id", "stream_id", text.alias("t")).select("conv_id", "stream_id", _cut("t", 50).alias("cuts")).select("conv_id", "stream_id", (F.size("cuts") - 1).alias("k"), F.posexplode("cuts").alias("seq", "chunk"))
     return v, cut.select("conv_id", "stream_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("k")).alias("last"))
 
 
