@@ -106,13 +106,14 @@ def _found_sql(t: str, n: int, f: Format) -> str:
     some = spans.matches_sql(t, f.pattern(), lambda v: let(group.replace("v_", v), "gr_", " AND ".join(tests)))
     own = group.replace("v_", "x_.value")
     shown = f"transform({some}, x_ -> {let(own, 'gr_', f'''named_struct('format', {n}, 'start', x_.end - length(gr_), 'end', x_.end, 'value', gr_)''')})"
-    return f"CASE WHEN array_contains(named_, {n}) THEN {shown} ELSE cast(array() AS array<struct<format:int,start:int,end:int,value:string>>) END"
+    return f"CASE WHEN array_contains(n_, {n}) THEN {shown} ELSE cast(array() AS array<struct<format:int,start:int,end:int,value:string>>) END"
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, end, value, label, priority, format of all spans of the pack, in one scan of the text."""
     named = df.select(id_col, F.col(text_col).alias("_text"), F.pandas_udf(named_formats, "array<int>")(F.col(text_col)).alias("named_")).where(F.size("named_") > 0)
-    every = "concat(" + ", ".join(_found_sql("_text", n, f) for n, f in enumerate(PACK)) + ")"
+    # In a lambda: as code of one method the patterns would be too long to be compiled.
+    every = let("_text", "t_", let("named_", "n_", "concat(" + ", ".join(_found_sql("t_", n, f) for n, f in enumerate(PACK)) + ")"))
     names = F.array(*[F.lit(f.name) for f in PACK])
     each = named.select(id_col, F.explode(F.expr(every)).alias("s")).select(id_col, "s.*")
     return each.select(id_col, "start", "end", "value", F.lit(LABEL).alias("label"), F.lit(PRIORITY).alias("priority"), F.get(names, F.col("format")).alias("format"))
