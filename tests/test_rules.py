@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import net
 from veilspark.functions import validators as V
+from tests.conftest import TINY
 from veilspark.operators import entropy, intervals, spans, vault
+from veilspark.plans import detection
 
 
 def found(spark, text, flags, costs=None):
@@ -122,3 +124,12 @@ def test_hosts_and_flags(spark):
     assert one.select(net.normalized_hosts(F.lit(" API.Example.com. ,*.bad.com\napi.example.com"))).first()[0] == ["api.example.com"]
     for raw, want in (("EPPE", "PE"), ("GEBISPH", "HPSIBEG"), ("", ""), ("e", None)):
         assert one.select(net.canonical_flags(F.lit(raw))).first()[0] == want
+
+
+def test_few_row_groups_are_dealt_out(spark):
+    for made in (detection.units(spark, TINY), detection._with_samples(spark, TINY)):
+        assert made.where("doc_id < 1000000").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_protected_texts_are_masked_in_their_rows(spark):
+    assert "Join" not in detection.protected_redaction(spark, TINY)._jdf.queryExecution().executedPlan().toString()

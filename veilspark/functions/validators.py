@@ -53,7 +53,7 @@ def random_threshold_sql(n: str) -> str:
 
 def char_entropy_sql(v: str) -> str:
     share = f"((length({v}) - length(replace({v}, ch_, ''))) / length({v}))"
-    return f"aggregate(array_sort(array_distinct(split({v}, ''))), 0.0D, (sum_, ch_) -> sum_ - CASE WHEN ch_ = '' THEN 0.0D ELSE {share} * log2({share}) END)"
+    return f"aggregate(sort_array(array_distinct(split({v}, ''))), 0.0D, (sum_, ch_) -> sum_ - CASE WHEN ch_ = '' THEN 0.0D ELSE {share} * log2({share}) END)"
 
 
 def digits(value: Column) -> Column:

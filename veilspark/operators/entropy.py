@@ -2,7 +2,8 @@
 
 The model is fitted to words, not shipped: costs are -log2 of add-one-smoothed bigram shares over 38 symbols (start, end,
 0-9, a-z; a first symbol that never occurs costs log2(37) throughout), in 1/10000 bit so that sums are exact in any order. Its
-1,444 numbers reach the executors as one literal array and are looked up by index, so scoring needs neither join nor UDF.
+1,444 numbers reach the executors with the plan and are looked up by index, so scoring needs no join. A single string is scored by
+a column function; the tokens of a table by numpy over Arrow arrays, all tokens of a batch at once, with the same sums and bounds.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,5 +80,59 @@ def is_random(value: Column, costs: list[int]) -> Column:
     return over(value, "v_", is_random_sql("v_", costs))
 
 
+#: The column of with_random(), and tokens that are scored at once.
+RANDOM, _AT_ONCE = "random_", 1 << 16
+
+
+def random_places(costs: list[int]):
+    """Of arrays of ASCII letters and digits, the indexes of the strings that is_random() takes."""
+    code = np.zeros(256, np.int64)
+    for c in SYMBOLS[2:]:
+        code[[ord(c), ord(c.upper())]] = SYMBOLS.index(c)
+    table, wide = np.array(costs, np.int64), len(SYMBOLS)
+    bounds = np.full(V.THRESHOLDS[-1][0] + 2, np.inf)
+    for (a, x), (b, y) in zip(V.THRESHOLDS, V.THRESHOLDS[1:]):
+        for n in range(a, b + 1):
+            bounds[n] = x + (y - x) * (n - a) / float(b - a) if bounds[n] == np.inf else bounds[n]
+    bounds[-1] = V.THRESHOLDS[-1][1]
+
+    def is_hit(some: pa.Array) -> np.ndarray:
+        at = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+        codes = code[np.frombuffer(some.buffers()[2], np.uint8)[at[0] : at[-1]]]
+        first, last, n = at[:-1] - at[0], at[1:] - at[0] - 1, np.diff(at)
+        so_far = np.concatenate([[0], np.cumsum(table[codes[:-1] * wide + codes[1:]])])
+        total = table[codes[first]] + so_far[last] - so_far[first] + table[codes[last] * wide + 1]
+        out = total / float(SCALE) / (n + 1) > bounds[np.minimum(n, len(bounds) - 1)]
+        # Plain words fail the cost; the variety of the rest is summed in the order of the symbols.
+        left = np.flatnonzero(out)
+        sizes = n[left]
+        rows = np.repeat(np.arange(len(left)), sizes)
+        places = np.arange(sizes.sum()) + np.repeat(first[left] - np.cumsum(sizes) + sizes, sizes)
+        counts = np.bincount(rows * wide + codes[places], minlength=len(left) * wide).reshape(-1, wide)
+        bits = np.zeros(len(left))
+        for k in range(2, wide):
+            share = counts[:, k] / sizes
+            bits -= share * np.log2(np.where(share > 0, share, 1))
+        out[left] = (counts[:, 12:].sum(axis=1) > 0) & (bits >= np.minimum(2.5, np.log2(sizes) * 0.72))
+        return out
+
+    def run(tokens: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        flat = tokens.flatten().cast(pa.large_string())
+        hit = np.flatnonzero(np.concatenate([np.zeros(0, bool), *[is_hit(flat.slice(k, _AT_ONCE)) for k in range(0, len(flat), _AT_ONCE)]]))
+        row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hit - starts[row], pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")
+
+
+def with_random(df: DataFrame, costs: list[int], text_col: str = "text") -> DataFrame:
+    """df with the indexes of each text's random tokens. Only the tokens leave the JVM."""
+    return df.withColumn(RANDOM, random_places(costs)(F.regexp_extract_all(F.col(text_col), F.lit(S.TOKEN.pattern), F.lit(0))))
+
+
 def random_tokens(df: DataFrame, costs: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return S.spans(df, S.TOKEN, id_col, text_col, keep=lambda v: is_random_sql(v, costs))
+    marked = with_random(df.select(id_col, text_col), costs, text_col)
+    return S.spans(marked, S.TOKEN, id_col, text_col, among=RANDOM)

@@ -115,6 +115,17 @@ def _stands(choice: str) -> Column:
     return F.expr(f"exists(kinds, k -> ({choice} & shiftleft(1, k % 32)) <> 0 AND ({choice} & (k div 32)) = 0)")
 
 
+def outside_sql(small: str, large: str) -> str:
+    """uncovered_by() of one row: those of the merged spans small that none of the merged spans large contains.
+
+    Both are disjoint and in order, so the span of large that can contain one is the last that begins no later: what the ends of large reach so far decides.
+    """
+    mark = lambda some, kind, far: f"transform({some}, x_ -> named_struct('start', x_.start, 'kind', {kind}, 'end', x_.end, 'far', {far}))"
+    marks = f"array_sort(concat({mark(large, 0, 'x_.end')}, {mark(small, 1, '-1')}))"
+    left = let("transform(w_, x_ -> x_.far)", "n_", let(running_max("n_"), "r_", "filter(w_, (x_, i_) -> x_.kind = 1 AND r_[i_] < x_.end)"))
+    return let(marks, "w_", left)
+
+
 def splice(text: Column, parts: Column) -> Column:
     """text with each of parts [(start, end, token)], sorted and disjoint, replaced by its token."""
     n = F.size(parts)

@@ -77,10 +77,10 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 CANDIDATES = "array<struct<start:int,end:int,value:string,label:string,priority:int>>"
 
 
-def matches_sql(t: str, pattern: str, keep: Callable[[str], str] | None = None) -> str:
-    """[(start, end, value)] of all matches that keep() accepts. Gaps and matches are measured once, between one accepted match and the next."""
+def matches_sql(t: str, pattern: str, keep: Callable[[str], str] | None = None, among: str | None = None) -> str:
+    """[(start, end, value)] of all matches, or of those whose indexes among names, that keep() accepts. Gaps and matches are measured once, between one accepted match and the next."""
     none = f"cast(array() AS {SPAN})"
-    index = "sequence(0, size(m_) - 1)"
+    index = among or "sequence(0, size(m_) - 1)"
     chosen = f"filter({index}, k_ -> coalesce({let('m_[k_]', 'v_', keep('v_'))}, false))" if keep else index
     joined = lambda some, at, n: f"length(array_join(slice({some}, {at} + 1, {n}), ''))"
     step = let("CASE WHEN i_ = 0 THEN -1 ELSE c_[i_ - 1] END", "l_", joined("g_", "l_ + 1", "k_ - l_") + " + " + joined("m_", "greatest(l_, 0)", "k_ - greatest(l_, 0)"))
@@ -94,27 +94,28 @@ def matches(text: Column, pattern: str, keep: Callable[[str], str] | None = None
     return over(text, "t_", matches_sql("t_", pattern, keep))
 
 
-def found_sql(rule: Rule, t: str, keep: Callable[[str], str] | None = None) -> str:
-    """[(start, end, value, label, priority)] of a rule; empty where the prefilter rules it out."""
-    all_of = matches_sql(t, rule.pattern, keep or rule.check)
+def found_sql(rule: Rule, t: str, keep: Callable[[str], str] | None = None, among: str | None = None) -> str:
+    """[(start, end, value, label, priority)] of a rule; empty where the prefilter rules it out. among: indexes of the matches that can count."""
+    all_of = matches_sql(t, rule.pattern, keep or rule.check, among)
     if rule.check is not None:
         edge = lambda at: f"rlike(substr({t}, {at}, 1), '^[0-9]$')"
         all_of = f"filter({all_of}, x_ -> NOT (x_.start > 0 AND {edge('x_.start')}) AND NOT coalesce({edge('x_.end + 1')}, false))"
     full = f"transform({all_of}, x_ -> named_struct('start', x_.start, 'end', x_.end, 'value', x_.value, 'label', {quoted(rule.label)}, 'priority', {rule.priority}))"
-    return f"CASE WHEN {rule.prefilter(t)} THEN {full} ELSE cast(array() AS {CANDIDATES}) END"
+    return f"CASE WHEN {f'size({among}) > 0' if among else rule.prefilter(t)} THEN {full} ELSE cast(array() AS {CANDIDATES}) END"
 
 
-def candidates_sql(t: str, flags: str = FLAGS, costs: list[int] | None = None, switch: str | None = None) -> str:
-    """The bag union of all enabled rules' spans as one array. Rules that are off aren't in the plan. costs: the bigram model that H needs.
+def candidates_sql(t: str, flags: str = FLAGS, costs: list[int] | None = None, switch: str | None = None, random: str | None = None) -> str:
+    """The bag union of all enabled rules' spans as one array. Rules that are off aren't in the plan. costs: the bigram model that H needs, or
+    random: the column of entropy.with_random() over the same text, which is faster over a table.
     switch: a name of a string of flags that switches them row by row, too."""
-    some: list[tuple[Rule, Callable[[str], str] | None]] = [(r, None) for r in RULES if r.flag in flags]
-    if "H" in flags and costs is not None:
+    some: list[tuple[Rule, Callable[[str], str] | None, str | None]] = [(r, None, None) for r in RULES if r.flag in flags]
+    if "H" in flags and (costs is not None or random is not None):
         from veilspark.operators.entropy import is_random_sql
 
-        some.append((TOKEN, lambda v: is_random_sql(v, costs)))
-    parts = [found_sql(r, t, keep) for r, keep in some]
+        some.append((TOKEN, None, random) if random is not None else (TOKEN, lambda v: is_random_sql(v, costs), None))
+    parts = [found_sql(r, t, keep, among) for r, keep, among in some]
     if switch is not None:
-        parts = [f"CASE WHEN contains({switch}, '{r.flag}') THEN {p} ELSE cast(array() AS {CANDIDATES}) END" for (r, _), p in zip(some, parts)]
+        parts = [f"CASE WHEN contains({switch}, '{r.flag}') THEN {p} ELSE cast(array() AS {CANDIDATES}) END" for (r, _, _), p in zip(some, parts)]
     none = f"cast(array() AS {CANDIDATES})"
     return f"CASE WHEN {t} IS NULL THEN {none} ELSE concat({', '.join([*parts, none])}) END"
 
@@ -127,12 +128,18 @@ def _exploded(df: DataFrame, every: str, id_col: str) -> DataFrame:
     return df.select(id_col, F.explode(F.expr(every)).alias("s")).select(id_col, "s.*")
 
 
-def spans(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: Callable[[str], str] | None = None) -> DataFrame:
+def spans(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", keep: Callable[[str], str] | None = None, among: str | None = None) -> DataFrame:
     """id_col, start, end, value, label, priority of the rule's spans. Null text has none."""
     t = f"`{text_col}`"
-    return _exploded(df.where(rule.prefilter(t)), found_sql(rule, t, keep), id_col)
+    return _exploded(df.where(rule.prefilter(t)), found_sql(rule, t, keep, among), id_col)
 
 
 def candidates(df: DataFrame, flags: str = FLAGS, id_col: str = "doc_id", text_col: str = "text", costs: list[int] | None = None) -> DataFrame:
-    """candidate_spans() as rows, in one scan of the text."""
-    return _exploded(df, candidates_sql(f"`{text_col}`", flags, costs), id_col)
+    """candidate_spans() as rows, in one scan of the text. The rules stand in a lambda: as code of one method they would be too long to be compiled."""
+    every = lambda random: let(f"`{text_col}`", "t_", candidates_sql("t_", flags, random=random))
+    if "H" not in flags or costs is None:
+        return _exploded(df, every(None), id_col)
+    from veilspark.operators import entropy
+
+    marked = entropy.with_random(df.select(id_col, text_col), costs, text_col)
+    return _exploded(marked, every(entropy.RANDOM), id_col)

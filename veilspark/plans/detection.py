@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import validators as V
 from veilspark.operators import audit, credentials, entropy, intervals, masking, spans, vault
 from veilspark.sources import tables as T
+from veilspark.sources import work
 
 SECRET = "test-secret"
 _L = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
@@ -169,7 +170,7 @@ _ALL_RULES = [r.name for r in spans.RULES]
 
 def units(s: SparkSession, d: str) -> DataFrame:
     more = T.secrets(s, d).select((F.col("doc_id") + 1000000000).alias("doc_id"), "text")
-    return docs(s, d).unionByName(more)
+    return T.dealt(docs(s, d), "doc_id").unionByName(more)
 
 
 def _candidates_sql(source: str, with_random: bool = True) -> str:
@@ -197,24 +198,32 @@ def merged_spans(s: SparkSession, d: str) -> DataFrame:
     return intervals.merge(candidates_all(s, d))
 
 
-def _protected(s: SparkSession, d: str) -> DataFrame:
+def _protected(merged: DataFrame) -> DataFrame:
     """Every second span of a document's merged ones is made narrower by one at both ends, as something already masked."""
-    m = merged_spans(s, d).where("end - start > 4")
+    m = merged.where("end - start > 4")
     return m.select("doc_id", (F.col("start") + 1).alias("start"), (F.col("end") - 2).alias("end")).where("start % 2 = 0")
 
 
 def protected_split(s: SparkSession, d: str) -> DataFrame:
-    return intervals.difference(merged_spans(s, d), _protected(s, d))
+    m = work.written(merged_spans(s, d), "merged")  # places and labels, read twice
+    return intervals.difference(m, _protected(m))
 
 
 def coverage_monotone(s: SparkSession, d: str) -> DataFrame:
     """For each flag: spans found without it that aren't covered with all flags. No rows."""
-    full, out = merged_spans(s, d), None
-    for f in spans.FLAGS:
-        small = intervals.merge(spans.candidates(units(s, d), spans.FLAGS.replace(f, ""), costs=model(s, d)))
-        bad = intervals.uncovered_by(small, full).select(F.lit(f).alias("flag"), "doc_id", "start", "end")
-        out = bad if out is None else out.unionByName(bad)
-    return out
+    marked = entropy.with_random(units(s, d), model(s, d)).withColumn("found", F.expr(spans.candidates_sql("text", random=entropy.RANDOM)))
+    return uncovered_flags(marked.select("doc_id", "found"))
+
+
+def uncovered_flags(found: DataFrame) -> DataFrame:
+    """flag, doc_id, start, end of all flags from one scan: the spans of a choice of flags are those of all flags without the labels of the others, so
+    nothing is scanned or merged twice. found: doc_id and all candidates of the text as an array."""
+    of = lambda f: ", ".join(f"'{x}'" for x, b in _BIT.items() if b == spans.FLAGS.index(f))
+    small = lambda f: intervals.merged_sql(f"filter(found, c_ -> c_.label NOT IN ({of(f)}))")
+    bad = lambda f: f"transform({intervals.outside_sql(small(f), 'full')}, y_ -> named_struct('flag', '{f}', 'start', y_.start, 'end', y_.end))"
+    merged = found.where(F.size("found") > 0).withColumn("full", F.expr(intervals.merged_sql("found")))
+    every = F.expr(f"concat({', '.join(map(bad, spans.FLAGS))})")
+    return merged.select("doc_id", F.explode(every).alias("s")).select("s.flag", "doc_id", "s.start", "s.end")
 
 
 _BIT = {r.label: spans.FLAGS.index(r.flag) for r in (*spans.RULES, spans.TOKEN)}
@@ -257,8 +266,8 @@ def _sample_item(name: str) -> str:
 
 def _with_samples(s: SparkSession, d: str) -> DataFrame:
     items = ", ".join("struct(" + _sample_item(n) + ")" for n in SAMPLES)
-    keys = T.read(s, d, "customer").select("c_custkey").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
-    return docs(s, d).unionByName(keys.select(F.explode(F.expr(f"array({items})")).alias("x")).select("x.doc_id", "x.text"))
+    keys = T.dealt(T.read(s, d, "customer").select("c_custkey"), "c_custkey")
+    return T.dealt(docs(s, d), "doc_id").unionByName(keys.select(F.explode(F.expr(f"array({items})")).alias("x")).select("x.doc_id", "x.text"))
 
 
 def credential_pack(s: SparkSession, d: str) -> DataFrame:
@@ -294,19 +303,19 @@ _SCOPE_SQL = "CAST(floor(doc_id / 64) AS BIGINT)"
 def _masked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(units, their spans): one scan, of which places and keyed hashes are written, as labels, limit and masked texts are made of them."""
     u = units(s, d)
-    return u, masking.found(u, SECRET, _scope(), spans.candidates_sql("_text", costs=model(s, d)))
+    return u, masking.found(u, SECRET, _scope(), spans.candidates_sql("_text", random=entropy.RANDOM), costs=model(s, d))
 
 
 def protected_redaction(s: SparkSession, d: str) -> DataFrame:
     """Texts that hold a placeholder already: what stands around it is masked, the placeholder isn't, alone or inside a longer span."""
     token = F.concat(F.lit("{{RG_EMAIL_QX7ZK2VWJ4PTM3YB}}"))
-    c = T.read(s, d, "customer").select("c_custkey")
+    c = T.dealt(T.read(s, d, "customer").select("c_custkey"), "c_custkey")
     host = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.org"))
     forms = F.array(F.concat(F.lit("see "), token, F.lit(" ok")), F.concat(F.lit("see "), token, F.lit(" and "), host, F.lit(" ok")), F.concat(F.lit("postgres://root:"), token, F.lit("@db.example.com/app")))
     texts = c.select(F.posexplode(forms).alias("k", "text"), "c_custkey").select((F.col("c_custkey") * 4 + F.col("k")).alias("doc_id"), "text")
-    spans_ = vault.unprotected(intervals.merge(spans.candidates(texts, costs=entropy.english())), texts)
-    found = vault.with_raw(texts, spans_, F.lit(1))
-    return found.select("doc_id", "start", "end", "label", "raw")
+    masked = masking.masked_sql("text", spans.candidates_sql("text", random=entropy.RANDOM))
+    found = entropy.with_random(texts, entropy.english()).select("doc_id", "text", F.explode(F.expr(masked)).alias("x"))
+    return found.select("doc_id", "x.start", "x.end", "x.label", masking.raw_of(F.col("text"), F.col("x")).alias("raw"))
 
 
 def token_vault(s: SparkSession, d: str) -> DataFrame:
