@@ -87,7 +87,7 @@ def json_depth_guard(s: SparkSession, d: str) -> DataFrame:
 
 def encoded_json(s: SparkSession, d: str) -> DataFrame:
     """A document of 1 to 12 layers of JSON in strings for each customer."""
-    c = T.read(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 12 + 1).cast("int").alias("n"))
+    c = T.dealt(T.read(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 12 + 1).cast("int").alias("n")), "doc_id")
     layers = c.select("doc_id", F.aggregate(F.expr("sequence(1, n)"), F.lit("x"), lambda a, i: F.to_json(F.struct(a.alias("arguments")))).alias("body"))
     return jsondoc.leaves(layers).select("doc_id", "layer", "error")
 
