@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 
 from tests.conftest import TINY
@@ -147,3 +148,9 @@ def test_session_cache():
     assert c.use(13, "b", "y") == "stored"  # idle for the time to live
     assert c.use(13, "b", "v" * 20_000) == "local"
     assert c.held_bytes == sum(512 + sum(v.values()) for _, v in c.held.values())
+
+
+def test_bodies_are_taken_in_slices():
+    whole = pd.DataFrame({"doc_id": range(1000), "body": ["{}"] * 1000})
+    some = list(jsondoc._slices(iter([whole, whole.iloc[:1]])))
+    assert max(map(len, some)) == 256 and [i for b in some for i in b["doc_id"]] == [*range(1000), 0]

@@ -163,6 +163,16 @@ def audit_path(path: tuple[str | int, ...], masked: Callable[[str], bool] = lamb
     return out
 
 
+#: Bodies that are taken at once: a batch's rows in Python are those of so many, not of all bodies that arrive together.
+_AT_ONCE = 256
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for k in range(0, len(b), _AT_ONCE):
+            yield b.iloc[k : k + _AT_ONCE]
+
+
 LEAF_SCHEMA = "doc_id long, leaf int, steps array<string>, field string, kind string, value string, layer int, protected boolean, error string"
 
 
@@ -186,7 +196,7 @@ def leaves(df: DataFrame, id_col: str = "doc_id", body_col: str = "body", protoc
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in LEAF_SCHEMA.split(", ")]
-        for b in batches:
+        for b in _slices(batches):
             out = [r for x in b.itertuples(index=False) for r in rows(x.doc_id, x.body, x.protocol)]
             yield pd.DataFrame(out, columns=names)
 
@@ -261,7 +271,7 @@ def rewrite(df: DataFrame, replacements: DataFrame, id_col: str = "doc_id", body
     joined = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(body_col).alias("body")).join(per, F.col("doc_id") == F.col("rid"), "left").select("doc_id", "body", "new")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             made = [body if new is None or body is None else rewritten(body, dict(new), credentials) for body, new in zip(b["body"], b["new"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "body": made})
 
