@@ -84,8 +84,8 @@ def is_random(value: Column, costs: list[int]) -> Column:
 RANDOM, _AT_ONCE = "random_", 1 << 16
 
 
-def random_places(costs: list[int]):
-    """Of arrays of ASCII letters and digits, the indexes of the strings that is_random() takes."""
+def random_hits(costs: list[int]):
+    """A function of a large_string array of ASCII letters and digits: the indexes of the strings that is_random() takes."""
     code = np.zeros(256, np.int64)
     for c in SYMBOLS[2:]:
         code[[ord(c), ord(c.upper())]] = SYMBOLS.index(c)
@@ -116,10 +116,16 @@ def random_places(costs: list[int]):
         out[left] = (counts[:, 12:].sum(axis=1) > 0) & (bits >= np.minimum(2.5, np.log2(sizes) * 0.72))
         return out
 
+    return lambda flat: np.flatnonzero(np.concatenate([np.zeros(0, bool), *[is_hit(flat.slice(k, _AT_ONCE)) for k in range(0, len(flat), _AT_ONCE)]]))
+
+
+def random_places(costs: list[int]):
+    """Of arrays of ASCII letters and digits, the indexes of the strings that is_random() takes."""
+    hits = random_hits(costs)
+
     def run(tokens: pa.Array) -> pa.Array:
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        flat = tokens.flatten().cast(pa.large_string())
-        hit = np.flatnonzero(np.concatenate([np.zeros(0, bool), *[is_hit(flat.slice(k, _AT_ONCE)) for k in range(0, len(flat), _AT_ONCE)]]))
+        hit = hits(tokens.flatten().cast(pa.large_string()))
         row = np.repeat(np.arange(len(sizes)), sizes)[hit]
         starts = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
@@ -128,11 +134,17 @@ def random_places(costs: list[int]):
     return F.arrow_udf(run, "array<int>")
 
 
+def tokens_of(random: str) -> str:
+    """The column of all tokens that stands beside the column random."""
+    return f"{random}tokens_"
+
+
 def with_random(df: DataFrame, costs: list[int], text_col: str = "text") -> DataFrame:
-    """df with the indexes of each text's random tokens. Only the tokens leave the JVM."""
-    return df.withColumn(RANDOM, random_places(costs)(F.regexp_extract_all(F.col(text_col), F.lit(S.TOKEN.pattern), F.lit(0))))
+    """df with each text's tokens and the indexes of the random ones. Only the tokens leave the JVM."""
+    tokens = df.withColumn(tokens_of(RANDOM), F.regexp_extract_all(F.col(text_col), F.lit(S.TOKEN.pattern), F.lit(0)))
+    return tokens.withColumn(RANDOM, random_places(costs)(F.col(tokens_of(RANDOM))))
 
 
 def random_tokens(df: DataFrame, costs: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     marked = with_random(df.select(id_col, text_col), costs, text_col)
-    return S.spans(marked, S.TOKEN, id_col, text_col, among=RANDOM)
+    return S.spans(marked, S.TOKEN, id_col, text_col, among=RANDOM, values=tokens_of(RANDOM))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import validators as V
-from veilspark.operators import audit, credentials, entropy, intervals, masking, spans, vault
+from veilspark.operators import audit, credentials, entropy, intervals, masking, scan, spans, vault
 from veilspark.sources import tables as T
 from veilspark.sources import work
 
@@ -211,8 +211,8 @@ def protected_split(s: SparkSession, d: str) -> DataFrame:
 
 def coverage_monotone(s: SparkSession, d: str) -> DataFrame:
     """For each flag: spans found without it that aren't covered with all flags. No rows."""
-    marked = entropy.with_random(units(s, d), model(s, d)).withColumn("found", F.expr(spans.candidates_sql("text", random=entropy.RANDOM)))
-    return uncovered_flags(marked.select("doc_id", "found"))
+    marked, every = scan.with_candidates(units(s, d), costs=model(s, d))
+    return uncovered_flags(marked.select("doc_id", F.expr(every).alias("found")))
 
 
 def uncovered_flags(found: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def uncovered_flags(found: DataFrame) -> DataFrame:
     of = lambda f: ", ".join(f"'{x}'" for x, b in _BIT.items() if b == spans.FLAGS.index(f))
     small = lambda f: intervals.merged_sql(f"filter(found, c_ -> c_.label NOT IN ({of(f)}))")
     bad = lambda f: f"transform({intervals.outside_sql(small(f), 'full')}, y_ -> named_struct('flag', '{f}', 'start', y_.start, 'end', y_.end))"
-    merged = found.where(F.size("found") > 0).withColumn("full", F.expr(intervals.merged_sql("found")))
+    merged = found.withColumn("full", F.expr(intervals.merged_sql("found")))
     every = F.expr(f"concat({', '.join(map(bad, spans.FLAGS))})")
     return merged.select("doc_id", F.explode(every).alias("s")).select("s.flag", "doc_id", "s.start", "s.end")
 
@@ -303,7 +303,7 @@ _SCOPE_SQL = "CAST(floor(doc_id / 64) AS BIGINT)"
 def _masked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(units, their spans): one scan, of which places and keyed hashes are written, as labels, limit and masked texts are made of them."""
     u = units(s, d)
-    return u, masking.found(u, SECRET, _scope(), spans.candidates_sql("_text", random=entropy.RANDOM), costs=model(s, d))
+    return u, masking.found(u, SECRET, _scope(), costs=model(s, d))
 
 
 def protected_redaction(s: SparkSession, d: str) -> DataFrame:
@@ -313,8 +313,8 @@ def protected_redaction(s: SparkSession, d: str) -> DataFrame:
     host = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.org"))
     forms = F.array(F.concat(F.lit("see "), token, F.lit(" ok")), F.concat(F.lit("see "), token, F.lit(" and "), host, F.lit(" ok")), F.concat(F.lit("postgres://root:"), token, F.lit("@db.example.com/app")))
     texts = c.select(F.posexplode(forms).alias("k", "text"), "c_custkey").select((F.col("c_custkey") * 4 + F.col("k")).alias("doc_id"), "text")
-    masked = masking.masked_sql("text", spans.candidates_sql("text", random=entropy.RANDOM))
-    found = entropy.with_random(texts, entropy.english()).select("doc_id", "text", F.explode(F.expr(masked)).alias("x"))
+    marked, every = scan.with_candidates(texts, costs=entropy.english())
+    found = marked.select("doc_id", "text", F.explode(F.expr(masking.masked_sql("text", every))).alias("x"))
     return found.select("doc_id", "x.start", "x.end", "x.label", masking.raw_of(F.col("text"), F.col("x")).alias("raw"))
 
 
