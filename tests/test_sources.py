@@ -59,6 +59,15 @@ def test_pages(spark, query, total, at, limit, rows, first):
     assert audit.page_bounds(205, 5, 50) == (201, 205, 5) and audit.page_bounds(0, 1, 50) == (0, 0, 1)
 
 
+def test_total_is_counted_once(spark):
+    """Also where the optimizer knows that there are as many rows as wanted, or fewer: of a log, a limited log, an empty one and an aggregated one."""
+    log = audit_rows(spark, 90).repartition(3)
+    for df, total in ((log, 90), (log.limit(50), 50), (log.limit(7), 7), (log.limit(0), 0), (log.groupBy().agg(F.max("id").alias("id"), *[F.first(c).alias(c) for c in log.columns[1:]]), 1)):
+        for q in (audit.Page(limit=50), audit.Page(limit=51), audit.Page(limit=7, page=9), audit.Page(limit=500)):
+            got, n, at, size = audit.page(df, q)
+            assert n == total and got.columns == log.columns and got.count() == max(0, min(total - (at - 1) * size, size))
+
+
 def test_streamed_statistics(spark, tmp_path):
     folder = str(tmp_path / "in")
     audit_rows(spark, 10).write.parquet(folder)

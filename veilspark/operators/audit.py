@@ -56,8 +56,10 @@ def page(df: DataFrame, q: Page) -> tuple[DataFrame, int, int, int]:
         total = rows.count()
         at = min(c.page, 1 + max(0, total - 1) // c.limit)
         return _newest(rows).offset((at - 1) * c.limit).limit(c.limit), total, at, c.limit
-    told = Observation()
-    top = _newest(rows.observe(told, F.count(F.lit(1)).alias("total"))).limit(wanted).toArrow()
+    # Of rows known to be no more than wanted (a range, a limited log) the optimizer would drop the limit, and the sort of all of them reads the scan twice, once to
+    # find its ranges: the total would be doubled. It doesn't know how many rows a generator makes, so the limit stays and each scan is read once.
+    told, once = Observation(), rows.select("*", F.explode(F.array(F.lit(1))).alias("_once"))
+    top = _newest(once.observe(told, F.count(F.lit(1)).alias("total"))).limit(wanted).select(*once.columns[:-1]).toArrow()
     total = told.get["total"]
     at = min(c.page, 1 + max(0, total - 1) // c.limit)
     return df.sparkSession.createDataFrame(top.slice((at - 1) * c.limit, c.limit), rows.schema), total, at, c.limit
