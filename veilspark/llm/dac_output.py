@@ -21,9 +21,11 @@ tables give no file and no row. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,15 +35,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from . import _base as base
-from .bpe import gather
+from .bpe import byte_alphabet, gather
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 CHUNK, BLOCK, FILE_TOKENS = 8, 512, 8_000_000
 #: Words remembered by a worker.
 MEMORY = 1_000_000
+#: New pieces that the library's model is given in one text.
+_JOINED = 200
 _MAGIC = b"VSDAC1\0\0"
+#: Letters beside ASCII that no normal form changes, each with a lower case of one letter: U+00C0 to U+017F without two signs and the dotted I.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[!-~{_LATIN}]+").fullmatch
+#: The vocabulary's pattern, for plain words in lower case.
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+").findall
 
 
 class _Numbers(dict):
@@ -58,26 +68,77 @@ class _Numbers(dict):
 
 class WordEncoder:
     """The library's ids of a text, word by word: no token of this vocabulary holds white space, so words between ASCII
-    white space are encoded alone, each once, by the library, and remembered."""
+    white space are encoded alone, each once, by the library, and remembered.
+
+    A word of visible ASCII characters and Latin letters is made of the pieces that the vocabulary's pattern cuts it into in lower case. Pieces are
+    remembered as words too, and new ones go to the library's model many in one text, past its normalizer and pattern, which change nothing in
+    them. Words with other characters, or with what special tokens begin with, go through the whole library.
+    """
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        vocab = self.library.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a piece
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known = _Numbers()
+        self.known, self.used = _Numbers(), 0
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _through_library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, end to end, and how many each has."""
+        made = [m.ids for m in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
+
+    def _through_model(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [" ".join([p.decode("latin-1").translate(self.shown) if not p.isascii() else p.decode() for p in pieces[k : k + _JOINED]]) for k in range(0, len(pieces), _JOINED)]
+        made = [m.ids for m in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(made), np.uint32, sum(map(len, made)))
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(pieces) or len(flat) != (ends[-1] if len(ends) else 0):  # a vocabulary that lacks a character
+            return self._through_library(pieces)
+        return flat, np.diff(ends, prepend=0)
+
+    def _place(self, numbers: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Write down the ids of words with these numbers. Arrays grow by half, so that they are seldom copied."""
+        upto = self.used + len(flat)
+        if upto > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(upto + upto // 2 - len(self.flat), np.uint32)])
+        self.flat[self.used : upto] = flat
+        self.starts[numbers], self.sizes[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used = upto
+
     def _learn(self) -> None:
-        new, self.known.new = self.known.new, []
-        made = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        ids = [m.ids for m in made]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-        self.sizes = np.r_[self.sizes, sizes]
-        self.flat = np.r_[self.flat, np.fromiter((i for m in ids for i in m), np.uint32, int(sizes.sum()))]
+        words, look = self.known.new, self.known.__getitem__
+        first, pieces, others, made, parts = len(self.known) - len(words), [], [], [], []
+        for k, w in enumerate(words, first):  # new pieces join the list as it is gone through
+            text = w.decode()
+            if "<|" in text or not _PLAIN(text):
+                others.append(k)
+                continue
+            cut = _CUT(text.lower())
+            if cut[0] == text:
+                pieces.append(k)
+            else:
+                made.append(k)
+                parts.append([look(p.encode()) for p in cut])
+        n = len(self.known)
+        if n > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(n + n // 2 - len(x), np.int64)]) for x in (self.starts, self.sizes))
+        self._place(pieces, *self._through_model([words[k - first] for k in pieces]))
+        self._place(others, *self._through_library([words[k - first] for k in others]))
+        if made:
+            of = np.fromiter(chain.from_iterable(parts), np.int64)
+            starts = np.cumsum([0, *map(len, parts[:-1])])
+            self._place(made, gather(self.flat, self.starts, self.sizes, of), np.add.reduceat(self.sizes[of], starts))
+        self.known.new = []
 
     def places(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's words in starts and sizes."""
