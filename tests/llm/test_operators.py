@@ -305,6 +305,50 @@ def test_hot_keys_go_through_rounds(spark, monkeypatch):
     assert all(leader in kept and leader in near[i] for i, leader in found.items())
 
 
+def test_what_simhash_drops_is_not_indexed(spark, monkeypatch):
+    rng, asked = random.Random(3), []
+    texts = [" ".join(rng.choices([f"word{k}" for k in range(500)], k=120)) for _ in range(4)]
+    texts += [t + " end" for t in texts[:3]]  # links of SimHashes find them
+    index = alike.one_of_each
+
+    def one_of_each(nodes, *options):
+        asked.append(sorted(r.id for r in nodes.select("id").collect()))
+        return index(nodes, *options)
+
+    monkeypatch.setattr(alike, "one_of_each", one_of_each)
+    monkeypatch.setattr(simhash, "fingerprint", lambda t, *options: len((t or "").split()) // 10)
+    monkeypatch.setattr(simhash, "links", lambda nodes, bits: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    found = {r.id: r.leader for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {4: 0, 5: 1, 6: 2} and asked[0] == [0, 1, 2, 3, 5, 6]  # all have one fingerprint, that is a link to the first
+
+
+@pytest.mark.parametrize("tenths", [3, 7])
+def test_whatever_links_find_first(spark, monkeypatch, tenths):
+    """Drifting texts, of which links know some pairs: rows that went by a link for a row that goes later find another or stay."""
+    rng = random.Random(tenths)
+    vocab, texts = [f"word{k}" for k in range(2000)], []
+    for size in (40, 60, 150, 300):
+        for _ in range(3):
+            w = rng.choices(vocab, k=size)
+            for _ in range(12):
+                w = list(w)
+                for _ in range(1 + size // 150):
+                    w[rng.randrange(size)] = rng.choice(vocab)
+                texts.append(" ".join(w))
+    rng.shuffle(texts)
+
+    def links(nodes, bits):
+        pairs = nodes.select(F.col("fp").alias("a")).crossJoin(nodes.select(F.col("fp").alias("b"))).where("a < b")
+        return _base.materialize(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(10)) < tenths), "test-links")
+
+    monkeypatch.setattr(simhash, "links", links)
+    near = brute_alike(enumerate(texts))
+    found = {r.id: r.leader for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kept = set(near) - set(found)
+    assert not [(a, b) for a in kept for b in near[a] if b in kept]
+    assert all(leader in kept and leader in near[i] for i, leader in found.items())
+
+
 def test_near_dedup_stage_is_brute_force(spark):
     import corpus_pipeline as P
 

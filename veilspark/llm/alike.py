@@ -160,10 +160,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return base.materialize(both.where(alike).select("a", "oa", "b", "ob"), "alike-pairs")
 
 
+def sets_of(nodes: DataFrame, source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, s (the set of shingles) of the nodes in wanted (node)."""
+    wanted = base.materialize(wanted.distinct().join(nodes.select("node", F.col("id").alias("i"), F.col("th").alias("t")), "node"), "alike-wanted")
+    texts = source.join(wanted, source.id.eqNullSafe(wanted.i) & (source.th == wanted.t)).select("node", "text").dropDuplicates(["node"])
+    return base.materialize(_sets(texts, words), "alike-sets")
+
+
+def verified(nodes: DataFrame, source: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are alike, as a, oa, b, ob, a ranking before b."""
+    rank = lambda c: nodes.select(F.col("node").alias(c), F.col("o").alias("o" + c))
+    found, swap = pairs.join(rank("a"), "a").join(rank("b"), "b"), _before("oa", "a", "ob", "b")
+    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    found = found.select(pick("a", "b").alias("a"), pick("oa", "ob").alias("oa"), pick("b", "a").alias("b"), pick("ob", "oa").alias("ob")).distinct()
+    found = base.materialize(found, "alike-candidates")
+    return _verified(found, sets_of(nodes, source, found.select(F.col("a").alias("node")).union(found.select("b")), words), similarity)
+
+
 def _before(o: str, node: str, o2: str, node2: str) -> Column:
     return F.struct(o, node) < F.struct(o2, node2)
 
 
+def one_of_each_after(edges: DataFrame, nodes: DataFrame, source: DataFrame, words: int, similarity: float) -> DataFrame:
+    """node, leader as of one_of_each(), where alike pairs (a, oa, b, ob) that are known already make their choice first.
+
+    Nodes that go by those pairs aren't indexed: the index is asked about the rest alone. Where the leader of such a node goes then, the node goes with
+    another one that stays, its leader's or one of the known pairs; if it is alike to none of them, it is put back and the rest is indexed anew. The
+    nodes put back only grow, so that ends.
+    """
+    gone = base.materialize(settled(edges), "alike-gone")
+    rest = base.materialize(nodes.join(gone.select("node"), "node", "left_anti"), "alike-rest")
+    both = edges.select(F.col("b").alias("node"), F.col("a").alias("leader")).union(edges.select("a", "b"))
+    while True:
+        more = base.materialize(one_of_each(rest, source, words, similarity), "alike-more")
+        left = more.select(F.col("node").alias("leader"), F.col("leader").alias("next"))
+        lost = base.materialize(gone.join(left, "leader").select("node", "next"), "alike-lost")
+        if lost.isEmpty():
+            return gone.unionByName(more)
+        stay = rest.join(more.select("node"), "node", "left_anti").select(F.col("node").alias("leader"), "o")
+        tried = verified(nodes, source, lost.select(F.col("node").alias("a"), F.col("next").alias("b")), words, similarity)
+        tried = tried.select(F.col("b").alias("node"), F.col("a").alias("leader")).union(tried.select("a", "b")).union(both)
+        again = tried.join(lost.select("node"), "node", "left_semi").join(stay, "leader").groupBy("node").agg(F.min_by("leader", F.struct("o", "leader")).alias("leader"))
+        again = base.materialize(again, "alike-again")
+        back = base.materialize(lost.select("node").join(again.select("node"), "node", "left_anti"), "alike-back")
+        gone = base.materialize(gone.join(lost.select("node"), "node", "left_anti").unionByName(again), "alike-gone")
+        if back.isEmpty():
+            return gone.unionByName(more)
+        rest = base.materialize(rest.unionByName(nodes.join(back, "node", "left_semi").select(*rest.columns)), "alike-rest")
+
+
 def settled(edges: DataFrame) -> DataFrame:
     """node, leader: of alike pairs (a, oa, b, ob), a ranking before b, the nodes that go and the one that stays for each.
 
@@ -179,10 +224,10 @@ def settled(edges: DataFrame) -> DataFrame:
     return gone if gone is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("leader")).limit(0)
 
 
-def one_of_each(nodes: DataFrame, source: DataFrame, more: DataFrame | None, words: int, similarity: float) -> DataFrame:
+def one_of_each(nodes: DataFrame, source: DataFrame, words: int, similarity: float) -> DataFrame:
     """node, leader: the nodes that go and, for each, the one that stays.
 
-    nodes: node, o (rank, then node), id, th, n, keys; written down. source: id, th, text. more: candidate pairs a, b beside the index's.
+    nodes: node, o (rank, then node), id, th, n, keys; written down. source: id, th, text.
     """
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity - 1e-9)
     entries = nodes.select("node", "o", "n", F.posexplode("keys").alias("pos", "key"))
@@ -202,12 +247,6 @@ def one_of_each(nodes: DataFrame, source: DataFrame, more: DataFrame | None, wor
     heat = lambda c: warm.select(F.col("node").alias(c), F.col("hk").alias("h" + c))
     pairs = base.materialize(pairs, "alike-few").join(heat("a"), "a", "left").join(heat("b"), "b", "left")
     pairs = pairs.where(F.col("keys") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= _need(F.col("n"))).select("a", "oa", "b", "ob")
-    if more is not None:
-        rank = lambda c: nodes.select(F.col("node").alias(c), F.col("o").alias("o" + c))
-        found = more.join(rank("a"), "a").join(rank("b"), "b")
-        swap = _before("oa", "a", "ob", "b")
-        pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-        pairs = pairs.unionByName(found.select(pick("a", "b").alias("a"), pick("oa", "ob").alias("oa"), pick("b", "a").alias("b"), pick("ob", "oa").alias("ob"))).distinct()
     pairs = base.materialize(pairs, "alike-candidates")
 
     # Only sets with enough hot keys can be alike to one of 0.8 their size by hot keys alone.
@@ -221,10 +260,8 @@ def one_of_each(nodes: DataFrame, source: DataFrame, more: DataFrame | None, wor
     live = warm.select("node", "o", "n", F.size("firsts").alias("hk"), F.explode("firsts").alias("f"))
     live = base.materialize(live.select("node", "o", "n", "hk", "f.pos", "f.key"), "alike-live")
     reach = lambda x: F.least(x.n - x.pos, F.col("n") - F.col("pos")) >= (x.n + F.col("n")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(warm.select("node")).distinct()
-    wanted = wanted.join(nodes.select("node", "id", "th"), "node").withColumnRenamed("id", "i").withColumnRenamed("th", "t")
-    texts = source.join(wanted, source.id.eqNullSafe(wanted.i) & (source.th == wanted.t)).select("node", "text").dropDuplicates(["node"])
-    sets = base.materialize(_sets(texts, words), "alike-sets")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(warm.select("node"))
+    sets = sets_of(nodes, source, wanted, words)
     edges = _verified(pairs, sets, similarity)
 
     gone = stay = None

@@ -191,8 +191,8 @@ def grouped(marked: DataFrame, max_bits: int = 2) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, words: int = alike.WORDS, similarity: float = alike.SIMILARITY) -> DataFrame:
     """id, th, leader: the rows that repeat another row nearly, and the id of the row that stays for them.
 
-    Candidates are texts whose SimHashes of words link in the byte-position index, and, as such hashes can't find every pair
-    at a given similarity, those that share enough rare shingles (alike). All are verified on their five-word shingles: no two rows stay
+    Texts whose SimHashes of words link in the byte-position index, and which are verified on their five-word shingles, are thinned first. As such hashes
+    can't find every pair at a given similarity, what they leave goes through an exact index of rare shingles (alike): no two rows stay
     whose sets have a Jaccard similarity of similarity or more, and each row that goes is that similar to a row that stays.
     Rows go in favour of smaller ids, null last. Rows that repeat id and text are one row: all of them stay or go.
     """
@@ -211,7 +211,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = base.spread_join(nodes.select("fp", "node"), firsts.where("rows > 1").select("fp", "first"), ["fp"], ["node"]).where("node <> first")
     more = base.materialize(more.unionByName(same.select(F.col("first").alias("a"), F.col("node").alias("b"))), "near-linked")
 
-    gone = base.materialize(alike.one_of_each(nodes, source, more, words, similarity), "near-gone")
+    edges = alike.verified(nodes, source, more, words, similarity)
+    gone = base.materialize(alike.one_of_each_after(edges, nodes, source, words, similarity), "near-gone")
     rows = base.spread_join(marked.select("id", "th", "s1", "s2"), nodes.select("s1", "s2", "node", F.col("id").alias("nid"), F.col("th").alias("nth")), ["s1", "s2"], ["id", "th"])
     leads = gone.join(nodes.select(F.col("node").alias("leader"), F.col("id").alias("lid")), "leader").select("node", "lid", F.lit(True).alias("gone"))
     told = base.spread_join(rows, leads, ["node"], ["id", "th"], "left")
