@@ -737,6 +737,50 @@ def test_multiple_instance_learning(spark, odd, none):
     assert toxicity_mil.fit(docs, marks.limit(0)).weights == {}
 
 
+def held_by_worker(make, texts, monkeypatch, key="doc_id"):
+    """MB of Python objects that a worker holds at most, as make's map goes through the texts as one Arrow batch; the largest batch it gives."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kind = type(make.args[0])
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", lambda self, run, schema: run)
+        run = make()
+    batch = pa.RecordBatch.from_pydict({key: list(range(len(texts))), "text": texts})
+    tracemalloc.start()
+    try:
+        most = max(b.num_rows for b in run(iter([batch])))
+        return tracemalloc.get_traced_memory()[1] / 1e6, most
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_few_rows(spark, monkeypatch):
+    from functools import partial
+
+    docs = tiny(spark).select("doc_id", "text")
+    texts = [" ".join(f"w{k}x{j}." for j in range(40)) for k in range(5000)]  # a sentence a word, no word twice
+    for make in (partial(toxicity_mil.score, docs, toxicity_mil.Model({"bad": 6.0, "^nothin": 1.0}, -5.0)), partial(pii_crf.redact, docs, pii_crf.Field())):
+        mb, most = held_by_worker(make, texts, monkeypatch)
+        assert mb < 4 and most <= _base.SLICE
+
+
+def test_words_with_weights():
+    model = toxicity_mil.Model({"bad": 6.0, "^nothin": 4.0, "other": 1.0}, -5.0)
+    words = ["bad", "badly", "nothing", "nothin", "nothi", "other", "others", "^nothin", ""]
+    assert model._known(words) == [x for x in words if any(f in model.weights for f in toxicity_mil._features(x))]
+    assert toxicity_mil.Model({"bad": 6.0})._known(words) == ["bad"]
+
+
+def test_packing_forgets_words(spark, monkeypatch):
+    from functools import partial
+
+    texts, path = [f"w{k}x{j}" for k in range(50) for j in range(40)], packing.public_tokenizers.path(packing.VOCABULARY)
+    held_by_worker(partial(packing.token_lengths, tiny(spark)), texts, monkeypatch, "id")
+    assert len(dac_output.encoder(path).known) == 0 and dac_output.encoder(path).count(["w1x1 w1x1", ""])[1] == 0
+
+
 def test_held_out_fold(spark):
     got = spark.range(50).select("id", toxicity_mil.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ _KEPT: list[tuple[SparkSession, str]] = []
 _LOCAL: dict[str, str] = {}
 #: Rows that are broadcast at most where nothing else bounds a table.
 MOST_BROADCAST = 200_000
+#: Rows of an Arrow batch that a Python worker goes through at once.
+SLICE = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,6 +98,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at most, so that a worker holds what it makes of a few rows, not of 10,000."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Working column names that can't clash with df's own."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -38,10 +38,12 @@ def token_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                counts = encoder(path).count([t or "" for t in b.column("text")[k : k + 256].to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column("id")[k : k + 256], pa.array([n + 1 for n in counts], pa.int64())], names=["id", "n_tokens"])
+        try:
+            for b in base.sliced(batches):
+                counts = encoder(path).count([t or "" for t in b.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([n + 1 for n in counts], pa.int64())], names=["id", "n_tokens"])
+        finally:  # the worker goes on to other tasks, of other stages too
+            encoder(path).forget()
 
     return rows.mapInArrow(run, "id long, n_tokens long")
 

@@ -497,7 +497,7 @@ def find(df: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     shape = lambda spans: [{"start": s, "end": e, "kind": k} for s, e, k in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in base.sliced(batches):
             texts = [t.as_py() or "" for t in b.column(at)]
             fixed = [base_spans(t) for t in texts]
             every = [all_spans(t, s, model) for t, s in zip(texts, fixed)]
@@ -525,7 +525,7 @@ def redact(df: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
         return "".join([*out, text[end:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in base.sliced(batches):
             yield b.set_column(at, b.schema.field(at), pa.array([masked(t.as_py()) for t in b.column(at)], b.column(at).type))
 
     return df.mapInArrow(run, df.schema)

@@ -38,8 +38,8 @@ BIAS, FIT_LEAK = -7.0, 1e-6
 LEAK, FOLDS = 0.001, 5
 #: What a plain sentence may score: only what is above it counts for the document, so that no number of plain sentences adds up to toxicity.
 PLAIN = 0.02
-#: Lengths of the beginnings of words; words that a worker remembers whether they have a weight.
-PREFIXES, MEMORY = (6,), 500_000
+#: Lengths of the beginnings of words.
+PREFIXES = (6,)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\w+")
 
@@ -84,29 +84,25 @@ def _all_features(text: str) -> set[str]:
     return {f for x in set(_WORD.findall(text.lower())) for f in _features(x)}
 
 
-class _Weights(dict):
-    """Whether a word has any weight, found when first asked for."""
-
-    def __init__(self, weights: dict[str, float]) -> None:
-        self.of = weights
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > MEMORY:
-            self.clear()
-        self[word] = known = any(f in self.of for f in _features(word))
-        return known
-
-
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -3.0
 
     def __post_init__(self) -> None:
-        self.words = _Weights(self.weights)
-
-    def __reduce__(self) -> tuple:
-        return Model, (self.weights, self.bias)
+        """Weights of words and of beginnings apart. No word of a text is remembered: a corpus has no end of them."""
+        starts = {f[1:] for f in self.weights if f.startswith("^")}
+        self.starts = [(k, some) for k in PREFIXES if (some := {f for f in starts if len(f) == k})]
+
+    def _known(self, words: list[str]) -> list[str]:
+        """Those that have any weight."""
+        of = self.weights
+        if not self.starts:
+            return [x for x in words if x in of]
+        if len(self.starts) == 1:
+            k, starts = self.starts[0]
+            return [x for x in words if x in of or x[:k] in starts]
+        return [x for x in words if x in of or any(x[:k] in starts for k, starts in self.starts)]
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, score) of all sentences; code points, end exclusive."""
@@ -117,7 +113,7 @@ class Model:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         out, least = [], float(_sigmoid(np.float64(self.bias)))
         for s in _SENTENCE.finditer(low):
-            known = [x for x in _WORD.findall(s.group()) if self.words[x]]
+            known = self._known(_WORD.findall(s.group()))
             p = least
             if known:
                 found = {f for x in known for f in _features(x) if f in self.weights}
@@ -220,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in base.sliced(batches):
             some = counted(b.column("text").to_pylist(), b.column("y").to_pylist())
             yield pa.RecordBatch.from_pydict({"f": pa.array(some.keys(), pa.string()), "zeros": pa.array([n[0] for n in some.values()], pa.int64()), "ones": pa.array([n[1] for n in some.values()], pa.int64())})
 
@@ -231,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     index = {f: k for k, f in enumerate(names)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in base.sliced(batches):
             made = [bag(t, index) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "y": b.column("y"), "bags": pa.array([x for x, _ in made], pa.list_(pa.list_(pa.int32()))), "plain": pa.array([n for _, n in made], pa.int32())})
 
@@ -247,10 +243,12 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [model.sentences(t.as_py()) for t in b.column(at)]
-            scores = [model.score(x) for x in found]
-            where = [[{"start": s, "end": e, "score": p} for s, e, p in x if p >= 0.5] for x in found]
+        for b in base.sliced(batches):
+            scores, where = [], []
+            for t in b.column(at):  # the sentences of one text at a time
+                found = model.sentences(t.as_py())
+                scores.append(model.score(found))
+                where.append([{"start": s, "end": e, "score": p} for s, e, p in found if p >= 0.5])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(where, kind)], names=[*b.schema.names, *new])
 
     return df.mapInArrow(run, schema)
