@@ -37,6 +37,17 @@ def test_each_way_out(spark):
     assert json.loads(got[6].body) == {"a": 13800138000}
 
 
+def test_room_in_the_analyzer(spark):
+    """All rules with a model, and half the passes that the analyzer makes before it gives up."""
+    name, text = "spark.sql.analyzer.maxIterations", f"a@x.org {TOKEN} postgres://root:{TOKEN}@db.example.com/app q7Zk2vW9xJ4pTm3Y"
+    spark.conf.set(name, "50")
+    try:
+        r = prepared(spark, [("application/json", "/x", False, None, json.dumps({"a": text, "password": "p w"}))])[0]
+    finally:
+        spark.conf.unset(name)
+    assert r.error == "" and r.hits == {"EMAIL": 1, "CONNSTR": 2, "ENTROPY": 1, "CREDENTIAL": 1} and r.body.count(TOKEN) == 2 and r.fields == ["$.a", "$.password"]
+
+
 def test_fields_hits_and_labels(spark):
     body = {"model": "a@b.org", "messages": [{"role": "user", "content": "c@d.org c@d.org"}], "api_key": "c@d.org", "x": [{"a@b.org": "e@f.org", "a b": "e@f.org"}], "arguments": json.dumps({"deep": "g@h.org"})}
     r = prepared(spark, [("application/json", "/v1/chat/completions", False, "EG", json.dumps(body))])[0]

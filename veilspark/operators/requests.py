@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 from veilspark.functions import net
 from veilspark.functions import validators as V
 from veilspark.functions.arrays import let
-from veilspark.operators import jsondoc, masking, policy, spans, vault
+from veilspark.operators import intervals, jsondoc, masking, policy, spans, vault
 
 MAX_BODY = 20 << 20
 _LEAF = "struct<leaf:int,steps:array<string>,field:string,kind:string,value:string>"
-_MASK = "array<struct<leaf:int,steps:array<string>,value:string,spans:array<struct<start:int,end:int,label:string,raw:string>>>>"
 
 
 def _text(value: str) -> str:
@@ -69,14 +68,22 @@ def _read(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"{df._jdf.schema().toDDL()}, protocol string, leaves array<{_LEAF}>")
 
 
-def _spans_sql(costs: list[int] | None) -> str:
-    """The leaves with their spans to mask, of the column leaves; flags is the row's."""
+def _with_masks(df: DataFrame, costs: list[int] | None) -> DataFrame:
+    """df with masks, the strings of the column leaves with their spans to mask, in place of leaves; flags is the row's, and rows with an error have none.
+
+    A step is a column: the analyzer resolves a level of nesting a pass and gives up after 100, more than one expression of all steps leaves room for.
+    """
     whole = f"contains(flags, 'G') AND {jsondoc.credential_sql('lf_.field')} AND rlike(lf_.value, '[^\\\\s]')"
     named = f"array(named_struct('start', 0, 'end', length(lf_.value), 'value', lf_.value, 'label', 'CREDENTIAL', 'priority', 80))"
     some = f"CASE WHEN {whole} THEN cast({named} AS {spans.CANDIDATES}) ELSE {spans.candidates_sql('lf_.value', costs=costs, switch='flags')} END"
-    kept = f"transform({masking.masked_sql('lf_.value', some)}, q_ -> named_struct('start', q_.start, 'end', q_.end, 'label', q_.label, 'raw', substr(lf_.value, q_.start + 1, q_.end - q_.start)))"
-    strings = "filter(leaves, lf_ -> lf_.kind = 'string')"
-    return f"filter(transform({strings}, lf_ -> named_struct('leaf', lf_.leaf, 'steps', lf_.steps, 'value', lf_.value, 'spans', {kept})), lf_ -> size(lf_.spans) > 0)"
+    strings = f"CASE WHEN error = '' THEN filter(leaves, lf_ -> lf_.kind = 'string') ELSE cast(array() AS array<{_LEAF}>) END"
+    held = f"CASE WHEN size(lf_.spans) = 0 THEN cast(array() AS {vault.PLACEHOLDERS}) ELSE {vault.placeholders_sql('lf_.value')} END"
+    rest = f"transform({intervals.without_sql('lf_.spans', 'lf_.held')}, q_ -> named_struct('start', q_.start, 'end', q_.end, 'label', q_.label, 'raw', substr(lf_.value, q_.start + 1, q_.end - q_.start)))"
+    step = lambda of, more: f"transform({of}, lf_ -> named_struct('leaf', lf_.leaf, 'steps', lf_.steps, 'value', lf_.value, {more}))"
+    out = df.withColumn("masks", F.expr(step(strings, f"'found', {some}"))).drop("leaves")
+    for more in (f"'spans', {intervals.merged_sql('lf_.found')}", f"'spans', lf_.spans, 'held', {held}", f"'spans', {rest}"):
+        out = out.withColumn("masks", F.expr(step("masks", more)))
+    return out.withColumn("masks", F.expr("filter(masks, lf_ -> size(lf_.spans) > 0)"))
 
 
 def _numbers_sql() -> str:
@@ -107,7 +114,7 @@ def prepare(requests: DataFrame, secret: str, costs: list[int] | None = None, ma
     empty = F.coalesce(F.octet_length("body"), F.lit(0)) == 0
     read = _read(of.where(~empty))
     checked = read.withColumn("error", F.when(F.col("error") != "", F.col("error")).when(F.expr(_numbers_sql()), "numeric_sensitive_value").otherwise(""))
-    found = checked.withColumn("masks", F.expr(f"CASE WHEN error = '' THEN {_spans_sql(costs)} ELSE cast(array() AS {_MASK}) END")).drop("leaves")
+    found = _with_masks(checked, costs)
     every = F.flatten(F.transform("masks", lambda m: m["spans"]))
     listed = found.withColumn("every", every).withColumn("raws", F.transform("every", lambda s: s["raw"]))
     limited = listed.withColumn("error", F.when((F.col("error") == "") & (F.size(F.array_distinct("raws")) > limit), masking.TOO_MANY).otherwise(F.col("error")))
